@@ -55,14 +55,16 @@ def _anchor_hashes(w: wk.Words) -> tuple[np.ndarray, np.ndarray]:
     hashes = wk.window_hashes(wk.word_hashes(w), ANCHOR)
     left = np.repeat(w.counts, w.counts) - w.index
     at = np.flatnonzero((left[: len(hashes)] >= ANCHOR) & _ON_COVER[w.index[: len(hashes)] % PERIOD])
-    return at, hashes[at]
+    # anchors only propose windows, so their upper 48 bits do; what is not sent need not be stored
+    return at, hashes[at] & ~np.uint64(0xFFFF)
 
 
 class _Chunk:
     """Entries (id, high, low) of a chunk of documents, sent as one row for each bucket."""
 
-    def __init__(self, buckets: int) -> None:
-        self.buckets, self.held, self.size = buckets, [], 0
+    def __init__(self, buckets: int, width: int) -> None:
+        """width: 6 (the lower 16 bits of ``high`` and all of ``low`` are zero) or 8."""
+        self.buckets, self.width, self.held, self.size = buckets, width, [], 0
 
     def add(self, ids: np.ndarray, high: np.ndarray, low: np.ndarray, size: int) -> None:
         self.held.append((ids, high, low))
@@ -98,14 +100,18 @@ class _Chunk:
         for a, b in zip(edges, np.r_[edges[1:], len(bucket)]):
             own, at = np.unique(ids[a:b], return_inverse=True)
             out["ids"].append(np.r_[np.int64(len(own)), own].tobytes() + at.astype(np.uint16 if len(own) < 65536 else np.uint32).tobytes())
-            out["high"].append(high[a:b].tobytes())
-            out["low"].append(low[a:b].tobytes())
+            out["high"].append(high[a:b].view(np.uint16).reshape(-1, 4)[:, 4 - self.width // 2 :].tobytes())
+            out["low"].append(low[a:b].tobytes() if self.width == 8 else b"")
             out["flags"].append(np.packbits(np.stack([flags[a:b] & 1, flags[a:b] >> 1])).tobytes())
         yield pa.record_batch([pa.array(bucket[edges], pa.int32()), *(pa.array(x, pa.binary()) for x in out.values())], schema=_PARTS_ARROW)
 
 
 def _unpack(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    high, low = np.frombuffer(part["high"], np.uint64), np.frombuffer(part["low"], np.uint32)
+    low = np.frombuffer(part["low"], np.uint32)
+    if len(low):
+        high = np.frombuffer(part["high"], np.uint64)
+    else:
+        high = np.pad(np.frombuffer(part["high"], np.uint16).reshape(-1, 3), ((0, 0), (1, 0))).view(np.uint64).ravel()
     own = int(np.frombuffer(part["ids"], np.int64, 1)[0])
     ids = np.frombuffer(part["ids"], np.int64, own, 8)
     at = np.frombuffer(part["ids"], np.uint16 if own < 65536 else np.uint32, len(high), 8 + 8 * own)
@@ -157,7 +163,7 @@ def _windows(w: wk.Words, which: int) -> np.ndarray:
 
 def _sends_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(buckets)
+        chunk = _Chunk(buckets, 6)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             offsets, data = wk.text_buffers(batch.column("text"))
@@ -166,20 +172,15 @@ def _sends_anchors(buckets: int):
                 at, hashes = _anchor_hashes(w)
                 chunk.add(ids[a:b][w.doc[at]], hashes, np.zeros(len(at), np.uint32), int(offsets[b] - offsets[a]))
                 if chunk.size >= CHUNK_BYTES:
-                    yield from _without_low(chunk.rows())
-        yield from _without_low(chunk.rows())
+                    yield from chunk.rows()
+        yield from chunk.rows()
 
     return run
 
 
-def _without_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield b.set_column(3, "low", pa.array([b""] * b.num_rows, pa.binary()))
-
-
 def _sends_windows(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(buckets)
+        chunk = _Chunk(buckets, 8)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             offsets, data = wk.text_buffers(batch.column("text"))
@@ -248,11 +249,12 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         told = sent.groupBy("bucket").applyInArrow(lambda parts: _answer(parts, earlier_only), "id long, hashes binary")
         return told.groupBy("id").agg(F.collect_list("hashes").alias("hashes")).hint("shuffle_hash")
 
-    by_id = docs.repartition(n, "doc_id")
+    # a key that can't be null gets no filter of its own in either join, so that both read one exchange
+    by_id = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).repartition(n, "key")
     anchors = answers(known.mapInArrow(_sends_anchors(buckets), _PARTS), earlier_only=False)
-    near = by_id.join(anchors, by_id["doc_id"] == anchors["id"]).select("doc_id", "text", "hashes")
+    near = by_id.join(anchors, by_id["key"] == anchors["id"]).select("doc_id", "text", "hashes")
     windows = answers(near.mapInArrow(_sends_windows(buckets), _PARTS), earlier_only=True)
-    told = by_id.join(windows, by_id["doc_id"] == windows["id"], "left").select("doc_id", "text", "hashes")
+    told = by_id.join(windows, by_id["key"] == windows["id"], "left").select("doc_id", "text", "hashes")
     return told.mapInArrow(_keeps, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
