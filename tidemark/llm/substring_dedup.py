@@ -17,7 +17,7 @@ an anchor that lies in both. Only windows around shared anchors are hashed whole
 
 A chunk sends an anchor or window once however many of its documents hold it, as
 the smallest document stands for the rest, so no bucket grows with a frequent
-passage. Texts are shuffled by document once (both joins use one exchange).
+passage. Texts are dealt out by document once (both rounds read one exchange).
 
 Nulls: a null text has no words; a row with a null id keeps its words and is no
 one's smaller document. Rows that share an id are not smaller than each other.
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,16 @@ PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text whose anchors or windows make one chunk.
 CHUNK_BYTES = 6 << 20
+#: Bytes of text for each deal of documents.
+DEAL_BYTES = 4 << 20
 #: Bytes of text for each bucket of hashes.
 BUCKET_BYTES = 8 << 20
 
 _PARTS = "bucket int, ids binary, high binary, low binary, flags binary"
 _PARTS_ARROW = pa.schema([("bucket", pa.int32()), *((x, pa.binary()) for x in ("ids", "high", "low", "flags"))])
-_ANSWERS_ARROW = pa.schema([("id", pa.int64()), ("hashes", pa.binary())])
+_ANSWERS = "deal int, ids binary, hashes binary"
+_ANSWERS_ARROW = pa.schema([("deal", pa.int32()), ("ids", pa.binary()), ("hashes", pa.binary())])
+_NO_ID = -(1 << 63)
 _ON_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -119,8 +124,8 @@ def _unpack(part: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return ids[at], high, low if len(low) else np.zeros(len(high), np.uint32), flags[0] + 2 * flags[1]
 
 
-def _answer(parts: pa.Table, earlier_only: bool) -> pa.Table:
-    """Of a bucket: for each document, its hashes that another document has too (``earlier_only``: a smaller one)."""
+def _answer(parts: pa.Table, earlier_only: bool, deals: int) -> pa.Table:
+    """Of a bucket: documents and their hashes that another document has too (``earlier_only``: a smaller one), by deal of documents."""
     ids, high, low, flags = (np.concatenate(x) for x in zip(*map(_unpack, parts.to_pylist())))
     ask = flags < 2
     done_ids, done_high = ids[~ask], high[~ask]
@@ -136,17 +141,29 @@ def _answer(parts: pa.Table, earlier_only: bool) -> pa.Table:
             later |= np.logical_or.reduceat(later | (flags == 1), np.flatnonzero(first))[group]
         ids, high = ids[later], high[later]
     ids, high = np.concatenate([ids, done_ids]), np.concatenate([high, done_high])
-    order = np.argsort(ids, kind="stable")
-    ids, high = ids[order], high[order]
-    edges = np.flatnonzero(np.r_[len(ids) > 0, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-    ends = np.r_[edges[1:], len(ids)] if len(edges) else edges
-    return pa.table([pa.array(ids[edges], pa.int64()), pa.array([high[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary())], schema=_ANSWERS_ARROW)
+    deal = wk.spark_xxhash64(ids) % deals
+    order = np.lexsort((ids, deal))
+    ids, high, deal = ids[order], high[order], deal[order]
+    edges = np.flatnonzero(np.diff(deal, prepend=-1))
+    ends = np.r_[edges[1:], len(ids)][: len(edges)]
+    cuts = list(zip(edges.tolist(), ends.tolist()))
+    return pa.table([pa.array(deal[edges], pa.int32()), *(pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (ids, high))], schema=_ANSWERS_ARROW)
 
 
-def _told(column: pa.Array, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """Document index and hash of the answers of documents ``low`` to ``high``."""
-    got = [np.frombuffer(b"".join(x), np.uint64) if x else np.zeros(0, np.uint64) for x in column.slice(low, high - low).to_pylist()]
-    return np.repeat(np.arange(high - low), [len(x) for x in got]), np.concatenate(got) if got else np.zeros(0, np.uint64)
+class _Answers:
+    """Answers to the documents of a deal."""
+
+    def __init__(self, parts: pa.Table) -> None:
+        ids, self.hashes = (np.frombuffer(b"".join(parts.column(c).to_pylist()), t) for c, t in (("ids", np.int64), ("hashes", np.uint64)))
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.hashes = ids[order], self.hashes[order]
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For a run of documents: the index of the document of each answer, and its hash."""
+        low, high = np.searchsorted(self.ids, ids), np.searchsorted(self.ids, ids, "right")
+        many = high - low
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(low, many)
+        return np.repeat(np.arange(len(ids)), many), self.hashes[at]
 
 
 def _is_told(doc: np.ndarray, hashes: np.ndarray, told_doc: np.ndarray, told: np.ndarray) -> np.ndarray:
@@ -179,25 +196,23 @@ def _sends_anchors(buckets: int):
 
 
 def _sends_windows(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk(buckets, 8)
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            offsets, data = wk.text_buffers(batch.column("text"))
-            for a, b in wk.slices(offsets):
-                w = wk.words(offsets, data, a, b)
-                high, doc, index = _windows(w, 0), w.doc, w.index
-                at, hashes = _anchor_hashes(w)
-                shared = np.zeros(len(doc) + 1, np.int64)
-                shared[at[_is_told(doc[at], hashes, *_told(batch.column("hashes"), a, b))] + 1] = 1
-                np.cumsum(shared, out=shared)
-                n = len(high)
-                inside = (np.repeat(w.counts, w.counts) - index)[:n] >= WINDOW
-                take = np.flatnonzero(inside & (shared[PERIOD : PERIOD + n] > shared[:n]))
-                chunk.add(ids[a:b][doc[take]], high[take], (_windows(w, 1)[take] >> np.uint64(32)).astype(np.uint32), int(offsets[b] - offsets[a]))
-                if chunk.size >= CHUNK_BYTES:
-                    yield from chunk.rows()
-        yield from chunk.rows()
+    def run(docs: pa.Table, parts: pa.Table) -> pa.Table:
+        chunk, answers = _Chunk(buckets, 8), _Answers(parts)
+        docs = docs.filter(pc.is_in(docs.column("doc_id"), pa.array(np.unique(answers.ids), pa.int64())))
+        ids = docs.column("doc_id").to_numpy()
+        offsets, data = wk.text_buffers(docs.column("text"))
+        for a, b in wk.slices(offsets):
+            w = wk.words(offsets, data, a, b)
+            high, doc, index = _windows(w, 0), w.doc, w.index
+            at, hashes = _anchor_hashes(w)
+            shared = np.zeros(len(doc) + 1, np.int64)
+            shared[at[_is_told(doc[at], hashes, *answers.of(ids[a:b]))] + 1] = 1
+            np.cumsum(shared, out=shared)
+            n = len(high)
+            inside = (np.repeat(w.counts, w.counts) - index)[:n] >= WINDOW
+            take = np.flatnonzero(inside & (shared[PERIOD : PERIOD + n] > shared[:n]))
+            chunk.add(ids[a:b][doc[take]], high[take], (_windows(w, 1)[take] >> np.uint64(32)).astype(np.uint32), int(offsets[b] - offsets[a]))
+        return pa.Table.from_batches(list(chunk.rows()), schema=_PARTS_ARROW)
 
     return run
 
@@ -218,18 +233,22 @@ def removed_words(w: wk.Words, told_doc: np.ndarray, told: np.ndarray) -> np.nda
 _KEPT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _keeps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        offsets, data = wk.text_buffers(batch.column("text"))
-        for a, b in wk.slices(offsets):
-            w = wk.words(offsets, data, a, b)
-            gone = removed_words(w, *_told(batch.column("hashes"), a, b))
-            bytes_, kept = w.data.tobytes(), []
-            for first, count in zip(w.firsts.tolist(), w.counts.tolist()):
-                stay = ~gone[first : first + count]
-                kept.append(b" ".join([bytes_[x:y] for x, y in zip(w.starts[first : first + count][stay].tolist(), w.ends[first : first + count][stay].tolist())]).decode())
-            sums = np.r_[0, np.cumsum(gone)]
-            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(w.counts, pa.int64()), pa.array(sums[w.firsts + w.counts] - sums[w.firsts], pa.int64()), pa.array(kept, pa.string())], schema=_KEPT_ARROW)
+def _keeps(docs: pa.Table, parts: pa.Table) -> pa.Table:
+    answers, out = _Answers(parts), []
+    # a null id is no one's: no answer has the least long, which it stands for
+    ids = docs.column("doc_id").combine_chunks()
+    asked = ids.fill_null(_NO_ID).to_numpy()
+    offsets, data = wk.text_buffers(docs.column("text"))
+    for a, b in wk.slices(offsets):
+        w = wk.words(offsets, data, a, b)
+        gone = removed_words(w, *answers.of(asked[a:b]))
+        bytes_, kept = w.data.tobytes(), []
+        for first, count in zip(w.firsts.tolist(), w.counts.tolist()):
+            stay = ~gone[first : first + count]
+            kept.append(b" ".join([bytes_[x:y] for x, y in zip(w.starts[first : first + count][stay].tolist(), w.ends[first : first + count][stay].tolist())]).decode())
+        sums = np.r_[0, np.cumsum(gone)]
+        out.append(pa.record_batch([ids.slice(a, b - a), pa.array(w.counts, pa.int64()), pa.array(sums[w.firsts + w.counts] - sums[w.firsts], pa.int64()), pa.array(kept, pa.string())], schema=_KEPT_ARROW))
+    return pa.Table.from_batches(out, schema=_KEPT_ARROW)
 
 
 def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,19 +262,18 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = shuffle_partitions(spark)
     buckets = max(n, -(-int(size) // BUCKET_BYTES))
+    deals = max(4 * n, -(-int(size) // DEAL_BYTES))
     known = docs.where("doc_id is not null")
 
     def answers(sent: DataFrame, earlier_only: bool) -> DataFrame:
-        told = sent.groupBy("bucket").applyInArrow(lambda parts: _answer(parts, earlier_only), "id long, hashes binary")
-        return told.groupBy("id").agg(F.collect_list("hashes").alias("hashes")).hint("shuffle_hash")
+        told = sent.groupBy("bucket").applyInArrow(lambda parts: _answer(parts, earlier_only, deals), _ANSWERS)
+        return told.groupBy("deal")
 
-    # a key that can't be null gets no filter of its own in either join, so that both read one exchange
-    by_id = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63)))).repartition(n, "key")
+    # both rounds read one exchange of the texts
+    dealt = docs.withColumn("deal", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))), F.lit(deals)).cast("int")).groupBy("deal")
     anchors = answers(known.mapInArrow(_sends_anchors(buckets), _PARTS), earlier_only=False)
-    near = by_id.join(anchors, by_id["key"] == anchors["id"]).select("doc_id", "text", "hashes")
-    windows = answers(near.mapInArrow(_sends_windows(buckets), _PARTS), earlier_only=True)
-    told = by_id.join(windows, by_id["key"] == windows["id"], "left").select("doc_id", "text", "hashes")
-    return told.mapInArrow(_keeps, "doc_id long, n_words long, n_removed long, kept_text string")
+    windows = answers(dealt.cogroup(anchors).applyInArrow(_sends_windows(buckets), _PARTS), earlier_only=True)
+    return dealt.cogroup(windows).applyInArrow(_keeps, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:

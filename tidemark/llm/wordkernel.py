@@ -127,3 +127,18 @@ def window_hashes(hashes: np.ndarray, length: int, which: int = 0) -> np.ndarray
         out *= _MULTIPLIERS[which]
         out += hashes[k : k + n]
     return mix(out)
+
+
+def spark_xxhash64(x: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of a column of longs, signed as there."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+    def turn(v: np.ndarray, k: int) -> np.ndarray:
+        return (v << np.uint64(k)) | (v >> np.uint64(64 - k))
+
+    h = np.full(len(x), 42 + 8, np.uint64) + p5
+    h ^= turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
