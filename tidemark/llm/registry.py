@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, mixing, simhash, substring_dedup
+from tidemark.llm import bpe, line_dedup, mixing, simhash, substring_dedup
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_mix_sources")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_line_dedup", line_dedup.ORACLE_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
