@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, line_dedup, mixing, simhash, substring_dedup
+from tidemark.llm import bpe, language_id, line_dedup, mixing, simhash, substring_dedup
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op3_line_dedup", line_dedup.ORACLE_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.digest(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_language_id_pages")
+def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(language_id.from_pages(table(spark, sf_dir, "pages")))
+    return found.selectExpr("id as page_id", "declared", "language", "round(confidence, 6) as confidence", "accepted")
