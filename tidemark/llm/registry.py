@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, language_id, line_dedup, mixing, simhash, substring_dedup
+from tidemark.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, simhash, substring_dedup
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,3 +58,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.identify(language_id.from_pages(table(spark, sf_dir, "pages")))
     return found.selectExpr("id as page_id", "declared", "language", "round(confidence, 6) as confidence", "accepted")
+
+
+@_query("op6_embedding_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
