@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, simhash, substring_dedup
+from tidemark.llm import bpe, embedding_dedup, language_id, line_dedup, mixing, simhash, substring_dedup, topk
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,9 @@ def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_embedding_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query("op5_exact_top_k", topk.ORACLE_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.search(rows.where("vec_id % 50 = 0"), rows, 5)
