@@ -8,3 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _load() -> None:
+    from importlib import import_module
+
+    for name in ("panel_queries", "risk_queries"):
+        import_module(f"tidemark.plans.{name}")
+
+
+_load()
