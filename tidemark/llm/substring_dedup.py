@@ -262,7 +262,7 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = shuffle_partitions(spark)
     buckets = max(n, -(-int(size) // BUCKET_BYTES))
-    deals = max(4 * n, -(-int(size) // DEAL_BYTES))
+    deals = max(n, -(-int(size) // DEAL_BYTES))
     known = docs.where("doc_id is not null")
 
     def answers(sent: DataFrame, earlier_only: bool) -> DataFrame:
