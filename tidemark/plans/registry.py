@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 def _load() -> None:
     from importlib import import_module
 
-    for name in ("panel_queries", "risk_queries", "join_queries", "scoring_queries", "rate_queries", "resample_queries", "model_queries", "stream_queries"):
+    for name in ("panel_queries", "risk_queries", "join_queries", "scoring_queries", "rate_queries", "resample_queries", "model_queries", "stream_queries", "portfolio_queries"):
         import_module(f"tidemark.plans.{name}")
 
 
