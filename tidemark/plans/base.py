@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.plans.registry import ORACLES, QUERIES
+from tidemark.plans.catalog import ORACLES, QUERIES
 
 
 def query(name: str, sql: str | None = None):

@@ -1,20 +1,10 @@
-"""Named queries over the driver tables and the SQL that each must equal."""
+"""All named queries over the driver tables, and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import join_queries, model_queries, panel_queries, portfolio_queries, rate_queries, resample_queries, risk_queries, scoring_queries, stream_queries
+from tidemark.plans.catalog import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (panel_queries, risk_queries, join_queries, scoring_queries, rate_queries, resample_queries, model_queries, stream_queries, portfolio_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _load() -> None:
-    from importlib import import_module
-
-    for name in ("panel_queries", "risk_queries", "join_queries", "scoring_queries", "rate_queries", "resample_queries", "model_queries", "stream_queries", "portfolio_queries"):
-        import_module(f"tidemark.plans.{name}")
-
-
-_load()
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
