@@ -102,3 +102,27 @@ def test_last_write_wins(spark):
     old = spark.createDataFrame([(1, 5, "old"), (2, 1, "old")], "k int, v int, x string")
     new = spark.createDataFrame([(1, 5, "new"), (2, 0, "new"), (3, 1, "new")], "k int, v int, x string")
     assert {r["k"]: r["x"] for r in quality.last_write_wins(old, new, ["k"], "v").collect()} == {1: "new", 2: "old", 3: "new"}
+
+
+def test_combination_grid_against_plain_python(spark, sf):
+    from collections import defaultdict
+    from itertools import combinations
+
+    from tidemark.plans.registry import QUERIES
+
+    rows = base.trials(spark, sf).collect()
+    by = defaultdict(dict)
+    for r in rows:
+        by[r["trial"]][r["month"]] = r["r"]
+    top = sorted(by, key=lambda t: (-len(by[t]), t))[:10]
+    want = {}
+    for x, y in combinations(sorted(top), 2):
+        for split in ("train", "validation"):
+            months = [m for m in {*by[x], *by[y]} if (m < dt.date(1999, 1, 1)) == (split == "train")]
+            r = [sum(v) / len(v) for v in ([by[k][m] for k in (x, y) if m in by[k]] for m in months)]
+            down = math.sqrt(sum(min(v, 0.0) ** 2 for v in r) / len(r)) if r else 0.0
+            if r:
+                want[(x, y, split)] = (len(r), round(sum(r) / len(r) / down, 5) if down else None)
+    got = {(*r["members"], r["split"]): (r["n"], None if r["sortino"] is None else round(r["sortino"], 5)) for r in QUERIES["b11_combination_grid"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and (got[k][1] is None) == (want[k][1] is None) and abs((got[k][1] or 0) - (want[k][1] or 0)) < 2e-5 for k in want)
