@@ -30,13 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordkernel as wk
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shuffle_partitions
 from tidemark.llm.components import connected_components
 
 COSINE = 0.98
 TABLES, PROBES, SCALE, SEED = 6, 8, 0.30, 20240229
 #: Vectors of a block of a cell.
 BLOCK = 1024
+#: Vectors and tables for each deal of cells.
+DEAL_ROWS = 8192
 
 
 def _neighbours() -> np.ndarray:
@@ -126,42 +128,77 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(columns, names=["label", "size", "rep", "tab", "cell", "home"])
 
 
-def _meets(home: np.ndarray, keys: np.ndarray, tab: int) -> np.ndarray:
-    return (keys[:, tab] == home[:, tab, None]).any(axis=1)
-
-
-def _links(group: pa.Table) -> pa.Table:
-    """Of one or two blocks of a cell: for each vector, links whose first meeting this is, and the smallest vector that it reaches here."""
-    rep, sub, copies = (group.column(c).to_numpy() for c in ("rep", "sub", "copies"))
-    tab, a, b = (int(group.column(c)[0].as_py()) for c in ("tab", "a", "b"))
-    order = np.argsort(rep, kind="stable")
-    rep, sub, copies = rep[order], sub[order], copies[order]
-    size = group.column("size")[0].as_py()
-    x = _unit(group.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, size)[order])
-    cell = group.column("cell")[0].as_py()
-    keys = _cells(x)
+def _meets(home: np.ndarray, keys: np.ndarray, tab: np.ndarray) -> np.ndarray:
+    at = np.arange(len(home))
+    return (keys[at, tab] == home[at, tab][:, None]).any(axis=1)
+
+
+def _near_pairs(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one group (rows are sorted by it) whose unit vectors reach the cosine."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    sizes = np.diff(np.r_[starts, len(group)])
+    left, right = [], []
+    # rows of small groups meet the k-th row before them, for all groups at once
+    place = np.arange(len(group)) - np.repeat(starts, sizes)
+    live = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+    step = 1
+    while len(live := live[place[live] >= step]):
+        near = live[np.einsum("ij,ij->i", x[live], x[live - step]) >= COSINE]
+        left.append(near - step)
+        right.append(near)
+        step += 1
+    for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
+        own = x[s : s + n]
+        i, j = np.nonzero(np.triu(own @ own.T >= COSINE, 1))
+        left.append(i + s)
+        right.append(j + s)
+    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+
+
+def _links(cells: pa.Table) -> pa.Table:
+    """Of many cells (one or two blocks of each): for each vector, links whose first meeting this is, and the smallest vector that it reaches here."""
+    column = {c: cells.column(c).to_numpy() for c in ("tab", "cell", "a", "b", "sub", "rep", "copies", "key")}
+    order = np.lexsort((column["rep"], column["b"], column["a"], column["key"]))
+    tab, cell, a, b, sub, rep, copies, key = (v[order] for v in column.values())
+    size = cells.column("size")[0].as_py()
+    x = cells.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, size)
+    reps, first, own = np.unique(rep, return_index=True, return_inverse=True)
+    units = _unit(x[order[first]])
+    keys = _cells(units)
     home = keys[:, :, 0]
-    near = np.triu(x @ x.T >= COSINE, 1)
-    near &= (home[:, tab] == cell)[:, None] | (home[:, tab] == cell)[None, :]
-    if a != b:
-        near &= sub[:, None] != sub[None, :]
-    i, j = np.nonzero(near)
+    new_group = np.ones(len(rep), bool)
+    new_group[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    i, j = _near_pairs(np.cumsum(new_group) - 1, units[own])
+    here = lambda k, rows: home[own[rows], k] == cell[rows]
+    t = tab[i]
+    keep = (here(t, i) | here(t, j)) & ((a[i] == b[i]) | (sub[i] != sub[j]))
+    i, j, t = i[keep], j[keep], t[keep]
     # met before: in an earlier table, or in this one at the home of the smaller
-    new = ~((home[j, tab] == cell) & (home[i, tab] != cell) & _meets(home[i], keys[j], tab))
-    for t in range(tab):
-        new &= ~(_meets(home[i], keys[j], t) | _meets(home[j], keys[i], t))
-    n = np.bincount(i[new], copies[j[new]], len(rep)) + np.bincount(j[new], copies[i[new]], len(rep))
-    root = np.arange(len(rep))
-    while True:
-        least = np.minimum(root[i], root[j])
+    u, v = own[i], own[j]
+    new = ~(here(t, j) & ~here(t, i) & _meets(home[u], keys[v], t))
+    for k in range(TABLES - 1):
+        earlier = np.flatnonzero(new & (t > k))
+        at = np.full(len(earlier), k)
+        new[earlier] = ~(_meets(home[u[earlier]], keys[v[earlier]], at) | _meets(home[v[earlier]], keys[u[earlier]], at))
+    copies = _copies_of(rep, copies, reps)
+    n = np.bincount(u[new], copies[v[new]], len(reps)) + np.bincount(v[new], copies[u[new]], len(reps))
+    root = np.arange(len(reps))
+    while len(u):
         was = root.copy()
-        np.minimum.at(root, i, least)
-        np.minimum.at(root, j, least)
+        least = np.minimum(root[u], root[v])
+        np.minimum.at(root, u, least)
+        np.minimum.at(root, v, least)
         root = root[root]
         if (root == was).all():
             break
-    told = np.flatnonzero((n > 0) | (root != np.arange(len(rep))))
-    return pa.table([pa.array(rep[told], pa.int64()), pa.array(n[told].astype(np.int64)), pa.array(rep[root[told]], pa.int64())], names=["rep", "n", "root"])
+    told = np.flatnonzero((n > 0) | (root != np.arange(len(reps))))
+    return pa.table([pa.array(reps[told], pa.int64()), pa.array(n[told].astype(np.int64)), pa.array(reps[root[told]], pa.int64())], names=["rep", "n", "root"])
+
+
+def _copies_of(rep: np.ndarray, copies: np.ndarray, reps: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(reps), np.int64)
+    out[np.searchsorted(reps, rep)] = copies
+    return out
 
 
 def _usable(vector: Column) -> Column:
@@ -175,6 +212,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(_usable(F.col("vector")), F.lit(False)))
     classes = cut(rows.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     cell = ["label", "size", "tab", "cell"]
+    deals = max(2 * shuffle_partitions(df.sparkSession), classes.count() * TABLES // DEAL_ROWS)
     dealt = classes.select("label", "vector", "rep").mapInArrow(_deal, _KEYS)
     busy = dealt.groupBy(*cell).agg(F.count("*").alias("met"), F.bool_or("home").alias("lived")).where("lived and met > 1")
     busy = busy.select(*cell, F.ceil(F.col("met") / BLOCK).cast("int").alias("blocks"))
@@ -182,7 +220,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     met = met.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(*cell, F.least("sub", "k").alias("a"), F.greatest("sub", "k").alias("b"), "sub", "rep")
     met = met.join(classes.select("rep", "copies", "vector"), "rep")
-    found = cut(met.groupBy(*cell, "a", "b").applyInArrow(_links, "rep long, n long, root long"))
+    # many small cells are taken at once; a cell's two blocks stay together
+    met = met.withColumn("key", F.xxhash64(*cell)).withColumn("deal", F.pmod(F.xxhash64("key", "a", "b"), F.lit(deals)))
+    found = cut(met.groupBy("deal", "size").applyInArrow(_links, "rep long, n long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
     told = classes.select("rep", "copies").join(counts, "rep", "left").join(whole, "rep", "left")
