@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embedding_dedup, html_extraction, language_id, license_scan, line_dedup, mixing, simhash, substring_dedup, topk
+from tidemark.llm import bpe, embedding_dedup, html_extraction, language_id, license_scan, line_dedup, mixing, oracles, simhash, substring_dedup, topk
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,7 @@ def _query(name: str, sql: str | None = None):
     return add
 
 
-@_query("op10_substring_dedup")
+@_query("op10_substring_dedup", oracles.SUBSTRINGS)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -39,7 +39,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-@_query("op9_mix_sources")
+@_query("op9_mix_sources", oracles.MIX)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -60,7 +60,7 @@ def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.selectExpr("id as page_id", "declared", "language", "round(confidence, 6) as confidence", "accepted")
 
 
-@_query("op6_embedding_near_dedup")
+@_query("op6_embedding_near_dedup", oracles.EMBEDDINGS)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
