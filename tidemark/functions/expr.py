@@ -89,3 +89,17 @@ def draw(*parts: str | Column) -> Column:
 def rounded(df, digits: int = 6):
     """All doubles of a result rounded, as its SQL does too."""
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def with_group(df, keys: list[str], source=None, **aggregates: Column):
+    """Each row with aggregates of its group (of all rows, without keys): map-side sums and a join, so no group meets in one task.
+
+    ``source``: the rows that are aggregated, if not ``df``. Each call reads them once more, so take all aggregates of a group in one.
+    """
+    stats = (df if source is None else source).groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(*[v.alias(k) for k, v in aggregates.items()])
+    if not keys:
+        return df.crossJoin(F.broadcast(stats))  # one row
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return df.join(stats, same).drop(*[f"_key{i}" for i in range(len(keys))])

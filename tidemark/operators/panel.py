@@ -94,24 +94,29 @@ def capped_by_room(df: DataFrame, cap: float, *groups: str, weight: str = "weigh
     return out.withColumn("capped", F.col("_c") + F.when((over > 1e-12) & (room > 0), F.least(over, room) * F.col("_room") / room).otherwise(F.lit(0.0))).drop("_w", "_c", "_room")
 
 
-def group_robust_z(df: DataFrame, value: str, group: str, *across: str, least: int = 4, bound: float = 8.0, out: str = "z") -> DataFrame:
-    """(x - median) / IQR within the group if it has ``least`` values, else among all; clipped."""
-    parts = {}
-    for name, keys in (("g", [*across, group]), ("a", list(across))):
-        part = W.partitionBy(*keys)
-        parts[name] = [F.count(value).over(part), F.median(value).over(part), F.percentile(value, 0.75).over(part) - F.percentile(value, 0.25).over(part)]
-    own = parts["g"][0] >= least
-    middle, spread = (F.when(own, g).otherwise(a) for g, a in zip(parts["g"][1:], parts["a"][1:]))
-    return df.withColumn(out, X.clip(X.ratio(F.col(value) - middle, spread, 1e-12), -bound, bound))
-
-
-def mad_z(df: DataFrame, value: str, *groups: str, least: int = 3, bound: float = 3.0, out: str = "z") -> DataFrame:
-    """(x - median) / (1.4826 MAD) in two passes; null with fewer than ``least`` values; clipped."""
-    part = W.partitionBy(*groups)
-    first = df.withColumn("_m", F.median(value).over(part)).withColumn("_n", F.count(value).over(part))
-    spread = F.median(F.abs(F.col(value) - F.col("_m"))).over(part) * 1.4826
-    z = X.clip(X.ratio(F.col(value) - F.col("_m"), spread, 1e-12), -bound, bound)
-    return first.withColumn(out, F.when(F.col("_n") >= least, z)).drop("_m", "_n")
+def group_robust_z(df: DataFrame, values: str | list[str], group: str, *across: str, least: int = 4, bound: float = 8.0) -> DataFrame:
+    """(x - median) / IQR within the group if it has ``least`` values, else among all; clipped. Columns ``z_<value>``."""
+    values = [values] if isinstance(values, str) else values
+    wide = lambda v: F.percentile(v, 0.75) - F.percentile(v, 0.25)
+    own = {f"_{k}_{v}": f(v) for v in values for k, f in (("gn", F.count), ("gm", F.median), ("gs", wide))}
+    every = {f"_{k}_{v}": f(v) for v in values for k, f in (("am", F.median), ("as", wide))}
+    both = X.with_group(X.with_group(df, [*across, group], **own), list(across), source=df, **every)
+    made = {}
+    for v in values:
+        enough = F.col(f"_gn_{v}") >= least
+        middle, spread = (F.when(enough, F.col(f"_g{k}_{v}")).otherwise(F.col(f"_a{k}_{v}")) for k in "ms")
+        made[f"z_{v}"] = X.clip(X.ratio(F.col(v) - middle, spread, 1e-12), -bound, bound)
+    return both.withColumns(made).drop(*own, *every)
+
+
+def mad_z(df: DataFrame, values: str | list[str], *groups: str, least: int = 3, bound: float = 3.0) -> DataFrame:
+    """(x - median) / (1.4826 MAD) in two passes; null with fewer than ``least`` values; clipped. Columns ``z_<value>``."""
+    values = [values] if isinstance(values, str) else values
+    one = {f"_{k}_{v}": f(v) for v in values for k, f in (("m", F.median), ("n", F.count))}
+    two = {f"_d_{v}": F.median(F.abs(F.col(v) - F.col(f"_m_{v}"))) for v in values}
+    both = X.with_group(X.with_group(df, list(groups), **one), list(groups), **two)
+    made = {f"z_{v}": F.when(F.col(f"_n_{v}") >= least, X.clip(X.ratio(F.col(v) - F.col(f"_m_{v}"), F.col(f"_d_{v}") * 1.4826, 1e-12), -bound, bound)) for v in values}
+    return both.withColumns(made).drop(*one, *two)
 
 
 def market_residuals(df: DataFrame, market: DataFrame, n: int = 126, least: int = 63, entity: str = "entity", ts: str = "date", ret: str = "r", bench: str = "rb") -> DataFrame:

@@ -92,24 +92,23 @@ def composite(df: DataFrame, styles: dict[str, list[tuple[str, float]]], weights
 
 def fundamental_gate(df: DataFrame, *across: str) -> DataFrame:
     """Reject reasons; null values pass; the quality percentile holds only among ten rows or more."""
-    part = W.partitionBy(*across)
-    low = F.when(F.count("quality").over(part) >= 10, F.percentile("quality", 0.3).over(part))
+    low = F.when(F.count("quality") >= 10, F.percentile("quality", 0.3))
     rules = {"few_ratios": F.col("known_ratios") < 6, "low_quality": F.col("quality") < F.col("_low"), "leverage": F.col("net_debt_ebitda") > 4, "coverage": F.col("coverage") < 1.5, "distress": F.col("altman_z") < 1.1, "liquidity": F.col("current_ratio") < 0.8}
-    out = df.withColumn("_low", low)
+    out = X.with_group(df, list(across), _low=low)
     reasons = F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()]))
     return out.withColumn("reasons", F.array_join(reasons, ";")).withColumn("accepted", F.col("reasons") == "").drop("_low")
 
 
 def posterior(df: DataFrame, value: str, variance: str, group: str, prior: float = 5.0) -> DataFrame:
     """Empirical-Bayes means: the group's mean, drawn to the whole's by n / (n + prior), then the entity's by precision."""
-    part, whole = W.partitionBy(group), W.partitionBy()
-    out = df.withColumn("_n", F.count(value).over(part)).withColumn("_all", F.avg(value).over(whole)).withColumn("_tau", F.var_samp(value).over(whole))
+    out = X.with_group(df, [group], _n=F.count(value), _g=F.avg(value))
+    out = X.with_group(out, [], source=df, _all=F.avg(value), _tau=F.var_samp(value))
     w = F.col("_n") / (F.col("_n") + prior)
-    out = out.withColumn("prior_mean", w * F.avg(value).over(part) + (1 - w) * F.col("_all"))
+    out = out.withColumn("prior_mean", w * F.col("_g") + (1 - w) * F.col("_all"))
     k = X.ratio("_tau", F.col("_tau") + F.col(variance))
     out = out.withColumn("posterior_mean", k * F.col(value) + (1 - k) * F.col("prior_mean")).withColumn("posterior_sd", F.sqrt(k * F.col(variance)))
     z = X.ratio("posterior_mean", "posterior_sd")
-    return out.withColumn("low", F.col("posterior_mean") - 1.96 * F.col("posterior_sd")).withColumn("high", F.col("posterior_mean") + 1.96 * F.col("posterior_sd")).withColumn("p_positive", normal_cdf(z)).drop("_n", "_all", "_tau")
+    return out.withColumn("low", F.col("posterior_mean") - 1.96 * F.col("posterior_sd")).withColumn("high", F.col("posterior_mean") + 1.96 * F.col("posterior_sd")).withColumn("p_positive", normal_cdf(z)).drop("_n", "_g", "_all", "_tau")
 
 
 def normal_cdf(z: Column) -> Column:

@@ -115,7 +115,7 @@ def a64(spark, d):
 @B.query("w15_penalties", f"""with {B.FILINGS}, r as (select filing, entity, net_income / revenue as x, (filing % 10) / 10.0::double as risk from fl), m as (select *, median(case when x > 0 then x end) over () as mid from r) select filing, round(x * (1 - 0.5::double * risk) * case when x > mid then 1.0 else 0.9 end, 6) as penalised from m""")
 def w15(spark, d):
     x = B.filings(spark, d).select("filing", (F.col("net_income") / F.col("revenue")).alias("x"), ((F.col("filing") % 10) / 10.0).alias("risk"))
-    x = x.withColumn("mid", F.median(F.when(F.col("x") > 0, F.col("x"))).over(W.partitionBy()))
+    x = X.with_group(x, [], mid=F.median(F.when(F.col("x") > 0, F.col("x"))))
     return X.rounded(x.select("filing", (F.col("x") * (1 - 0.5 * F.col("risk")) * F.when(F.col("x") > F.col("mid"), 1.0).otherwise(0.9)).alias("penalised")))
 
 
@@ -141,8 +141,7 @@ def w36(spark, d):
     p = B.prices(spark, d)
     x = p.join(B.market(p), "date")
     f = K.capture(x, "entity").join(x.groupBy("entity").agg(F.stddev_samp("r").alias("v")), "entity").withColumn("c", F.col("up_capture") - F.col("down_capture"))
-    whole = W.partitionBy()
-    f = f.withColumn("tc", F.percentile("c", 0.7).over(whole)).withColumn("tv", F.percentile("v", 0.8).over(whole))
+    f = X.with_group(f, [], tc=F.percentile("c", 0.7), tv=F.percentile("v", 0.8))
     u = f.where("c >= tc").select("entity", F.lit(1).alias("quota"), F.col("c").alias("s")).union(f.where("v <= tv").select("entity", F.lit(2), -F.col("down_capture")))
     k = u.withColumn("k", F.row_number().over(W.partitionBy("entity").orderBy("quota"))).where("k = 1")
     return k.orderBy("quota", F.round("s", 9).desc(), "entity").limit(40).select("entity", "quota")
@@ -152,7 +151,7 @@ def w36(spark, d):
 select entity, round(c + case when over_ > 1e-12 and rooms > 0 then least(over_, rooms) * room / rooms else 0 end, 6) as weight from r""")
 def w37(spark, d):
     f = B.prices(spark, d).groupBy("entity").agg((F.stddev_samp("r") * 100).alias("v"))
-    z = P.mad_z(f, "v").withColumn("weight", F.greatest(-F.col("z"), F.lit(0.0)))
+    z = P.mad_z(f, "v").withColumn("weight", F.greatest(-F.col("z_v"), F.lit(0.0)))
     return X.rounded(P.capped_by_room(z, 0.03).select("entity", F.col("capped").alias("weight")))
 
 

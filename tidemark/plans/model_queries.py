@@ -174,9 +174,7 @@ def a43(spark, d):
 @B.query("w13_group_distance")
 def w13(spark, d):
     x = B.prices(spark, d).join(B.sectors(spark, d), "entity").groupBy("entity", "sector").agg(F.avg("volume").alias("a"), (F.avg("r") * 100).alias("b"), (F.stddev_samp("r") * 100).alias("c"))
-    for c in "abc":
-        x = P.mad_z(x, c, "sector", out=f"z{c}")
-    return X.rounded(L.group_distance(x, "sector", "entity", ["za", "zb", "zc"]))
+    return X.rounded(L.group_distance(P.mad_z(x, ["a", "b", "c"], "sector"), "sector", "entity", ["z_a", "z_b", "z_c"]))
 
 
 @B.query("w33_common_factor")

@@ -80,7 +80,7 @@ case when n >= 4 then quantile_cont(x, 0.75) over g - quantile_cont(x, 0.25) ove
 select entity, sector, round(greatest(least((x - mid) / case when abs(iqr) > 1e-12 then iqr end, 8.0), -8.0), 6) as z from s""")
 def w11(spark, d):
     x = B.prices(spark, d).join(B.sectors(spark, d), "entity").groupBy("entity", "sector").agg(F.avg("volume").alias("x"))
-    return X.rounded(P.group_robust_z(x, "x", "sector").select("entity", "sector", "z"))
+    return X.rounded(P.group_robust_z(x, "x", "sector").select("entity", "sector", F.col("z_x").alias("z")))
 
 
 @B.query("w12_mad_z", f"""with {B.PX}, {B.SECTORS}, m as (select entity, sector, avg(volume) as x from px join sectors using (entity) group by 1, 2),
@@ -89,7 +89,7 @@ b as (select *, median(abs(x - mid)) over (partition by sector) * 1.4826::double
 select entity, sector, case when n >= 5 then round(greatest(least((x - mid) / case when mad > 1e-12 then mad end, 3.0), -3.0), 6) end as z from b""")
 def w12(spark, d):
     x = B.prices(spark, d).join(B.sectors(spark, d), "entity").groupBy("entity", "sector").agg(F.avg("volume").alias("x"))
-    return X.rounded(P.mad_z(x, "x", "sector", least=5).select("entity", "sector", "z"))
+    return X.rounded(P.mad_z(x, "x", "sector", least=5).select("entity", "sector", F.col("z_x").alias("z")))
 
 
 _W126 = "(partition by entity order by date rows between 125 preceding and current row)"

@@ -235,7 +235,7 @@ def w35(spark, d):
     f = B.prices(spark, d).join(B.sectors(spark, d), "entity").groupBy("entity", "sector").agg((F.avg("r") * 1e4).alias("m"), (F.stddev_samp("r") * 100).alias("v"), F.avg("volume").alias("q"))
     z = P.mad_z(f.unpivot(["entity", "sector"], ["m", "v", "q"], "feature", "x"), "x", "sector", "feature")
     k = spark.sql("select * from values ('trend', 'm', 1D), ('trend', 'v', -0.5D), ('calm', 'v', -1D), ('liquid', 'q', 1D), ('liquid', 'm', 0.25D) as t(book, feature, coef)")
-    return X.rounded(z.join(F.broadcast(k), "feature").groupBy("book", "entity").agg(F.sum(F.col("coef") * F.col("z")).alias("score")))  # a table of coefficients
+    return X.rounded(z.join(F.broadcast(k), "feature").groupBy("book", "entity").agg(F.sum(F.col("coef") * F.col("z_x")).alias("score")))  # a table of coefficients
 
 
 @B.query("w39_snapshot_weights", f"""with {B.PX}, k as (select *, row_number() over (partition by entity order by date desc) as k from px), s as (select entity, exp(sum(ln(1 + r))) - 1 as t, sqrt(avg(pow(least(r, 0.0), 2))) as dn, stddev_samp(r) as v from k where k <= 126 group by 1), o as (select *, row_number() over (order by round(t / nullif(dn, 0), 9) desc nulls last, entity) as o from s) select entity, round((1 / v) / sum(1 / v) over (), 6) as weight from o where o <= 10""")

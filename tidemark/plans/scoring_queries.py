@@ -91,8 +91,7 @@ def w14(spark, d):
 
     w = W.partitionBy("entity").orderBy(F.desc("period_end"), F.desc("available"), F.desc("filing"))
     x = S.fundamental_ratios(_priced(spark, d)).withColumn("k", F.row_number().over(w)).where("k = 1").join(B.customers(spark, d).select("entity", "sector"), "entity")
-    for c in ("fcf_yield", "price_book", "roic", "net_margin", "turnover"):
-        x = P.group_robust_z(x, c, "sector", out=f"z_{c}")
+    x = P.group_robust_z(x.select("entity", "sector", "fcf_yield", "price_book", "roic", "net_margin", "turnover"), ["fcf_yield", "price_book", "roic", "net_margin", "turnover"], "sector")
     x = S.composite(x, {"value": [("z_fcf_yield", 1.0), ("z_price_book", -1.0)], "quality": [("z_roic", 1.0), ("z_net_margin", 1.0), ("z_turnover", 1.0)]}, {"value": 0.4, "quality": 0.6})
     return X.rounded(x.select("entity", "value_style", "quality_style", "composite"))
 
@@ -177,7 +176,6 @@ def p27(spark, d):
 
     w = W.partitionBy("entity").orderBy(F.desc("period_end"), F.desc("available"), F.desc("filing"))
     x = S.fundamental_ratios(_priced(spark, d)).withColumn("k", F.row_number().over(w)).where("k = 1")
-    whole = W.partitionBy()
-    x = x.withColumn("mr", F.median("roic").over(whole)).withColumn("mt", F.median("turnover").over(whole)).where("roic < mr or coverage < 1.5")
+    x = X.with_group(x, [], mr=F.median("roic"), mt=F.median("turnover")).where("roic < mr or coverage < 1.5")
     reasons = F.array_compact(F.array(F.when(F.col("roic") < F.col("mr"), "roic below median"), F.when(F.col("turnover") < F.col("mt"), "turnover below median"), F.when(F.col("coverage") < 1.5, "thin coverage")))
     return x.select("entity", F.array_join(reasons, ";").alias("reasons"))
