@@ -337,9 +337,14 @@ def training_pages(htmls: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(pages: DataFrame, fit_pages: int = FIT_PAGES) -> Labeller:
-    """The labeller trained on ``fit_pages`` pages of ``id, html``, those of least hash (all, if there are fewer)."""
+    """The labeller trained on ``fit_pages`` pages of ``id, html``, those of least hash (all, if there are fewer; equal rows count once)."""
     known = pages.where((F.octet_length("html") > 0) & (F.octet_length("html") <= FIT_BYTES))
-    sample = known.orderBy(F.xxhash64("id", "html"), "id").limit(fit_pages).select("html").collect()
+    # the hashes are ordered without the pages, so that a task sends hashes only and the sample alone comes to the driver
+    known = known.select("html", F.xxhash64("id", "html").alias("hash"))
+    hashes = [r[0] for r in known.select("hash").distinct().orderBy("hash").limit(fit_pages).collect()]
+    if not hashes:
+        return Labeller()
+    sample = known.where(F.col("hash") <= hashes[-1]).groupBy("hash").agg(F.first("html").alias("html")).orderBy("hash").select("html").collect()
     out = Labeller()
     out.train(training_pages([r[0] for r in sample]))
     return out
