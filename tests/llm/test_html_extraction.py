@@ -19,11 +19,55 @@ def _article(html):
 
 
 def test_blocks():
-    got = [(b.path[-1].split()[0], b.text) for b in hx.blocks(PAGE)]
+    got = [(b.tag, b.text) for b in hx.blocks(PAGE)]
     assert got == [("li", "Home"), ("li", "News"), ("div", "We use cookies"), ("h1", "A & B"), ("p", "First bold text here"), ("p", "Second one"), ("p", "Third paragraph of the story, with some words"), ("p", "great post"), ("footer", "© 2020 the site")]
     assert hx.blocks(None) == [] and [b.text for b in hx.blocks("a < b <p>c<!-- open")] == ["a < b", "c"]
 
 
+def _texts(html):
+    return [b.text for b in hx.blocks(html)]
+
+
+def test_hidden_elements():
+    kept = "<article><p>hello</p></article>"
+    for before in ('<svg viewBox="0 0 1 1"/>', "<svg>", "<svg><text>x</text>", "<script/>", "<script>var a = 1;", "<style>p{", "<select><option>a<option>b</select>", "<datalist><option>a<option>b</datalist>", "<option>a<option>b", "<textarea>a", "<button>", "<noscript>", "<iframe>", "<head><title>T</title>", "<html><title>T"):
+        assert _texts(before + kept)[-1:] == ["hello"], before
+    for hidden in ("<svg><text>x</text></svg>", "<script>x</script>", "<button><div>x</div></button>", "<select><option>x<option>y</select>", "<noscript><p>x</p></noscript>", "<object><p>x</object>"):
+        assert _texts(f"<p>one {hidden}two</p><p>three</p>") == ["one two", "three"], hidden
+    assert _texts("<div><svg><g></div><p>a") == ["a"] and _texts("<svg><g><p>a</p></svg>b") == ["a", "b"]
+
+
+def test_deep_pages_take_memory_by_blocks():
+    import tracemalloc
+
+    tracemalloc.start()
+    page = hx.blocks("<div>x" * 100_000)
+    assert len(page) == 100_000 and page[-1].depth == 100_000 and hx.features(page).shape == (100_000, hx.INPUT)
+    assert tracemalloc.get_traced_memory()[1] < 400_000_000
+    tracemalloc.stop()
+
+
+def test_pages_without_semantic_markup(spark):
+    """The article's own tag is a plain ``div`` on every page, on nine of ten, and on every second."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: _article(r["html"]) for r in pages.collect()}
+    for kept in (0, 1, 5):
+        less = pages.selectExpr("page_id", "url", rf"case when page_id % 10 < {kept} then html else regexp_replace(html, '(</?)article', '$1div') end as html")
+        got = {r["page_id"]: r["text"] for r in hx.extract(less).collect()}
+        assert np.mean([got[i] == want[i] for i in want]) > 0.95
+
+
+def test_generated_pages_are_told_apart():
+    """Held-out pages of the generator, by a labeller that saw no given page."""
+    model = hx.Labeller()
+    model.train(hx.training_pages([]))
+    made, right = hx._Pages(99), []
+    for _ in range(100):
+        page = hx.blocks(made.page())
+        right += [(s >= 0.5) == b.told for s, b in zip(model.scores(*hx.padded([hx.features(page)]))[0], page)]
+    assert np.mean(right) > 0.95
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(0)
     model = hx.Labeller()
@@ -59,4 +103,6 @@ def test_edge_rows(spark, sf):
     got = {r["page_id"]: r["text"] for r in hx.extract(pages, fit_pages=80).collect()}
     assert got[1001] == "" and got[1002] == "" and "Second one" in got[None] and "cookies" not in got[None]
     assert got[1005].count("word and more words of it") >= 2900
+    twice = hx.extract(pages.union(pages), fit_pages=80).groupBy("page_id", "text").count().collect()
+    assert all(r["count"] == 2 for r in twice if r["page_id"] is not None)
     assert hx.extract(pages.limit(0)).collect() == []
