@@ -1,4 +1,7 @@
 import math
+import random
+
+import pytest
 
 from tidemark.llm import topk
 
@@ -34,3 +37,32 @@ def test_edge_rows(spark):
         assert got == _brute({0, 50, 100, 150}, rows, k)
     assert topk.search(df.limit(0), df, 3).collect() == [] and topk.search(df, df.limit(0), 3).collect() == []
     assert topk.search(df.limit(0), df.limit(0), 3).collect() == []
+
+
+def test_large_components_and_ragged_rows(spark, monkeypatch):
+    """Exact beyond 2^53, with slices that only some rows have."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
+    pick = random.Random(3)
+    for size in (1.0, 1e6, 1e5 + 0.37):
+        rows = [(i, [pick.uniform(-size, size) for _ in range(pick.choice([0, 1, 5, 16, 17, 40, 200 if i == 7 else 40]))]) for i in range(60)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        assert sorted(map(tuple, topk.search(df.where("vec_id % 6 = 0"), df, 4).collect())) == _brute(set(range(0, 60, 6)), rows, 4)
+    # 1e9 in few dimensions: whole numbers far beyond 2^53, within a long only where the other row is small
+    rows = [(0, [1e9 + 1, -3.0]), (1, [1e4 + 0.5, 1e9]), (2, [-1e4, 7e8]), (3, [1e3, -1e9 - 1]), (4, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.search(df.where("vec_id = 0"), df, 3).collect())) == _brute({0}, rows, 3)
+
+
+def test_what_fits_no_long_raises(spark):
+    for rows in ([(0, [1e17]), (1, [1.0])], [(0, [1e9]), (1, [1e9])]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="fit into a long|OverflowError"):
+            topk.search(df, df, 2).collect()
+
+
+def test_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (5, [1.0, 1.0]), (5, [1.0, 1.0]), (5, [4.0, 0.0]), (7, [0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.search(df.where("vec_id = 0"), df, 3).collect()
+    assert sorted(map(tuple, got)) == sorted([(0, 1, 5, 4 * 65536), (0, 2, 5, 3 * 65536), (0, 3, 5, 3 * 65536)] * 2)

@@ -1,219 +1,280 @@
 """Exact top-k search by a three-phase uniform threshold.
 
-The vectors' dimensions are cut into ``PARTS`` slices; a slice of a block of rows is
-a node, whose local score of a row is its share of the inner product.
-
-1. Each node lists the rows of its ``k`` best local scores for each query; their
-   whole scores are taken, and the k-th best over all blocks is a lower bound of the
-   k-th best score there is.
-2. The bound divided by the number of slices is the cutoff: a row whose score
-   reaches the bound has a local score at the cutoff or above in some slice. Nodes
-   give all such entries; a row that lacks an entry of a slice gets the cutoff there,
-   and rows whose sum falls short of the bound are gone.
+The vectors' dimensions are cut into slices of ``WIDTH``; a slice of a block of rows
+is a node, which holds nothing else. Its local score of a row is the row's share of
+the inner product with a query.
+
+1. Each node lists the ``k`` rows of best local score for each query, and the ``k``
+   best of a slice over all its blocks are gathered. The whole scores of these rows
+   are taken; the k-th best of them is a lower bound of the k-th best score there is.
+2. The bound divided by the query's number of slices is the cutoff, which is sent to
+   the nodes with the query: a row whose score reaches the bound has a local score at
+   the cutoff or above in some slice. Nodes send just those entries. A row that lacks
+   an entry of a slice has less than the cutoff there, and rows whose sum falls short
+   of the bound are gone. If the bound is not positive (or fewer than ``k`` rows are
+   known), no cutoff is safe and all rows are taken.
 3. The other rows' scores are resolved exactly, and the best ``k`` stay.
 
-Queries are met with rows block by block: a query block's copy goes to each block of
-rows (queries are few against rows), together with its own cutoffs, so nothing that
-grows with the data is broadcast. Each block answers with ``k`` rows a query, and
-answers are merged in two steps.
-
-Scores are integers: components are ``floor(256 x)``. They are exact below 2^53 in
-absolute value. Nulls and edges: vectors that are null or hold null or non-finite
-components, and rows with a null id, take no part; missing dimensions count as zero;
-no row is its query's own (rows of the query's id are left out); ties go to the
-smaller id; a query gets all rows there are if fewer than ``k``.
+A task holds one node and one block of queries at a time: queries are few against
+rows, and a copy of each goes to every block of rows, with its own cutoff, so that
+nothing that grows with the data is broadcast. Long vectors have more slices and make
+no other row longer.
+
+Scores are exact integers: components are ``floor(256 x)``. A component or a score that
+does not fit into a long raises an error. Nulls and edges: vectors that are null or
+hold null or non-finite components, and rows with a null id, take no part; missing
+dimensions count as zero, an empty vector is all zero; no row is its query's own
+(rows of the query's id are left out); ties go to the smaller id; a query gets all rows
+there are if fewer than ``k``. A repeated row is a row of its own, as a query too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-PARTS, QUERY_ROWS, BLOCK_ROWS, FACTOR = 4, 256, 2048, 256.0
+WIDTH, QUERY_ROWS, BLOCK_ROWS, FACTOR = 16, 128, 4096, 256.0
+#: Cells of a chunk of pairs whose scores are resolved at once.
+CHUNK = 1 << 20
+_LONG = 1 << 63
+_NONE = -_LONG
 
-_PACKED = "block int, ids binary, data binary"
+#: ``n``: the rows' own numbers; ``m``: their numbers of slices; ``bound``: of queries; ``sizes``: components of each row here.
+_PACKED = "kind string, part int, deal int, n binary, id binary, m binary, bound binary, sizes binary, data binary"
+_PAIRS = "query long, n long, id long, score long"
+_ENTRIES = "kind string, part int, q_deal int, x_deal int, n binary, id binary, m binary, bound binary, sizes binary, data binary"
 
 
-def _packed(name: str, dims: int):
-    def run(rows: pa.Table) -> pa.Table:
-        ids = rows.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        x = np.zeros((len(ids), dims))
-        for k, v in enumerate(rows.column("vector").to_pylist()):
-            x[k, : len(v)] = np.floor(FACTOR * np.asarray(v, np.float64))
-        block = rows.column(name)[0].as_py()
-        return pa.table([pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([x[order].tobytes()], pa.binary())], names=["block", "ids", "data"])
+def _schema(*deals: str) -> pa.Schema:
+    return pa.schema([("kind", pa.string()), *((c, pa.int32()) for c in ("part", *deals)), *((c, pa.binary()) for c in ("n", "id", "m", "bound", "sizes", "data"))])
 
-    return run
 
+_BLOCK, _ENTRY = _schema("deal"), _schema("q_deal", "x_deal")
 
-def _read(row: dict, prefix: str, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row[f"{prefix}_ids"], np.int64), np.frombuffer(row[f"{prefix}_data"], np.float64).reshape(-1, dims)
 
+def _packed(kind: str):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        values = rows.take(pa.array(order)).column("values").combine_chunks()
+        column = lambda name, t: rows.column(name).to_numpy()[order].astype(t).tobytes()
+        sizes = np.diff(values.offsets.to_numpy()).astype(np.int64)
+        data = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        row = {"kind": kind, "part": key[0].as_py(), "deal": key[1].as_py(), "n": column("n", np.int64), "id": column("id", np.int64), "m": column("m", np.int64), "bound": column("bound", np.int64), "sizes": sizes.tobytes(), "data": data.tobytes()}
+        return pa.Table.from_pylist([row], schema=_BLOCK)
 
-def _slices(dims: int) -> list[slice]:
-    edges = np.linspace(0, dims, min(PARTS, max(dims, 1)) + 1).astype(int)
-    return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
+    return run
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the ``k`` best scores, ties to the smaller id."""
-    if len(scores) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(scores))
-    return some[np.lexsort((ids[some], -scores[some]))[:k]]
+class _Block:
+    """Rows of a packed block, of all dimensions or of one slice."""
 
+    def __init__(self, row: dict) -> None:
+        self.n, self.id, self.m, self.bound, self.sizes, self.data = (np.frombuffer(row[c], np.int64) for c in ("n", "id", "m", "bound", "sizes", "data"))
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-def _answer(block: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """One row for a query block: places of queries in it, ids and scores."""
-    at = np.concatenate([np.full(len(i), q, np.int32) for q, i, _ in rows]) if rows else np.zeros(0, np.int32)
-    ids = np.concatenate([i for _, i, _ in rows]) if rows else np.zeros(0, np.int64)
-    scores = np.concatenate([s for *_, s in rows]) if rows else np.zeros(0)
-    return pa.record_batch([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (at, ids, scores))], names=["block", "at", "ids", "scores"])
+    def vectors(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """The first ``width`` components of ``rows``; missing ones are zero."""
+        if not len(self.data):
+            return np.zeros((len(rows), width), np.int64)
+        steps = np.arange(width)
+        at = np.minimum(self.starts[rows][:, None] + steps, len(self.data) - 1)
+        return np.where(steps < self.sizes[rows][:, None], self.data[at], 0)
 
 
-_ANSWERS = "block int, at binary, ids binary, scores binary"
+def _fits(q: np.ndarray, x: np.ndarray) -> int:
+    """A bound of all absolute scores of ``q`` with ``x``."""
+    most = lambda v: max(int(v.max(initial=0)), -int(v.min(initial=0)))
+    return q.shape[-1] * most(q) * most(x)
 
 
-def _local_lists(k: int, dims: int):
-    """Phase 1, of each pair of blocks."""
+def _exact(q: np.ndarray, x: np.ndarray, product, own: np.ndarray | bool = False) -> np.ndarray:
+    """``product`` of two integer arrays, in doubles or longs where these are exact and in whole numbers elsewhere; zero where ``own``, if it must be."""
+    bound = _fits(q, x)
+    if bound < 1 << 53:
+        return product(q.astype(np.float64), x.astype(np.float64)).astype(np.int64)
+    if bound < _LONG:
+        return product(q, x)
+    out = np.where(own, 0, product(q.astype(object), x.astype(object)))
+    if out.size and max(abs(int(out.max())), abs(int(out.min()))) >= _LONG:
+        raise OverflowError("an inner product does not fit into a long")
+    return out.astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (q_ids, q), (ids, x) = _read(row, "q", dims), _read(row, "x", dims)
-                shares = [q[:, s] @ x[:, s].T for s in _slices(dims)]
-                own = q_ids[:, None] == ids[None, :]
-                out = []
-                for n in range(len(q_ids)):
-                    there = np.flatnonzero(~own[n])
-                    take = min(k, len(there))
-                    if take:
-                        listed = np.unique(np.concatenate([there[np.argpartition(-p[n, there], take - 1)[:take]] for p in shares]))
-                        scores = sum(p[n, listed] for p in shares)
-                        best = _best(ids[listed], scores, k)
-                        out.append((n, ids[listed[best]], scores[best]))
-                yield _answer(row["block"], out)
-
-    return run
 
+def _local(q: _Block, x: _Block) -> np.ndarray:
+    return _exact(q.vectors(np.arange(len(q.n)), WIDTH), x.vectors(np.arange(len(x.n)), WIDTH), lambda a, b: a @ b.T, q.id[:, None] == x.id[None, :])
 
-def _enough(k: int, dims: int):
-    """Phases 2 and 3, of each pair of blocks: entries at the cutoff, upper bounds, exact scores."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                (q_ids, q), (ids, x) = _read(row, "q", dims), _read(row, "x", dims)
-                bound = np.full(len(q_ids), -np.inf)
-                told = np.frombuffer(row["bounds"], np.float64) if row["bounds"] else bound
-                bound[: len(told)] = told
-                parts = _slices(dims)
-                cutoff = (bound / len(parts))[:, None]
-                shares = [q[:, s] @ x[:, s].T for s in parts]
-                sent = [p >= cutoff for p in shares]
-                most = sum(np.where(e, p, cutoff) for p, e in zip(shares, sent))
-                live = np.logical_or.reduce(sent) & (most >= bound[:, None]) & (q_ids[:, None] != ids[None, :])
-                out = []
-                for n in range(len(q_ids)):
-                    at = np.flatnonzero(live[n])
-                    scores = sum(p[n, at] for p in shares)
-                    best = _best(ids[at], scores, k)
-                    out.append((n, ids[at[best]], scores[best]))
-                yield _answer(row["block"], out)
 
-    return run
+def _two(group: pa.Table) -> tuple[_Block, _Block] | None:
+    """The blocks of queries and of rows of a group, if both are there."""
+    rows = {r["kind"]: r for r in group.to_pylist() if r["kind"] in "qx"}
+    return (_Block(rows["q"]), _Block(rows["x"])) if len(rows) == 2 else None
 
 
-def _merged(k: int):
-    def run(answers: pa.Table) -> pa.Table:
-        at, ids, scores = (np.concatenate([np.frombuffer(x, t) for x in answers.column(c).to_pylist()]) for c, t in (("at", np.int32), ("ids", np.int64), ("scores", np.float64)))
-        order = np.lexsort((ids, -scores, at))
-        at, ids, scores = at[order], ids[order], scores[order]
-        firsts = np.flatnonzero(np.diff(at, prepend=-1))
-        rank = np.arange(len(at)) - np.repeat(firsts, np.diff(np.r_[firsts, len(at)]))
-        keep = rank < k
-        block = answers.column("block")[0].as_py()
-        return pa.Table.from_batches([_answer(block, [(0, ids[keep], scores[keep])])]).set_column(1, "at", pa.array([at[keep].tobytes()], pa.binary()))
+def _pairs(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """``_PAIRS`` of ``(query, numbers, ids, scores)``."""
+    join = lambda k: np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64)
+    query = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) for r in rows])
+    return pa.table({"query": query, "n": join(1), "id": join(2), "score": join(3)})
 
-    return run
 
+def _best(k: int, x: _Block, at: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places in ``at`` of the ``k`` best, ties to the smaller id."""
+    if len(at) > 4 * k:
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        some = np.flatnonzero(scores >= least)
+    else:
+        some = np.arange(len(at))
+    # by descending score: the complement turns longs around without overflow
+    return some[np.lexsort((x.n[at[some]], x.id[at[some]], ~scores[some]))[:k]]
 
-def _merge(answers: DataFrame, k: int, groups: int) -> DataFrame:
-    """One row for each query block: in two steps, first by ``group`` of row blocks."""
-    some = answers.withColumn("group", F.pmod(F.xxhash64("ids"), F.lit(groups))).groupBy("block", "group").applyInArrow(_merged(k), _ANSWERS)
-    return some.groupBy("block").applyInArrow(_merged(k), _ANSWERS)
 
+def _lists(k: int):
+    """Phase 1, of a node and a block of queries: the ``k`` best local scores."""
 
-def _bounds(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                at, scores = np.frombuffer(row["at"], np.int32), np.frombuffer(row["scores"], np.float64)
-                n = np.bincount(at, minlength=1)
-                least = np.full(len(n), np.inf)
-                np.minimum.at(least, at, scores)
-                out.append(np.where(n < k, -np.inf, least).tobytes())
-            yield pa.record_batch([batch.column("block"), pa.array(out, pa.binary())], names=["of_block", "bounds"])
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        two, out = _two(group), []
+        if two:
+            q, x = two
+            local = _local(q, x)
+            for i in range(len(q.n)):
+                at = np.flatnonzero(x.id != q.id[i])
+                best = _best(k, x, at, local[i, at])
+                out.append((q.n[i], x.n[at[best]], x.id[at[best]], local[i, at[best]]))
+        return _pairs(out).append_column("part", pa.array(np.full(sum(len(r[1]) for r in out), key[2].as_py()), pa.int32()))
 
     return run
 
 
-def _rows(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                at, ids, scores = (np.frombuffer(row[c], t) for c, t in (("at", np.int32), ("ids", np.int64), ("scores", np.float64)))
-                queries = np.frombuffer(row["q_ids"], np.int64)
-                firsts = np.flatnonzero(np.diff(at, prepend=-1))
-                rank = np.arange(len(at)) - np.repeat(firsts, np.diff(np.r_[firsts, len(at)])) + 1
-                yield pa.record_batch([pa.array(queries[at], pa.int64()), pa.array(rank, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores.astype(np.int64), pa.int64())], names=["query_id", "rank", "vec_id", "score"])
+def _cutoffs(q: _Block) -> np.ndarray:
+    """Least local score of an entry of each query: the bound shared by its slices, rounded up; none if it is not positive."""
+    return np.where(q.bound > 0, -(-q.bound // np.maximum(q.m, 1)), _NONE)
+
+
+def _sent(key: tuple, group: pa.Table) -> pa.Table:
+    """Phase 2, of a node and a block of queries: entries at the cutoff or above, as ``n`` (query), ``id`` (row) and ``data`` (local score)."""
+    two = _two(group)
+    out = []
+    if two:
+        q, x = two
+        local, least = _local(q, x), _cutoffs(q)
+        # without a cutoff a row is an entry of its first slice
+        asked = (least != _NONE) | (key[2].as_py() == 0)
+        i, j = np.nonzero((local >= least[:, None]) & asked[:, None] & (q.id[:, None] != x.id[None, :]))
+        if len(i):
+            empty = b""
+            out = [{"kind": "e", "part": key[2].as_py(), "q_deal": key[0].as_py(), "x_deal": key[1].as_py(), "n": q.n[i].tobytes(), "id": x.n[j].tobytes(), "m": empty, "bound": empty, "sizes": empty, "data": local[i, j].tobytes()}]
+    return pa.Table.from_pylist(out, schema=_ENTRY)
+
+
+def _resolved(k: int):
+    """Phases 2 and 3, of a block of rows and one of queries: bounds from all slices' entries, exact scores of what is left."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        entries = group.filter(pc.equal(group.column("kind"), "e"))
+        two = _two(group) if entries.num_rows else None
+        if not two:
+            return _pairs([])
+        q, x = two
+        numbers = lambda c: np.concatenate([np.frombuffer(v, np.int64) for v in entries.column(c).to_pylist()])
+        i, j, local = np.searchsorted(q.n, numbers("n")), np.searchsorted(x.n, numbers("id")), numbers("data")
+        place, own = np.unique(i * len(x.n) + j, return_inverse=True)
+        i, j = place // len(x.n), place % len(x.n)
+        told = np.bincount(own, minlength=len(place))
+        # in doubles, with room for their rounding
+        known = np.bincount(own, local.astype(np.float64), len(place))
+        least = _cutoffs(q)
+        most = known + (q.m[i] - told) * (least[i] - 1.0)
+        live = (least[i] == _NONE) | (most + 1e-9 * (np.abs(known) + np.abs(most) + 1) >= q.bound[i])
+        i, j = i[live], j[live]
+        scores, at = np.empty(len(i), np.int64), 0
+        while at < len(i):
+            wide = lambda n: min(int(q.sizes[i[at : at + n]].max()), int(x.sizes[j[at : at + n]].max()))
+            many = 4096
+            while many > 1 and many * wide(many) > CHUNK:
+                many //= 2
+            a, b = i[at : at + many], j[at : at + many]
+            width = max(wide(many), 1)
+            scores[at : at + many] = _exact(q.vectors(a, width), x.vectors(b, width), lambda u, v: (u * v).sum(axis=1))
+            at += many
+        out = []
+        starts = np.flatnonzero(np.diff(i, prepend=-1))
+        for s, e in zip(starts, [*starts[1:], len(i)]):
+            best = s + _best(k, x, j[s:e], scores[s:e])
+            out.append((q.n[i[s]], x.n[j[best]], x.id[j[best]], scores[best]))
+        return _pairs(out)
 
     return run
 
 
+def _components(v: Column) -> Column:
+    """``floor(256 x)`` of each component; an error if one does not fit into a long."""
+    whole = lambda x: F.floor(x.cast("double") * FACTOR)
+    fits = lambda x: F.abs(x.cast("double") * FACTOR) < float(_LONG)
+    return F.transform(v, lambda x: F.when(fits(x), whole(x)).otherwise(F.raise_error(F.lit("a component does not fit into a long")).cast("long")))
+
+
+def _numbered(df: DataFrame, id_col: str, vector_col: str, per_deal: int) -> tuple[DataFrame, int]:
+    """``n, id, vector, m, deal`` of the rows that take part, and the number of deals."""
+    v = F.col("vector")
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    df = df.where(F.col("id").isNotNull() & v.isNotNull() & fine)
+    df = cut(df.select(F.monotonically_increasing_id().alias("n"), "id", _components(v).alias("vector")))
+    many = max(1, -(-df.count() // per_deal))
+    m = F.greatest(F.ceil(F.size("vector") / WIDTH), F.lit(1)).cast("int")
+    return df.select("n", "id", "vector", m.alias("m"), F.pmod(F.xxhash64("n"), F.lit(many)).cast("int").alias("deal")), many
+
+
+def _blocks(df: DataFrame, kind: str, sliced: bool) -> DataFrame:
+    """Packed blocks: whole rows (part -1), or one for each slice and deal."""
+    bound = F.coalesce("bound", F.lit(_NONE)) if "bound" in df.columns else F.lit(_NONE)
+    columns = ["n", "id", "m", "deal", bound.alias("bound")]
+    if sliced:
+        part = lambda k: F.struct(k.alias("part"), F.slice("vector", k * WIDTH + 1, WIDTH).alias("values"))
+        rows = df.select(*columns, F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), part)).alias("x")).select(*columns, "x.part", "x.values")
+    else:
+        rows = df.select(*columns, F.lit(-1).alias("part"), F.col("vector").alias("values"))
+    return cut(rows.groupBy("part", "deal").applyInArrow(_packed(kind), _PACKED))
+
+
 def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows of each query by integer inner product."""
-
-    def usable(df: DataFrame) -> DataFrame:
-        v = F.col("vector")
-        fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"))
-        return df.where(F.col("id").isNotNull() & v.isNotNull() & fine)
-
-    queries, rows = usable(queries), usable(rows)
-    n, dims = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
-    asked, q_dims = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    dims = max(dims or 0, q_dims or 0, 1)
-    blocks, q_blocks = max(1, -(-n // BLOCK_ROWS)), max(1, -(-asked // QUERY_ROWS))
-
-    def packed(df: DataFrame, many: int) -> DataFrame:
-        dealt = df.withColumn("deal", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
-        return cut(dealt.groupBy("deal").applyInArrow(_packed("deal", dims), _PACKED))
-
-    q = packed(queries, q_blocks).select("block", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    x = packed(rows, blocks).select(F.col("block").alias("x_block"), F.col("ids").alias("x_ids"), F.col("data").alias("x_data"))
-
-    def pairs(q: DataFrame) -> DataFrame:
-        sent = q.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        return sent.join(x, F.col("to") == F.col("x_block")).drop("to", "x_block")
-
-    groups = max(1, int(blocks**0.5))
-    first = _merge(pairs(q).mapInArrow(_local_lists(k, dims), _ANSWERS), k, groups)
-    bounds = cut(first.mapInArrow(_bounds(k), "of_block int, bounds binary"))
-    told = q.join(bounds, F.col("block") == F.col("of_block")).drop("of_block")
-    last = _merge(pairs(told).mapInArrow(_enough(k, dims), _ANSWERS), k, groups)
-    named = last.join(q.select(F.col("block").alias("of_block"), "q_ids"), F.col("block") == F.col("of_block")).drop("of_block")
-    return named.mapInArrow(_rows(k), "query_id long, rank int, vec_id long, score long")
+    queries, q_deals = _numbered(queries, id_col, vector_col, QUERY_ROWS)
+    rows, x_deals = _numbered(rows, id_col, vector_col, BLOCK_ROWS)
+    rest = ["n", "id", "m", "bound", "sizes", "data"]
+
+    def met(q: DataFrame, x: DataFrame) -> DataFrame:
+        """Each block of queries beside each block of rows of its slice."""
+        q = q.select("kind", "part", F.col("deal").alias("q_deal"), F.explode(F.sequence(F.lit(0), F.lit(x_deals - 1))).alias("x_deal"), *rest)
+        x = x.select("kind", "part", F.explode(F.sequence(F.lit(0), F.lit(q_deals - 1))).alias("q_deal"), F.col("deal").alias("x_deal"), *rest)
+        return q.unionByName(x)
+
+    node, sliced = ["q_deal", "x_deal", "part"], _blocks(rows, "x", True)
+    lists = met(_blocks(queries, "q", True), sliced).groupBy(*node).applyInArrow(_lists(k), f"{_PAIRS}, part int")
+    best = F.row_number().over(W.partitionBy("query", "part").orderBy(F.desc("score"), "id", "n"))
+    listed = lists.withColumn("place", best).where(F.col("place") <= k).select("query", "n").distinct()
+    asked = queries.select(F.col("n").alias("query"), F.col("vector").alias("q_vector"))
+    whole = listed.join(rows.select("n", "vector"), "n").join(asked, "query")
+    products = F.zip_with("q_vector", "vector", lambda a, b: F.coalesce(a, F.lit(0)).cast("decimal(38,0)") * F.coalesce(b, F.lit(0)).cast("decimal(38,0)"))
+    # a bound need not be exact, only safe: beyond a long it is cut to one
+    score = F.aggregate(products, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
+    score = F.greatest(F.least(score, F.lit(_LONG - 1).cast("decimal(38,0)")), F.lit(1 - _LONG).cast("decimal(38,0)")).cast("long")
+    bounds = whole.select("query", score.alias("score")).groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+    bounds = bounds.select(F.col("query").alias("n"), F.get("scores", F.lit(k - 1)).alias("bound"))
+    told = cut(queries.join(bounds, "n", "left"))
+    sent = met(_blocks(told, "q", True), sliced).groupBy(*node).applyInArrow(_sent, _ENTRIES)
+    last = met(_blocks(told, "q", False), _blocks(rows, "x", False)).unionByName(sent).groupBy("q_deal", "x_deal").applyInArrow(_resolved(k), _PAIRS)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id", "n"))
+    last = last.withColumn("rank", rank).where(F.col("rank") <= k)
+    names = queries.select(F.col("n").alias("query"), F.col("id").alias("query_id"))
+    return last.join(names, "query").select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 #: The same in DuckDB's SQL, for every 50th id of ``embeddings`` and the 5 best.
