@@ -41,3 +41,23 @@ def test_nearest_e8_point_is_nearest():
     d = ((x - at) ** 2).sum(axis=1)
     assert (((x[:, None] - at[:, None] - ed._NEAR[None]) ** 2).sum(axis=2) >= d[:, None] - 1e-9).all()
     assert d.max() <= 1 + 1e-9
+
+
+def test_rows_of_one_id_link_each_by_its_own_vector(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.0, 2.0]), (3, [0.0, 2.0]), (4, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "a") for r in rows], "vec_id long, embedding array<double>, label string")
+    got = sorted(map(tuple, ed.near_duplicates(df).collect()))
+    # (1, [1, 0]) links with 2; (1, [0, 1]) with both rows of 3
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
+
+
+def test_pairs_of_blocks_against_all_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(8) + 0.12 * rng.standard_normal((300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    here, sub, group = rng.random(300) < 0.3, rng.integers(0, 2, 300), np.sort(rng.integers(0, 4, 300) // 3)
+    want = np.triu((x @ x.T >= ed.COSINE) & (group[:, None] == group) & (here[:, None] | here), 1)
+    for cross in (False, True):
+        own = want & (sub[:, None] != sub) if cross else want
+        i, j = ed._near_pairs(group, x, here, sub, np.full(300, cross), np.zeros((300, 2), np.int64))
+        assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(own)))

@@ -10,13 +10,15 @@ Equal vectors of a label are one class with a count. Links are never made as pai
 a cell answers with a number of links and one root for each vector, where a pair
 that meets in several tables or cells counts at its first meeting only, which both
 vectors' cells tell. A cell with many vectors is cut into blocks that meet two at a
-time, so no task holds more than two blocks. Recall against brute force is measured
-in the tests (0.9 is asked; see the README for figures).
+time, and what meets is dealt out by its number of rows, so a group in a task holds
+``DEAL_ROWS`` as expected however crowded a cell is. Recall against brute force is
+measured in the tests (0.9 is asked; see the README for figures).
 
 Nulls and edges: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows with a null label or id, link with nothing and are their own
-component (null for a null id). Vectors of different lengths never link. An id is
-taken to name one vector; repeated rows of it count as separate equal vectors.
+component (null for a null id). Vectors of different lengths never link. Every row
+is a vector of its own: repeated rows count as equal vectors, and rows of one id with
+different vectors link each by its own.
 """
 
 from __future__ import annotations
@@ -36,9 +38,9 @@ from tidemark.llm.components import connected_components
 COSINE = 0.98
 TABLES, PROBES, SCALE, SEED = 6, 8, 0.30, 20240229
 #: Vectors of a block of a cell.
-BLOCK = 1024
-#: Vectors and tables for each deal of cells.
-DEAL_ROWS = 8192
+BLOCK = 512
+#: Rows of each deal of cells, as expected.
+DEAL_ROWS = 4096
 
 
 def _neighbours() -> np.ndarray:
@@ -133,8 +135,11 @@ def _meets(home: np.ndarray, keys: np.ndarray, tab: np.ndarray) -> np.ndarray:
     return (keys[at, tab] == home[at, tab][:, None]).any(axis=1)
 
 
-def _near_pairs(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i < j of one group (rows are sorted by it) whose unit vectors reach the cosine."""
+def _near_pairs(group: np.ndarray, x: np.ndarray, here: np.ndarray, sub: np.ndarray, cross: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i < j of one group (rows are sorted by it) whose unit vectors reach the cosine, one of them ``here`` and, if ``cross``, of two blocks.
+
+    ``homes``: cells of each row in the tables before. Pairs of large groups that share one met there and are left out.
+    """
     starts = np.flatnonzero(np.diff(group, prepend=-1))
     sizes = np.diff(np.r_[starts, len(group)])
     left, right = [], []
@@ -143,15 +148,32 @@ def _near_pairs(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarra
     live = np.flatnonzero(np.repeat(sizes <= 64, sizes))
     step = 1
     while len(live := live[place[live] >= step]):
-        near = live[np.einsum("ij,ij->i", x[live], x[live - step]) >= COSINE]
+        some = live[(here[live] | here[live - step]) & (~cross[live] | (sub[live] != sub[live - step]))]
+        near = some[np.einsum("ij,ij->i", x[some], x[some - step]) >= COSINE]
         left.append(near - step)
         right.append(near)
         step += 1
     for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
-        own = x[s : s + n]
-        i, j = np.nonzero(np.triu(own @ own.T >= COSINE, 1))
-        left.append(i + s)
-        right.append(j + s)
+        rows = np.arange(s, s + n)
+        first = sub[rows] == sub[s] if cross[s] else np.ones(n, bool)
+        one, two = rows[first], rows[~first] if cross[s] else rows
+        # those that live here meet all, the others of the first block only those of the second that live here
+        for a, b in ((one[here[one]], two), (one[~here[one]], two[here[two]])):
+            for low in range(0, len(a), 256):
+                own = a[low : low + 256]
+                near = x[own] @ x[b].T >= COSINE
+                for k in range(homes.shape[1]):
+                    near &= (homes[own, k][:, None] != homes[b, k]) | (homes[own, k][:, None] == 0)
+                i, j = np.nonzero(near)
+                i, j = own[i], b[j]
+                if not cross[s]:
+                    # a pair of two that live here is met twice
+                    once = ~here[j] | (i < j)
+                    i, j = i[once], j[once]
+                left.append(np.minimum(i, j))
+                right.append(np.maximum(i, j))
+            if not cross[s]:
+                break
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
 
 
@@ -168,14 +190,13 @@ def _links(cells: pa.Table) -> pa.Table:
     home = keys[:, :, 0]
     new_group = np.ones(len(rep), bool)
     new_group[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    i, j = _near_pairs(np.cumsum(new_group) - 1, units[own])
-    here = lambda k, rows: home[own[rows], k] == cell[rows]
+    here = home[own, tab] == cell
+    before = np.where(np.arange(TABLES - 1) < tab[:, None], home[own, : TABLES - 1], 0)
+    i, j = _near_pairs(np.cumsum(new_group) - 1, units[own], here, sub, a != b, before)
     t = tab[i]
-    keep = (here(t, i) | here(t, j)) & ((a[i] == b[i]) | (sub[i] != sub[j]))
-    i, j, t = i[keep], j[keep], t[keep]
     # met before: in an earlier table, or in this one at the home of the smaller
     u, v = own[i], own[j]
-    new = ~(here(t, j) & ~here(t, i) & _meets(home[u], keys[v], t))
+    new = ~(here[j] & ~here[i] & _meets(home[u], keys[v], t))
     for k in range(TABLES - 1):
         earlier = np.flatnonzero(new & (t > k))
         at = np.full(len(earlier), k)
@@ -208,15 +229,17 @@ def _usable(vector: Column) -> Column:
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``df``."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("vector"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(_usable(F.col("vector")), F.lit(False)))
-    classes = cut(rows.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+    vector = F.when(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(_usable(F.col(vector_col)), F.lit(False)), F.col(vector_col))
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), vector.alias("vector"))
+    # a class has a number of its own, as an id may name several vectors
+    classes = rows.where("vector is not null").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     cell = ["label", "size", "tab", "cell"]
-    deals = max(2 * shuffle_partitions(df.sparkSession), classes.count() * TABLES // DEAL_ROWS)
-    dealt = classes.select("label", "vector", "rep").mapInArrow(_deal, _KEYS)
+    dealt = cut(classes.select("label", "vector", "rep").mapInArrow(_deal, _KEYS))
     busy = dealt.groupBy(*cell).agg(F.count("*").alias("met"), F.bool_or("home").alias("lived")).where("lived and met > 1")
-    busy = busy.select(*cell, F.ceil(F.col("met") / BLOCK).cast("int").alias("blocks"))
-    met = dealt.join(busy, cell).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    busy = cut(busy.select(*cell, "met", F.ceil(F.col("met") / BLOCK).cast("int").alias("blocks")))
+    deals = max(2 * shuffle_partitions(df.sparkSession), int(busy.agg(F.sum(F.col("met") * F.col("blocks"))).first()[0] or 0) // DEAL_ROWS)
+    met = dealt.join(busy.drop("met"), cell).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select(*cell, F.least("sub", "k").alias("a"), F.greatest("sub", "k").alias("b"), "sub", "rep")
     met = met.join(classes.select("rep", "copies", "vector"), "rep")
@@ -225,12 +248,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     found = cut(met.groupBy("deal", "size").applyInArrow(_links, "rep long, n long, root long"))
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     whole = connected_components(found, "rep", "root").withColumnRenamed("node", "rep")
-    told = classes.select("rep", "copies").join(counts, "rep", "left").join(whole, "rep", "left")
-    told = told.select("rep", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    same = rows.join(classes.select("label", "vector", "rep"), ["label", "vector"]).select("id", "rep")
-    told = same.join(told, "rep").select("id", "n_links", "component_id").distinct()
-    ids = df.select(F.col(id_col).cast("long").alias("vec_id"))
-    out = ids.join(told, F.col("vec_id") == F.col("id"), "left")
+    told = classes.select("rep", "least", "copies").join(counts, "rep", "left").join(whole, "rep", "left")
+    told = cut(told.select("rep", "least", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("root")))
+    smallest = told.groupBy("root").agg(F.min("least").alias("component_id"))
+    told = told.join(smallest, "root").select("rep", "n_links", "component_id")
+    named = classes.select("label", "vector", "rep").join(told, "rep").drop("rep")
+    out = rows.join(named, ["label", "vector"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
 
