@@ -56,3 +56,14 @@ def test_thresholds_follow_the_general_pigeonhole_principle():
         plan = sh.allocate(together * total / 1000, total)
         assert sum(t + 1 for _, t in plan) == sh.RADIUS + 1
         assert len({b for own, _ in plan for b in own}) == sum(len(own) for own, _ in plan)
+
+
+def test_keep_one_drops_rows_not_ids(spark):
+    same, other = "one two three four five six seven", "an unrelated text of quite other words altogether here"
+    rows = [(1, same, 0), (5, same, 1), (5, other, 2), (7, same.upper(), 3), (None, same, 4), (8, other, 5), (9, None, 6), (10, "", 7), (1, same, 8), (5, other.upper(), 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    got = sorted((str(r[0]), r[1], r[2]) for r in sh.keep_one(docs).collect())
+    kept = {k for _, _, k in got}
+    # of the two spellings of 5's other text one stays
+    assert kept - {2, 9} == {0, 4, 6, 8} and len(kept & {2, 9}) == 1
+    assert sh.keep_one(docs.limit(0)).collect() == []

@@ -74,13 +74,19 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         offsets, data = wk.text_buffers(batch.column("text"))
         got = [slice_fingerprints(offsets, data, a, b) for a, b in wk.slices(offsets)]
         if got:
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.concatenate(got).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(np.concatenate(got).view(np.int64))], names=["doc_id", "key", "fp"])
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, key, fp``: with a hash of the text, which tells rows of one id apart."""
+    text = F.col(text_col).cast("string")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    return docs.mapInArrow(_fingerprints, "doc_id long, key long, fp long")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fp`` (signed) for every row; a text without words (null too) has fingerprint zero."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return _keyed(docs, id_col, text_col).drop("key")
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +265,23 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that reach a smaller id; rows with a null id stay."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group: that of the smallest id, and of several texts of this id one.
+
+    Judged by row: rows of one id with different texts stay or go each by its own text;
+    rows with the same id and text are one document and stay or go together; rows with
+    a null id stay and make no other go. Null and empty texts are a group like any
+    other. Columns stay as they are, whatever their names.
+    """
+    own = cut(_keyed(docs, id_col, text_col).where("doc_id is not null"))
+    distinct = cut(own.select("fp").distinct())
+    whole = connected_components(links(distinct)).withColumnRenamed("node", "fp")
+    rows = cut(own.join(whole, "fp", "left").select("doc_id", "key", F.coalesce("component", "fp").alias("group")).distinct())
+    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = rows.join(first, "group").where("doc_id <> first.doc_id or key <> first.key").select("doc_id", "key")
+    # a text is in one group, so no row is asked to stay and to go
+    held = docs.select(F.struct("*").alias("held"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"))
+    return held.join(gone, ["doc_id", "key"], "left_anti").select("held.*")
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, str, int]]:
