@@ -51,3 +51,25 @@ def test_edge_rows(spark):
     assert taken.columns == docs.columns and taken.where("doc_id = 901").count() == 1
     few = spark.createDataFrame([(1, "a b", "x"), (2, "c d", "x")], "doc_id long, text string, source string")
     assert sorted(r["taken"] for r in _check(few)) == [2, 2]
+
+
+def test_take_goes_by_row(spark):
+    """One id on a long and a short text, repeated rows, and columns of the operator's own names."""
+    rows = [(4, "w " * 1000, "a", 1), (4, "v", "a", 2), (5, "u u", "b", 3), (5, "u u", "b", 3), (None, "t t t", None, 4), (6, None, "b", 5)]
+    docs = spark.createDataFrame([(*r, r[3], r[3], r[3]) for r in rows], "doc_id long, text string, source string, row int, _id int, _times int, held int")
+    want = {}
+    for r in mixing.mix(docs).collect():
+        size = r["size"]
+        want[(r["doc_id"], size)] = want.get((r["doc_id"], size), 0) + (r["taken"] // size if size else 1)
+    got = {}
+    for r in mixing.take(docs).collect():
+        k = (r["doc_id"], len((r["text"] or "").split()))
+        got[k] = got.get(k, 0) + 1
+    assert mixing.take(docs).columns == docs.columns
+    assert got == {k: n for k, n in want.items() if n}
+
+
+def test_many_sources_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
+    rows = [(k, "a b c " * (k % 11 + 1), f"host{k % 100}") for k in range(400)]
+    _check(spark.createDataFrame(rows, "doc_id long, text string, source string"))

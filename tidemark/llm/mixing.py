@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
 #: Least rows of a bucket, as expected.
 BUCKET_ROWS = 2048
+#: Parts that each source is dealt into where it meets its target.
+SALTS = 16
 _DRAW_BITS = 60
 
 
@@ -40,6 +42,11 @@ def _bucket_rows(n: Column) -> Column:
     return F.greatest(F.lit(float(BUCKET_ROWS)), F.ceil(F.sqrt(n.cast("double"))).cast("double"))
 
 
+def _ranged(rows: DataFrame, order: list[Column], parts: int) -> DataFrame:
+    """``rows`` with ``_part``, which follows the order, as kept in the shared folder."""
+    return cut(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
     """``source, source_size, docs, target`` from ``source, size``, one row for each source.
 
@@ -47,21 +54,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     sizes is shared by weight; no target exceeds ``most`` times its source's size, and
     the excess is shared anew by weight until none does: sources are filled in the
     order of limit over weight, and those come to their limit whose limit lies below
-    their share of what the sources before them leave.
+    their share of what the sources before them leave. Sources may be many: their
+    order is taken part by part.
     """
-    own = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    rank = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    own = own.withColumn("weight", weight).withColumn("most", F.col("source_size").cast("double") * most)
-    order = W.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(W.partitionBy()).cast("double") - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing))
-    level = own.withColumn("level", F.greatest(left, F.lit(0.0)) / rest).withColumn("full", F.col("most") <= F.col("weight") * F.col("level"))
+    own = cut(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")))
+    many, total = own.agg(F.count("*"), F.sum("source_size")).first()
+    parts, by_source = max(1, -(-many // BUCKET_ROWS)), F.col("source").asc_nulls_last()
+    ranked = _running(_ranged(own, [by_source], parts).withColumn("_one", F.lit(1)), [], "_part", [by_source], "_one", "_rank")
+    weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("_rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    own = ranked.withColumn("weight", weight).withColumn("most", F.col("source_size").cast("double") * most).drop("_part", "_one", "_rank")
+    order = [(F.col("most") / F.col("weight")).asc(), by_source]
+    filled = _ranged(own, order, parts)
+    weighs = filled.agg(F.sum("weight")).first()[0] or 0.0
+    filled = _running(_running(filled, [], "_part", order, "most", "_filled"), [], "_part", order, "weight", "_weighed")
+    left = F.lit(float(total or 0)) - (F.col("_filled") - F.col("most"))
+    rest = F.lit(float(weighs)) - F.col("_weighed") + F.col("weight")
+    level = filled.withColumn("level", F.greatest(left, F.lit(0.0)) / rest).withColumn("full", F.col("most") <= F.col("weight") * F.col("level"))
+    level = cut(level)
     # the first source that is not full sets the level of all after it
-    shared = F.min(F.when(~F.col("full"), F.struct(F.col("most") / F.col("weight"), F.col("level")))).over(W.partitionBy())["level"]
+    # (of several with one limit over weight, the first has the highest level)
+    first = level.where("not full").agg(F.min(F.struct(F.col("most") / F.col("weight"), (-F.col("level")).alias("less")))).first()[0]
+    shared = F.lit(-first["less"] if first else 0.0)
     target = F.when(F.col("full"), F.col("most")).otherwise(F.least("most", F.col("weight") * shared))
-    return level.withColumn("shared", shared).select("source", "source_size", "docs", target.alias("target"))
+    return level.select("source", "source_size", "docs", target.alias("target"))
 
 
 def _draw(passed: Column, doc: Column) -> Column:
@@ -91,7 +106,10 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     # passes that the target can reach; the last of them is cut by the merged queue
     passes = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(F.col("target") / F.col("source_size")) + 1)).otherwise(F.lit(1))
     targets = targets.withColumn("passes", passes.cast("int")).withColumn("parts", F.ceil(F.col("docs") / _bucket_rows(F.col("docs"))))
-    queued = sizes.join(targets, "key").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+    # a source may have most of the rows: its target goes to all salts, and they are dealt among them
+    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sizes = sizes.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    queued = sizes.join(salted, ["key", "salt"]).drop("salt").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     queued = queued.withColumn("draw", _draw(F.col("pass"), F.col("doc_id")))
     # buckets of a source: by pass, then by draw
     part = F.floor(F.col("draw") / F.lit(float(1 << _DRAW_BITS)) * F.col("parts"))
@@ -116,22 +134,28 @@ def mix_sizes(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
     return whole.groupBy("row", "doc_id", "size", "source_size", "target").agg(took)
 
 
-def _sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+def _sizes(docs: DataFrame, row: Column, id_col: str, text_col: str, source_col: str) -> DataFrame:
     doc, source = F.col(id_col).cast("long"), F.col(source_col).cast("string")
     # repeated rows stay apart by a number of their own, kept by the checkpoint
-    own = docs.select(doc.alias("doc_id"), source.alias("source"), word_count(F.col(text_col)).alias("size"))
-    return cut(own.withColumn("row", F.monotonically_increasing_id()))
+    return cut(docs.select(doc.alias("doc_id"), source.alias("source"), word_count(F.col(text_col)).alias("size"), row.alias("row")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """``doc_id, size, source_size, target, taken``, a row for each row of ``docs``."""
-    return mix_sizes(_sizes(docs, id_col, text_col, source_col), weights).drop("row")
+    return mix_sizes(_sizes(docs, F.monotonically_increasing_id(), id_col, text_col, source_col), weights).drop("row")
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """``docs`` as mixed: each row as often as the mix takes it; a row without words stays once."""
-    found = mix(docs, id_col, text_col, source_col, weights).groupBy("doc_id").agg(F.sum("size").alias("_size"), F.sum("taken").alias("_taken"))
-    times = F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(F.lit(1)).cast("int")
-    found = found.select(F.col("doc_id").alias("_id"), times.alias("_times")).where("_times > 0")
-    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    """``docs`` as mixed: each row as often as the mix takes it; a row without words stays once.
+
+    Judged by row, also where rows share an id, a text or all they have; null ids,
+    texts and sources are taken like others. Columns stay as they are, whatever their names.
+    """
+    # what was numbered is written, so that rows keep their numbers
+    numbered = stored(docs.select(F.struct("*").alias("held"), F.monotonically_increasing_id().alias("row")))
+    flat = numbered.select("row", *[F.col("held").getField(c).alias(f"own_{k}") for k, c in enumerate((id_col, text_col, source_col))])
+    found = mix_sizes(_sizes(flat, F.col("row"), "own_0", "own_1", "own_2"), weights)
+    times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(1)).cast("int")
+    found = found.select("row", times.alias("times")).where("times > 0")
+    joined = numbered.join(found, "row")
+    return joined.select("held", F.explode(F.sequence(F.lit(1), F.col("times")))).select("held.*")

@@ -7,7 +7,7 @@ s1 as (select *, [1.0, 2.0, 3.0][((row_number() over (order by source nulls last
 s2 as (select *, greatest(sum(source_size) over ()::double - coalesce(sum(most) over (order by most / w, source nulls last rows between unbounded preceding and 1 preceding), 0), 0)
   / sum(w) over (order by most / w, source nulls last rows between current row and unbounded following) as level from s1),
 s3 as (select *, most <= w * level as full_ from s2),
-s4 as (select source, source_size, case when full_ then most else least(most, w * (select arg_min(level, most / w) from s3 where not full_)) end as target from s3),
+s4 as (select source, source_size, case when full_ then most else least(most, w * (select level from s3 where not full_ order by most / w, source nulls last limit 1)) end as target from s3),
 p as (select doc_id, coalesce('s' || d.source, 'n') as key, size, source_size, target,
   unnest(range(0, case when source_size > 0 then least(3, floor(target / source_size)::bigint + 1) else 1 end)) as pass from d join s4 on d.source is not distinct from s4.source),
 q as (select *, ('0x' || substr(md5(pass || ':' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as draw from p),
