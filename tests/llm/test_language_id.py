@@ -35,3 +35,28 @@ def test_edge_rows(spark):
     assert got[(3, None)] == ("en", True) and got[(None, "de")] == ("de", True)
     assert li.keep_accepted(docs).columns == docs.columns and li.keep_accepted(docs).count() == 4
     assert li.digest(docs.limit(0)).collect() == []
+
+
+def test_many_declared_languages(spark):
+    """100 languages, each with words of its own; a rare one is found as well."""
+    import random
+
+    pick, rows = random.Random(1), []
+    for k in range(100):
+        letters = [chr(97 + (k * 7 + j * (k % 11 + 1)) % 26) + chr(97 + (k // 26 + j * 3) % 26) for j in range(8)]
+        own = ["".join(pick.choice(letters) for _ in range(3)) for _ in range(12)]
+        rows += [(1000 * k + j, " ".join(pick.choice(own) for _ in range(40)), f"l{k}", "s") for j in range(2 if k % 9 else 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = li.digest(docs).collect()
+    assert sum(r["language"] == r["declared"] for r in got) > 0.98 * len(rows)
+    assert len({r["language"] for r in got}) >= 98
+
+
+def test_rows_that_share_an_id_and_undeclared_tables(spark):
+    good = "the house and the garden of the old man"
+    rows = [(1, good, "en", "a", 1, 2), (1, "?", "en", "a", 1, 2), (1, good, "en", "a", 1, 2), (None, "?", "en", "a", 1, 2), (2, None, None, None, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _own_row int, held int")
+    kept = li.keep_accepted(docs)
+    assert kept.columns == docs.columns and [r["text"] for r in kept.collect()] == [good, good]
+    none = docs.drop("lang").selectExpr("*", "cast(null as string) as lang")
+    assert li.keep_accepted(none).count() == 5 and not any(r["accepted"] for r in li.digest(none).collect())

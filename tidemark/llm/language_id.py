@@ -9,16 +9,17 @@ Four sources of evidence are multiplied as odds:
 * the host: a prior smoothed from the whole table to the domain and from the domain
   to the host. A row's own share is taken out of its host's counts.
 
-The trigram model is fitted on a bounded sample of rows with a declared language
-(``FIT_ROWS`` expected, chosen by hash of the id); every count and prior comes from a
-grouped aggregate over all rows, so a host with a third of the rows costs no more
+The languages are all that are declared anywhere. The trigram model is fitted on a
+bounded sample of their rows (``FIT_ROWS`` expected in all and ``LANGUAGE_ROWS`` more
+of each language, chosen by hash); every count and prior comes from a grouped aggregate over all rows, so a host with a third of the rows costs no more
 than its map-side sums. Only a small row for each document is kept; texts are not
 shuffled.
 
 Nulls and edges: a null or empty text, or one without three bytes between
 separators, gives no text evidence and is rejected; a null declaration, suffix or
 host gives none of its kind; ties go to the language first by code point; a table
-without any declared language has no known language and every row is rejected.
+without any declared language has no known language: ``identify`` accepts no row of
+it and ``keep_accepted`` leaves it as it is.
 """
 
 from __future__ import annotations
@@ -35,9 +36,10 @@ from tidemark.llm.common import cut
 
 #: Rows that the text model is fitted on, as expected.
 FIT_ROWS = 5000
-#: Most languages told apart: those declared most often in the sample.
-LANGUAGES = 64
-CELLS = 1 << 15
+#: Rows of each language, as expected, that the model is fitted on at least (all, if there are fewer).
+LANGUAGE_ROWS = 50
+#: Trigram cells of a language, and of all languages together: with very many languages each has fewer.
+CELLS, ALL_CELLS = 1 << 15, 1 << 24
 TEXT_WEIGHT, SMOOTHING, HOST_WEIGHT, DOMAIN_WEIGHT = 100.0, 0.5, 10.0, 50.0
 MIN_CONFIDENCE = 0.5
 
@@ -46,7 +48,12 @@ _LOWER[65:91] += 32
 _PART = {"id": "long", "row": "long", "declared": "string", "suffix": "string", "domain": "string", "host": "string"}
 
 
-def _trigrams(offsets: np.ndarray, data: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+def _cells_of(languages: int) -> int:
+    """Cells of each language's model, a power of two."""
+    return 1 << max(8, min(CELLS, ALL_CELLS // max(languages, 1)).bit_length() - 1)
+
+
+def _trigrams(offsets: np.ndarray, data: np.ndarray, low: int, high: int, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """The cell of each trigram of documents ``low`` to ``high`` that has no separator amid or two, and the count for each document."""
     base = int(offsets[low])
     x = _LOWER[data[base : int(offsets[high])]].astype(np.uint32)
@@ -55,7 +62,7 @@ def _trigrams(offsets: np.ndarray, data: np.ndarray, low: int, high: int) -> tup
         return np.zeros(0, np.int64), np.zeros(high - low, np.int64)
     word = wk._IS_WORD[x]
     x = np.where(word, x, 32)
-    cells = (((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(32 - 15)
+    placed = (((x[:-2] << 16) | (x[1:-1] << 8) | x[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(33 - cells.bit_length())
     good = word[1:-1] & (word[:-2] | word[2:])
     # a trigram over the end of a document is no one's
     edge = bounds[1:-1]
@@ -63,19 +70,20 @@ def _trigrams(offsets: np.ndarray, data: np.ndarray, low: int, high: int) -> tup
         at = edge - k
         good[at[(at >= 0) & (at < len(good))]] = False
     at = np.flatnonzero(good)
-    return cells[at].astype(np.int64), np.diff(np.searchsorted(at, bounds))
+    return placed[at].astype(np.int64), np.diff(np.searchsorted(at, bounds))
 
 
 def _counts(languages: list[str]):
     places = {v: k for k, v in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS * len(languages), np.int64)
+        many_cells = _cells_of(len(languages))
+        total = np.zeros(many_cells * len(languages), np.int64)
         for batch in batches:
             offsets, data = wk.text_buffers(batch.column("text"))
             own = np.array([places.get(v, -1) for v in batch.column("declared").to_pylist()])
             for a, b in wk.slices(offsets):
-                cells, many = _trigrams(offsets, data, a, b)
+                cells, many = _trigrams(offsets, data, a, b, many_cells)
                 label = np.repeat(own[a:b], many)
                 total += np.bincount(cells[label >= 0] * len(languages) + label[label >= 0], minlength=len(total))
         at = np.flatnonzero(total)
@@ -87,16 +95,18 @@ def _counts(languages: list[str]):
 def fit(rows: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and the log probability of each trigram cell in each of them, from a sample of ``id, declared, text``."""
     known = rows.where("declared is not null and text is not null")
-    n = known.count()
-    share = min(1.0, fit_rows / max(n, 1))
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("declared", "text")
-    top = sample.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(LANGUAGES).collect()
-    languages = sorted((r[0] for r in top), key=str.encode)
-    table = np.full(CELLS * max(len(languages), 1), SMOOTHING)
+    # one row for each language
+    counts = {r[0]: r[1] for r in known.groupBy("declared").count().collect()}
+    languages, n = sorted(counts, key=str.encode), sum(counts.values())
+    cells = _cells_of(len(languages))
+    table = np.full(cells * max(len(languages), 1), SMOOTHING)
     if languages:
+        shares = [(v, int(min(1.0, fit_rows / n + LANGUAGE_ROWS / counts[v]) * (1 << 30))) for v in languages]
+        drawn = rows.sparkSession.createDataFrame(shares, "declared string, share long")
+        sample = known.join(F.broadcast(drawn), "declared").where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.col("share")).select("declared", "text")
         for cell, k in sample.mapInArrow(_counts(languages), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
             table[cell] += k
-    table = table.reshape(CELLS, -1)
+    table = table.reshape(cells, -1)
     return languages, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
@@ -107,7 +117,7 @@ def _scores(table, size: int):
             offsets, data = wk.text_buffers(batch.column("text"))
             grams, out = [], []
             for a, b in wk.slices(offsets):
-                cells, many = _trigrams(offsets, data, a, b)
+                cells, many = _trigrams(offsets, data, a, b, len(logs))
                 own = np.zeros((b - a, size))
                 some = np.flatnonzero(many)
                 if len(some):
@@ -135,9 +145,14 @@ def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
 
+def _let(x: Column, f) -> Column:
+    """``f`` of ``x``, which is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _softmax(a: Column) -> Column:
-    top = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(top, lambda x: x / _total(top))
+    shared = lambda e: _let(_total(e), lambda t: F.transform(e, lambda x: x / t))
+    return _let(a, lambda v: _let(F.array_max(v), lambda m: _let(F.transform(v, lambda x: F.exp(x - m)), shared)))
 
 
 def _evidence(shares: DataFrame, key: str, size: int) -> DataFrame:
@@ -172,7 +187,7 @@ def identify(rows: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     base = F.array(*[F.lit(float(x)) for x in everywhere])
     less = lambda n: F.zip_with(n, "share", lambda a, b: F.greatest(a - b, F.lit(0.0)))
     out = out.withColumn("domain_n", less("domain_n")).withColumn("host_n", less("host_n"))
-    smooth = lambda n, prior, weight: F.zip_with(n, prior, lambda a, b: (a + b * weight) / (_total(F.col(n)) + weight))
+    smooth = lambda n, prior, weight: _let(_total(F.col(n)), lambda t: F.zip_with(n, prior, lambda a, b: (a + b * weight) / (t + weight)))
     out = out.withColumn("prior", smooth("domain_n", base, DOMAIN_WEIGHT))
     out = out.withColumn("prior", F.when(F.col("host").isNull(), base).otherwise(smooth("host_n", F.col("prior"), HOST_WEIGHT)))
     zero = F.array(*[F.lit(0.0)] * size)
@@ -190,10 +205,10 @@ def _nothing() -> Column:
     return F.lit(None).cast("string")
 
 
-def from_documents(docs: DataFrame) -> DataFrame:
-    """Rows for ``identify``: the declared language is ``lang`` and the host is ``source``."""
+def from_documents(docs: DataFrame, *others: str) -> DataFrame:
+    """Rows for ``identify``: the declared language is ``lang`` and the host is ``source``; there is no domain over it."""
     source = F.col("source").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), _nothing().alias("suffix"), source.alias("domain"), source.alias("host"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("declared"), _nothing().alias("suffix"), _nothing().alias("domain"), source.alias("host"), *others)
     return rows.withColumn("row", F.xxhash64("id", "text", "declared", "host"))
 
 
@@ -214,7 +229,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language is rejected."""
-    gone = identify(from_documents(docs)).where("not accepted").select(F.col("row").alias("_gone_row")).distinct()
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), F.col("source").cast("string"))
-    return docs.withColumn("_own_row", row).join(gone, F.col("_own_row") == F.col("_gone_row"), "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose language is rejected.
+
+    Judged by row: rows that share an id go each by its own text. If no language is
+    declared at all, none is known and nothing goes. Columns stay as they are,
+    whatever their names.
+    """
+    if docs.where("lang is not null").isEmpty():
+        return docs
+    found = identify(from_documents(docs))
+    gone = found.where("not accepted").select("id", "row").distinct()
+    own = from_documents(docs.select("doc_id", "text", "lang", "source", F.struct("*").alias("held")), "held")
+    same = own["id"].eqNullSafe(gone["id"]) & (own["row"] == gone["row"])
+    return own.join(gone, same, "left_anti").select("held.*")
