@@ -17,3 +17,26 @@ def test_edge_rows(spark):
     assert {i: n for i, _, n in got}[5] == 2
     assert ls.scan(docs.limit(0)).collect() == []
     assert {tuple(r["licenses"]) for r in ls.scan(docs, templates={}).collect()} == {()}
+
+
+def test_whole_licences_are_found_by_name(spark):
+    """Each template alone, wrapped, indented as a comment, and with a copyright line and prose around it."""
+    import textwrap
+
+    rows, names = [], sorted(ls.TEMPLATES)
+    for k, name in enumerate(names):
+        text = ls.TEMPLATES[name]
+        wrapped = textwrap.fill(text, 72)
+        rows += [(4 * k, text), (4 * k + 1, wrapped), (4 * k + 2, textwrap.indent(wrapped, " * ")), (4 * k + 3, f"Some words about a project.\n\nMore of them here\n\n{wrapped}\n\nThe end of the file.")]
+    got = {r["doc_id"]: set(r["licenses"]) for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, name in enumerate(names):
+        for j in range(4):
+            assert name in got[4 * k + j], (name, j)
+
+
+def test_licences_of_several_paragraphs(spark):
+    text = ls.TEMPLATES["mit-text"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 someone\n\n" + text), (2, "intro\n\n" * 3 + text + "\n\nand so on" * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: set(r["licenses"]) for r in ls.scan(docs).collect()}
+    assert got == {i: ls.brute_force(t, ls.TEMPLATES) for i, t in rows} and all("mit-text" in v for v in got.values())
