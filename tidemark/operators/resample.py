@@ -135,3 +135,21 @@ def normal_quantile(p):
     t = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
     z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
     return F.when(p >= 0.5, z).otherwise(-z)
+
+
+def combination_stability(combos: DataFrame, df: DataFrame, key: str, ts: str, ret: str, reps: int, seed: int) -> DataFrame:
+    """``key, selected``: the share of bootstrap draws in which it is in the combination of ``members`` with the best Sortino ratio.
+
+    A draw weighs each period 0, 1 or 2; a member without a row of a period returns nothing there.
+    """
+    periods = df.select(ts).distinct()
+    parts = combos.select("members", F.explode("members").alias(key)).join(df.select(key, ts, ret), key)
+    held = parts.groupBy("members", ts).agg((F.sum(ret) / F.max(F.size("members"))).alias("_r"))
+    draws = periods.crossJoin(F.broadcast(df.sparkSession.range(reps).select(F.col("id").alias("rep"))))  # a calendar by the draws
+    draws = draws.withColumn("_k", F.floor(X.draw(seed, F.col("rep"), F.col(ts)) * 3))
+    weighs = draws.groupBy("rep").agg(F.sum("_k").alias("_all"))
+    x = draws.where("_k > 0").join(held, ts).groupBy("rep", "members").agg(F.sum(F.col("_k") * F.col("_r")).alias("_up"), F.sum(F.col("_k") * F.pow(F.least("_r", F.lit(0.0)), 2)).alias("_down"))
+    x = x.join(F.broadcast(weighs), "rep")  # one row a draw
+    x = x.withColumn("_s", F.round(X.ratio(X.ratio("_up", "_all"), F.sqrt(X.ratio("_down", "_all"))), 9))
+    best = x.withColumn("_o", F.row_number().over(W.partitionBy("rep").orderBy(F.desc_nulls_last("_s"), "members"))).where("_o = 1")
+    return best.select(F.explode("members").alias(key)).groupBy(key).agg((F.count("*") / F.lit(float(reps))).alias("selected"))

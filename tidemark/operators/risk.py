@@ -185,7 +185,7 @@ def information_coefficient(df: DataFrame, by: str, score: str, outcome: str) ->
     ranked = df.where(F.col(score).isNotNull() & F.col(outcome).isNotNull()).withColumn("_a", X.average_rank(score, by)).withColumn("_b", X.average_rank(outcome, by))
     out = ranked.groupBy(by).agg(F.corr("_a", "_b").alias("ic"), F.count("*").alias("n"))
     order = W.orderBy(by)  # one row for each date
-    return out.withColumn("ic_3", F.avg("ic").over(order.rowsBetween(-2, 0))).withColumn("hit_rate", F.avg((F.col("ic") > 0).cast("double")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return out.withColumn("ic_3", F.avg("ic").over(order.rowsBetween(-2, 0))).withColumn("hit_rate", F.avg((F.round("ic", 9) > 0).cast("double")).over(order.rowsBetween(W.unboundedPreceding, 0)))
 
 
 def ledger(df: DataFrame, entity: str, ts: str, ret: str, capital: float) -> DataFrame:
@@ -195,3 +195,28 @@ def ledger(df: DataFrame, entity: str, ts: str, ret: str, capital: float) -> Dat
     out = df.withColumn("end_capital", capital * F.exp(F.sum(F.log1p(F.greatest(F.col(ret), F.lit(-0.999999)))).over(run)))
     out = out.withColumn("begin_capital", F.coalesce(F.lag("end_capital").over(w), F.lit(capital))).withColumn("pnl", F.col("end_capital") - F.col("begin_capital"))
     return out.withColumn("peak", F.greatest(F.max("end_capital").over(run), F.lit(capital))).withColumn("drawdown", F.col("end_capital") / F.col("peak") - 1)
+
+
+def carry_validation(levels: DataFrame, rates: DataFrame, least: int = 60, trend_days: int = 252) -> DataFrame:
+    """Each ordered pair of countries: its spread of ``rate`` against the risk of the cross rate of ``lv``, in per cent.
+
+    A pair of fewer than ``least`` days has no figures of risk and is charged 20 for each.
+    Countries are few; their pairs meet by date.
+    """
+    a, b = (levels.select(F.col("country").alias(n), "date", F.col("lv").alias(f"lv_{n}")) for n in ("long", "short"))
+    q = a.join(b, "date").where("long <> short").withColumn("q", X.ratio("lv_long", "lv_short")).where("q > 0")
+    w, back = X.by(["long", "short"], "date"), W.partitionBy("long", "short").orderBy(F.desc("date"))
+    q = q.withColumn("log", F.log("q") - F.log(F.lag("q").over(w))).withColumn("down", F.col("q") / F.max("q").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    q = q.withColumn("back", F.row_number().over(back)).withColumn("n", F.count("*").over(W.partitionBy("long", "short")))
+    at = lambda k: F.max(F.when(F.col("back") == k, F.col("q")))
+    trend = (at(F.lit(1)) / at(F.least("n", F.lit(trend_days))) - 1) * 100
+    m = q.groupBy("long", "short").agg(F.max("n").alias("n"), (F.stddev_samp("log") * F.sqrt(F.lit(252.0)) * 100).alias("vol"), (F.min("down") * 100).alias("max_drawdown"), trend.alias("trend"))
+    m = m.withColumns({c: F.when(F.col("n") >= least, F.col(c)) for c in ("vol", "max_drawdown", "trend")})
+    for n in ("long", "short"):
+        m = m.join(rates.select(F.col("country").alias(n), F.col("rate").alias(f"rate_{n}")), n)
+    m = m.withColumn("spread", F.col("rate_long") - F.col("rate_short"))
+    q1, mid, q3 = (F.percentile("spread", F.lit(p)).over(W.partitionBy()) for p in (0.25, 0.5, 0.75))  # one row a pair of countries
+    m = m.withColumn("z", (F.col("spread") - mid) / F.greatest(q3 - q1, F.lit(1e-9))).withColumn("coverage", X.ratio("spread", "vol"))
+    m = m.withColumn("adjusted", F.col("spread") - 0.25 * F.coalesce("vol", F.lit(20.0)) - 0.1 * F.coalesce(F.abs("max_drawdown"), F.lit(20.0)))
+    good = (F.round("spread", 9) > 0) & (F.round("adjusted", 9) > 0)
+    return m.select("long", "short", "n", "spread", "vol", "max_drawdown", "trend", "z", "coverage", "adjusted", good.alias("admissible"))

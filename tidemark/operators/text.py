@@ -30,13 +30,39 @@ def needs_translation(text: Column, lang: Column, home: str = "en", share: float
     return F.coalesce(lang != home, F.lit(False)) | F.coalesce(X.ratio(foreign, letters) >= share, F.lit(False))
 
 
-def risk_features(docs: DataFrame, terms: dict[str, str], entity: str, order: str, text: str = "text") -> DataFrame:
-    """Tokens, counts of each category's pattern per 10,000 tokens, and the worsening against the entity's document before."""
-    tokens = F.size(F.filter(F.split(F.lower(text), r"[^a-z]+"), lambda t: t != ""))
-    out = docs.withColumn("tokens", tokens).withColumns({f"{k}_per_10k": X.ratio(F.regexp_count(F.lower(text), F.lit(p)) * 1e4, "tokens") for k, p in terms.items()})
-    w = X.by(entity, order)
-    total = sum(F.coalesce(F.col(f"{k}_per_10k"), F.lit(0.0)) for k in terms)
-    return out.withColumn("risk", total).withColumn("worsening", F.col("risk") - F.lag("risk").over(w))
+#: Categories of risk and the words and phrases that mention them.
+RISK_TERMS = {
+    "litigation": ["litigation", "lawsuit", "legal proceeding", "settlement", "subpoena", "investigation"],
+    "impairment": ["impairment", "write-down", "writedown", "goodwill impairment", "asset impairment"],
+    "going_concern": ["going concern", "substantial doubt", "continue as a going concern"],
+    "debt_covenant": ["debt covenant", "covenant compliance", "default", "cross-default", "credit agreement"],
+    "liquidity": ["liquidity risk", "working capital", "cash flow constraints", "capital resources"],
+    "cyber": ["cybersecurity", "cyber attack", "data breach", "ransomware"],
+    "regulatory": ["regulatory", "sanctions", "tariff", "export control", "antitrust"],
+    "ai_automation": ["artificial intelligence", "machine learning", "automation", "generative ai"],
+}
+#: Categories that are counted but are no part of the whole risk.
+NO_RISK = ("ai_automation",)
+
+
+def risk_features(docs: DataFrame, entity: str, order: str, text: str = "text", terms: dict[str, list[str]] | None = None) -> DataFrame:
+    """Tokens, mentions of each category per 10,000 tokens, their sum as ``risk``, and ``worsening`` against the entity's document before.
+
+    Words are counted as whole tokens, phrases wherever they stand. Worsening is not negative, and zero for a first document.
+    """
+    terms = RISK_TERMS if terms is None else terms
+    own = docs.withColumn("_low", F.lower(text)).withColumn("_tokens", F.filter(F.split("_low", r"[^a-z-]+"), lambda t: t != ""))
+    out = own.withColumn("tokens", F.size("_tokens"))
+    for name, said in terms.items():
+        words, phrases = [t for t in said if " " not in t], [t for t in said if " " in t]
+        listed = F.array(*[F.lit(t) for t in words]) if words else F.array().cast("array<string>")
+        counts = F.size(F.filter("_tokens", lambda t: F.array_contains(listed, t)))  # noqa: B023, used at once
+        for p in phrases:
+            counts = counts + (F.length("_low") - F.length(F.replace(F.col("_low"), F.lit(p), F.lit("")))) / len(p)
+        out = out.withColumn(f"{name}_per_10k", X.ratio(counts * 1e4, "tokens"))
+    risk = sum(F.coalesce(F.col(f"{k}_per_10k"), F.lit(0.0)) for k in terms if k not in NO_RISK)
+    out = out.drop("_low", "_tokens").withColumn("risk", risk)
+    return out.withColumn("worsening", F.coalesce(F.greatest(F.col("risk") - F.lag("risk").over(X.by(entity, order)), F.lit(0.0)), F.lit(0.0)))
 
 
 def similarity_to_prior(docs: DataFrame, entity: str, order: str, text: str = "text") -> DataFrame:

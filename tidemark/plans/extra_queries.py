@@ -161,10 +161,13 @@ def w48(spark, d):
     return X.rounded(x.select("country", *[F.col(str(k)).alias(f"y{k}") for k in range(1, 8)]))
 
 
-@B.query("b03_circular_blocks", "with r as (select rep, i, (floor((('0x' || substr(md5('9|' || rep || '|' || (i // 10)), 1, 8))::ubigint / 4294967296.0::double) * p.n)::bigint + i % 10) % p.n as pos from range(20) a(rep), (select least(count(*), 200) as n from part) p, range(200) b(i) where i < p.n) select rep::int as rep, i::int as i, pos::int as pos from r")
+@B.query("b03_circular_blocks", f"""with {B.PX}, sr as (select row_number() over (order by date) - 1 as pos, date, r from (select date, round(avg(r), 10) as r from px group by 1)), n as (select count(*) as n from sr),
+ix as (select rep, i, (floor((('0x' || substr(md5('9|' || rep || '|' || (i // 10)), 1, 8))::ubigint / 4294967296.0::double) * n)::bigint + i % 10) % n as pos from range(20) a(rep), n, range(n) b(i))
+select rep::int as rep, i::int as i, ix.pos::int as pos, date, round(r, 6) as r from ix join sr using (pos)""")
 def b03(spark, d):
-    n = min(B.table(spark, d, "part").count(), 200)
-    return S.block_indices(spark, n, 20, 10, 9)
+    days = B.prices(spark, d).groupBy("date").agg(F.round(F.avg("r"), 10).alias("r"))
+    series = days.withColumn("pos", (F.row_number().over(W.orderBy("date")) - 1).cast("int"))  # one row a day
+    return X.rounded(S.block_indices(spark, days.count(), 20, 10, 9).join(series, "pos"))
 
 
 @B.query("b11_combination_grid")

@@ -85,7 +85,7 @@ def _second(p):
     return p.where((F.col("entity") * 7 + day) % 3 != 0).select("entity", "date", F.when((F.col("entity") + day) % 50 == 0, F.col("close") * 1.01).otherwise(F.col("close")).alias("close"))
 
 
-@B.query("j09_prefer_right", f"with {B.PX}, {_SECOND}, a as (select entity, date, close from px where entity % 2 = 0) select entity, date, round(coalesce(s.close, a.close) + 1e-9, 6) as close from a full join second s using (entity, date)")
+@B.query("j09_prefer_right", f"with {B.PX}, {_SECOND}, u as (select entity, date, close, 2 as o from px where entity % 2 = 0 union all select entity, date, close, 1 from second) select entity, date, round(arg_min(close, o) + 1e-9, 6) as close from u group by 1, 2")
 def j09(spark, d):
     p = B.prices(spark, d)
     return X.rounded(J.prefer(p.where("entity % 2 = 0"), _second(p), ["entity", "date"], "close").withColumn("close", F.col("close") + 1e-9))

@@ -190,14 +190,21 @@ def w34(spark, d):
     return X.rounded(L.latent_regimes(m, ["rb", "vol"], "date").select("date", "state", "entropy"))
 
 
-_TERMS = {"loss": r"\b(not|under|loss)\w*", "legal": r"\b(licen[sc]e|rights|law)\w*", "trust": r"\b(that|is|the)\b"}
+def _mentions(said: list[str]) -> str:
+    words, phrases = [t for t in said if " " not in t], [t for t in said if " " in t]
+    counted = [f"len(list_filter(tk, lambda x: x in ({', '.join(map(repr, words))})))"] if words else []
+    return "(" + " + ".join(counted + [f"(length(low) - length(replace(low, '{p}', ''))) / {len(p)}" for p in phrases]) + ") * 1e4::double / nullif(tokens, 0)"
 
 
-@B.query("a58_text_risk", """with t as (select doc_id, source, len(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '')) as tokens, """ + ", ".join(f"len(regexp_extract_all(lower(text), '{p}')) * 1e4 as {k}" for k, p in _TERMS.items()) + """ from documents), r as (select *, coalesce(loss / nullif(tokens, 0), 0) + coalesce(legal / nullif(tokens, 0), 0) + coalesce(trust / nullif(tokens, 0), 0) as risk from t)
-select doc_id, tokens::int as tokens, round(loss / nullif(tokens, 0), 5) as loss_per_10k, round(legal / nullif(tokens, 0), 5) as legal_per_10k, round(trust / nullif(tokens, 0), 5) as trust_per_10k, round(risk - lag(risk) over (partition by source order by doc_id), 5) as worsening from r""")
+_RISKS = " + ".join(f"coalesce({k}, 0)" for k in T.RISK_TERMS if k not in T.NO_RISK)
+
+
+@B.query("a58_text_risk", f"""with d as (select doc_id, source, lower(text) as low, list_filter(regexp_split_to_array(lower(text), '[^a-z-]+'), lambda x: x <> '') as tk from documents), t as (select *, len(tk) as tokens from d),
+c as (select doc_id, source, tokens, {", ".join(f"{_mentions(v)} as {k}" for k, v in T.RISK_TERMS.items())} from t), r as (select *, {_RISKS} as risk from c)
+select doc_id, tokens::int as tokens, {", ".join(f"round({k}, 5) as {k}_per_10k" for k in T.RISK_TERMS)}, round(coalesce(greatest(risk - lag(risk) over (partition by source order by doc_id), 0), 0), 5) as worsening from r""")
 def a58(spark, d):
-    x = T.risk_features(B.table(spark, d, "documents"), _TERMS, "source", "doc_id")
-    return X.rounded(x.select("doc_id", "tokens", "loss_per_10k", "legal_per_10k", "trust_per_10k", "worsening"), 5)
+    x = T.risk_features(B.table(spark, d, "documents"), "source", "doc_id")
+    return X.rounded(x.select("doc_id", "tokens", *[f"{k}_per_10k" for k in T.RISK_TERMS], "worsening"), 5)
 
 
 @B.query("a58_similarity_to_prior", r"""with k as (select doc_id, text, lag(doc_id) over (partition by source order by doc_id) as prior from documents), w as (select doc_id, word, count(*) as n from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')) as word from documents) group by 1, 2), nm as (select doc_id, sqrt(sum(n * n)) as norm from w group by 1),

@@ -205,28 +205,27 @@ def j17(spark, d):
     return X.rounded(x.select("entity", "month", "entry_date", "exit_date", (F.col("c1") / F.col("c0") - 1 + 1e-10).alias("ret")))
 
 
-@B.query("j20_survivorship_compare", f"""with {B.PX}, s as (select entity from px group by 1 having max(date) >= date '2001-06-01'), a as (select avg(r) * 1e4 as m, stddev_samp(r) as s from px), b as (select avg(r) * 1e4 as m, stddev_samp(r) as s from px where entity in (select entity from s)) select 'mean_bp' as metric, round(a.m, 6) as before, round(b.m, 6) as after, round(b.m - a.m, 6) as delta, b.m > a.m as inflated from a, b union all select 'sd', round(a.s, 6), round(b.s, 6), round(b.s - a.s, 6), b.s > a.s from a, b""")
+@B.query("j20_survivorship_compare", f"""with {B.PX}, s as (select entity from px group by 1 having max(date) >= date '2001-06-01'), a as (select avg(r) * 1e4 as m, stddev_samp(r) as s from px), b as (select avg(r) * 1e4 as m, stddev_samp(r) as s from px where entity in (select entity from s)) select 'mean_bp' as metric, round(a.m, 6) as before, round(b.m, 6) as after, round(b.m - a.m, 6) as delta, round(b.m, 6) > round(a.m, 6) as inflated from a, b union all select 'sd', round(a.s, 6), round(b.s, 6), round(b.s - a.s, 6), round(b.s, 6) > round(a.s, 6) from a, b""")
 def j20(spark, d):
     p = B.prices(spark, d)
     s = p.groupBy("entity").agg(F.max("date").alias("m")).where("m >= date '2001-06-01'")
     agg = lambda x: x.agg((F.avg("r") * 1e4).alias("mean_bp"), F.stddev_samp("r").alias("sd")).unpivot([], ["mean_bp", "sd"], "metric", "value")
     x = agg(p).withColumnRenamed("value", "before").join(agg(p.join(s, "entity", "left_semi")).withColumnRenamed("value", "after"), "metric")
-    return X.rounded(x.withColumn("delta", F.col("after") - F.col("before")).withColumn("inflated", F.col("after") > F.col("before")))
+    return X.rounded(x.withColumn("delta", F.col("after") - F.col("before")).withColumn("inflated", F.round("after", 6) > F.round("before", 6)))
 
 
-@B.query("j21_carry_validation", f"""with {B.RATES}, ra as (select country, avg(rate) as rate from rt where tenor <= 2 group by 1), pn as (select country, date, avg(rate) as lv from rt group by 1, 2), top as (select country from ra order by rate desc, country limit 6), x as (select a.country as l, b.country as s, a.date, a.lv / nullif(b.lv, 0) as q from pn a join pn b using (date) where a.country <> b.country and a.country in (select country from top) and b.country in (select country from top)),
-y as (select l, s, date, q, q / nullif(lag(q) over (partition by l, s order by date), 0) - 1 as r from x where q > 0) select l as long, s as short, count(r) as n, round(p.rate - q.rate, 6) as spread, case when count(r) >= 60 then round(stddev_samp(ln(1 + r)), 5) end as vol from y join ra p on p.country = y.l join ra q on q.country = y.s group by l, s, p.rate, q.rate""")
+@B.query("j21_carry_validation", f"""with {B.RATES}, ra as (select country, avg(rate) as rate from rt where tenor <= 2 group by 1), pn as (select country, date, avg(rate) as lv from rt group by 1, 2),
+x as (select a.country as l, b.country as s, a.date, a.lv / nullif(b.lv, 0) as q from pn a join pn b using (date) where a.country <> b.country and a.lv / nullif(b.lv, 0) > 0),
+y as (select *, ln(q) - ln(lag(q) over w) as r, q / max(q) over (w rows between unbounded preceding and current row) - 1 as dd, row_number() over w as k, row_number() over (partition by l, s order by date desc) as back, count(*) over (partition by l, s) as n from x window w as (partition by l, s order by date)),
+m as (select l, s, any_value(n) as n, stddev_samp(r) * sqrt(252.0::double) * 100 as vol, min(dd) * 100 as mdd, (max(q) filter (where back = 1) / max(q) filter (where back = least(n, 252)) - 1) * 100 as trend from y group by 1, 2),
+g as (select l, s, n, p.rate - o.rate as spread, case when n >= 60 then vol end as vol, case when n >= 60 then mdd end as mdd, case when n >= 60 then trend end as trend from m join ra p on p.country = l join ra o on o.country = s),
+h as (select median(spread) as mid, greatest(quantile_cont(spread, 0.75) - quantile_cont(spread, 0.25), 1e-9) as iqr from g),
+f as (select *, spread - 0.25 * coalesce(vol, 20) - 0.1 * coalesce(abs(mdd), 20) as adjusted from g, h)
+select l as long, s as short, n, round(spread, 5) as spread, round(vol, 5) as vol, round(mdd, 5) as max_drawdown, round(trend, 5) as trend, round((spread - mid) / iqr, 5) as z, round(spread / nullif(vol, 0), 5) as coverage, round(adjusted, 5) as adjusted, round(spread, 9) > 0 and round(adjusted, 9) > 0 as admissible from f""")
 def j21(spark, d):
     r = B.rates(spark, d)
-    ra = r.where("tenor <= 2").groupBy("country").agg(F.avg("rate").alias("rate"))
-    top = ra.orderBy(F.desc("rate"), "country").limit(6)
-    pn = r.join(F.broadcast(top.select("country")), "country").groupBy("country", "date").agg(F.avg("rate").alias("lv"))  # six countries
-    a, b = (pn.select(F.col("country").alias(n), "date", F.col("lv").alias(f"lv_{n}")) for n in ("long", "short"))
-    x = a.join(b, "date").where("long <> short").withColumn("q", X.ratio("lv_long", "lv_short")).where("q > 0")
-    y = x.withColumn("r", X.ratio(F.col("q"), F.lag("q").over(X.by(["long", "short"], "date"))) - 1).groupBy("long", "short").agg(F.count("r").alias("n"), F.stddev_samp(F.log1p("r")).alias("v"))
-    la, sb = (top.select(F.col("country").alias(n), F.col("rate").alias(f"rate_{n}")) for n in ("long", "short"))
-    z = y.join(la, "long").join(sb, "short")
-    return z.select("long", "short", "n", F.round(F.col("rate_long") - F.col("rate_short"), 6).alias("spread"), F.when(F.col("n") >= 60, F.round("v", 5)).alias("vol"))
+    rate = r.where("tenor <= 2").groupBy("country").agg(F.avg("rate").alias("rate"))
+    return X.rounded(K.carry_validation(r.groupBy("country", "date").agg(F.avg("rate").alias("lv")), rate), 5)
 
 
 @B.query("w35_score_books", f"""with {B.PX}, {B.SECTORS}, f as (select entity, sector, avg(r) * 1e4 as m, stddev_samp(r) * 100 as v, avg(volume) as q from px join sectors using (entity) group by 1, 2), l as (select entity, sector, feature, x from (unpivot f on m, v, q into name feature value x)), a as (select *, median(x) over (partition by sector, feature) as mid, count(x) over (partition by sector, feature) as n from l), b as (select *, median(abs(x - mid)) over (partition by sector, feature) * 1.4826::double as mad from a),
@@ -262,17 +261,15 @@ def w47(spark, d):
     return X.rounded(w.select("date", (F.col("market")).alias("market"), "spread", (X.ratio("volume", F.lag("volume").over(W.orderBy("date"))) - 1).alias("volume_change")))  # one row a day
 
 
-@B.query("b10_bootstrap_selection", f"""with {B.TRIALS}, top as (select trial from tr group by 1 order by count(*) desc, trial limit 8), m as (select trial, month, r from tr join top using (trial)), dr as (select rep, month, floor((('0x' || substr(md5('3|' || rep || '|' || month), 1, 8))::ubigint / 4294967296.0::double) * 3)::int as k from range(50) t(rep), (select distinct month from m)), x as (select rep, trial, sum(r * k) / nullif(sum(k), 0) as s from dr join m using (month) group by 1, 2), b as (select rep, arg_max(trial, (round(s, 12), -trial)) as best from x group by 1)
-select best as trial, round(count(*) / 50.0, 6)::double as selected from b group by 1""")
+@B.query("b10_bootstrap_selection", f"""with {B.TRIALS}, {B.SECTORS}, top as (select trial as id, sector as g from (select trial from tr group by 1 order by count(*) desc, trial limit 12) join sectors on entity = trial),
+cb as (select [a.id, b.id, c.id] as members from top a join top b on b.id > a.id join top c on c.id > b.id where not (a.g = b.g and b.g = c.g)),
+mo as (select distinct month from tr), cr as (select members, month, round(sum(coalesce(r, 0)) / 3, 12) as r from (select members, unnest(members) as trial from cb) cross join mo left join tr using (trial, month) group by 1, 2),
+dr as (select rep, month, floor((('0x' || substr(md5('3|' || rep || '|' || month), 1, 8))::ubigint / 4294967296.0::double) * 3)::int as k from range(64) t(rep), mo),
+x as (select rep, members, round((sum(k * r) / sum(k)) / nullif(sqrt(sum(k * pow(least(r, 0.0), 2)) / sum(k)), 0), 9) as s from dr join cr using (month) group by 1, 2),
+b as (select rep, members, row_number() over (partition by rep order by s desc nulls last, members) as o from x)
+select trial, round(count(*) / 64.0::double, 6) as selected from (select unnest(members) as trial from b where o = 1) group by 1""")
 def b10(spark, d):
     t = B.trials(spark, d)
-    top = t.groupBy("trial").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "trial").limit(8)
-    m = t.join(F.broadcast(top.select("trial")), "trial").select("trial", "month", "r")  # eight trials
-    reps = spark.range(50).select(F.col("id").alias("rep"))
-    dr = m.select("month").distinct().crossJoin(F.broadcast(reps)).withColumn("k", F.floor(X.draw(3, F.col("rep"), F.col("month")) * 3))  # a calendar by 50
-    x = dr.join(m, "month").groupBy("rep", "trial").agg(F.round(X.ratio(F.sum(F.col("r") * F.col("k")), F.sum("k")), 12).alias("s"))
-    b = x.groupBy("rep").agg(F.max_by("trial", F.struct("s", -F.col("trial"))).alias("trial"))
-    return X.rounded(b.groupBy("trial").agg((F.count("*") / 50.0).alias("selected")))
-
-
-__all__ = ["S"]
+    top = t.groupBy("trial").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "trial").limit(12)  # the candidates, from which combinations are made
+    named = top.join(B.sectors(spark, d), F.col("trial") == F.col("entity")).select(F.col("trial").alias("id"), F.col("sector").alias("g"))
+    return X.rounded(S.combination_stability(J.combinations(named, 3, "g", 2), t, "trial", "month", "r", reps=64, seed=3))

@@ -177,7 +177,7 @@ _IC = f"""sc as (select trial, month, lag(r) over (partition by trial order by m
 ic as (select month, corr(a, b) as ic, count(*) as n from rk group by 1)"""
 
 
-@B.query("a26_information_coefficient", f"with {B.TRIALS}, {_IC} select month, round(ic, 6) as ic, n, round(avg(ic) over (order by month rows between 2 preceding and current row), 6) as ic_3, round(avg((ic > 0)::int::double) over (order by month rows between unbounded preceding and current row), 6) as hit_rate from ic")
+@B.query("a26_information_coefficient", f"with {B.TRIALS}, {_IC} select month, round(ic, 6) as ic, n, round(avg(ic) over (order by month rows between 2 preceding and current row), 6) as ic_3, round(avg((round(ic, 9) > 0)::int::double) over (order by month rows between unbounded preceding and current row), 6) as hit_rate from ic")
 def a26(spark, d):
     t = B.trials(spark, d).withColumn("score", F.lag("r").over(X.by("trial", "month")))
     return X.rounded(R.information_coefficient(t, "month", "score", "r"))
