@@ -50,10 +50,20 @@ def latest_known(facts: DataFrame, as_of: Column, *, by: list[str], available: s
 
 
 def latest_known_at(facts: DataFrame, dates: DataFrame, *, by: list[str], available: str, order: list[str], date: str = "as_of") -> DataFrame:
-    """``latest_known`` at each of many dates: each fact meets only the dates it is known at."""
-    w = [F.col(c) for c in order]
-    met = facts.join(F.broadcast(dates), F.col(available) <= F.col(date))  # a schedule of dates
-    return met.groupBy(*by, date).agg(F.max_by(F.struct(*facts.columns), F.struct(*w)).alias("_f")).select(*by, date, *[F.col(f"_f.{c}").alias(c) for c in facts.columns if c not in by])
+    """``latest_known`` at each of many dates.
+
+    Each fact is dealt to the first date it is known at, the best of a key and date is kept, and a
+    running best carries it to the dates after: no fact meets a date twice.
+    """
+    own = facts.columns
+    schedule = dates.agg(F.array_sort(F.collect_set(date)).alias("_dates"))  # one row: a schedule of dates
+    met = facts.crossJoin(F.broadcast(schedule)).withColumn("_known", F.filter("_dates", lambda x: x >= F.col(available)))
+    best = met.where(F.size("_known") > 0).groupBy(*by, F.col("_known")[0].alias(date)).agg(F.max(F.struct(F.struct(*order).alias("o"), F.struct(*own).alias("f"))).alias("_b"))
+    starts = best.groupBy(*by).agg(F.min(date).alias("_from")).crossJoin(F.broadcast(schedule))
+    grid = starts.select(*by, F.explode(F.filter("_dates", lambda x: x >= F.col("_from"))).alias(date))
+    running = F.max("_b").over(W.partitionBy(*by).orderBy(date).rowsBetween(W.unboundedPreceding, 0))
+    out = grid.unionByName(best, allowMissingColumns=True).groupBy(*by, date).agg(F.max("_b").alias("_b")).withColumn("_b", running)
+    return out.select(*by, date, *[F.col(f"_b.f.{c}").alias(c) for c in own if c not in by])
 
 
 def fill_from(a: DataFrame, b: DataFrame, fields: list[str], *, by: list[str], ts: str) -> DataFrame:

@@ -78,7 +78,11 @@ def similarity_to_prior(docs: DataFrame, entity: str, order: str, text: str = "t
 
 
 def retrieve(passages: DataFrame, questions: DataFrame, k: int = 6, key: str = "id", ask: str = "q", text: str = "text") -> DataFrame:
-    """The ``k`` best passages of each question by tf-idf over words and word pairs; terms meet by join, never passages by pairs."""
+    """The ``k`` best passages of each question by tf-idf over words and word pairs; terms meet by join.
+
+    A question meets every passage that shares a term with it, so a term common to all passages
+    costs a row for each question and passage, summed map-side; no term is cut, as every term counts.
+    """
 
     def terms(df: DataFrame, id_: str) -> DataFrame:
         t = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
@@ -111,8 +115,8 @@ def chunks(docs: DataFrame, key: str, text: str = "text", size: int = 1200) -> D
 def countries(docs: DataFrame, aliases: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Countries named in the first of ``fields`` that names any, as a sorted array, with the field as confidence tier."""
     pattern = F.concat(F.lit(r"(?i)(?<![\p{L}])"), F.col("alias"), F.lit(r"(?![\p{L}])"))
-    out = docs.select(key)
-    met = docs.select(key, *fields).crossJoin(F.broadcast(aliases))  # a table of aliases
-    found = met.groupBy(key).agg(*[F.array_sort(F.collect_set(F.when(F.expr("true") & F.col(f).isNotNull() & F.regexp_like(F.col(f), pattern), F.col("country")))).alias(f) for f in fields])
+    listed = aliases.agg(F.collect_list(F.struct(pattern.alias("pattern"), "country")).alias("_aliases"))  # one row: a table of aliases
+    named = lambda f: F.array_sort(F.array_distinct(F.transform(F.filter("_aliases", lambda a: F.coalesce(F.regexp_like(F.col(f), a["pattern"]), F.lit(False))), lambda a: a["country"])))
+    found = docs.select(key, *fields).crossJoin(F.broadcast(listed)).select(key, *[named(f).alias(f) for f in fields])
     tier = F.coalesce(*[F.when(F.size(f) > 0, F.struct(F.lit(f).alias("tier"), F.col(f).alias("countries"))) for f in fields])
-    return out.join(found.withColumn("t", tier), key, "left").select(key, F.col("t.tier").alias("tier"), F.col("t.countries").alias("countries"))
+    return found.withColumn("t", tier).select(key, F.col("t.tier").alias("tier"), F.col("t.countries").alias("countries"))

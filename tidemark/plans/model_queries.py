@@ -213,7 +213,15 @@ def a58b(spark, d):
     return X.rounded(T.similarity_to_prior(B.table(spark, d, "documents"), "source", "doc_id"))
 
 
-@B.query("a59_retrieval")
+def _terms(rel: str, key: str) -> str:
+    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    both = "t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])"
+    return f"select {key}, term, count(*) as n from (select {key}, unnest({both}) as term from (select {key}, {words} as t from {rel})) group by 1, 2"
+
+
+@B.query("a59_retrieval", f"""with p as (select conv_id * 1000 + turn as id, text from conversations where role = 'assistant'), s as (select conv_id as q, text from conversations where role = 'user' and turn = 0), o as ({_terms('p', 'id')}), a as ({_terms('s', 'q')}),
+idf as (select term, ln((1 + (select count(*) from p))::double / (1 + count(*))) + 1 as idf from o group by 1), w as (select id, term, n * idf as w from o join idf using (term)), nm as (select id, sqrt(sum(w * w)) as norm from w group by 1),
+g as (select q, id, sum(a.n * idf * w) as dot from a join idf using (term) join w using (term) group by 1, 2), k as (select q, id, round(dot / norm, 9) as score from g join nm using (id)), r as (select *, row_number() over (partition by q order by score desc, id)::int as rank from k) select q, id, score, rank from r where rank <= 6""")
 def a59(spark, d):
     c = B.table(spark, d, "conversations")
     answers = c.where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")

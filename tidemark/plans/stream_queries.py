@@ -38,14 +38,14 @@ _SEQ = "sq as (select event_type, value as x, row_number() over (partition by ev
 
 @B.query("st3_ewma_state", f"""with {_SEQ} select event_type, n, round(sum(case when i = 1 then pow(0.94::double, n - 1) else 0.06::double * pow(0.94::double, n - i) end * x * x), 5) as ewma from sq group by event_type, n""")
 def st3(spark, d):
-    return X.rounded(J.run_available(J.ewma_state(_events(spark, d)), "st3", "update").drop("_batch"), 5)
+    return X.rounded(J.ewma_state(_events(spark, d), "st3"), 5)
 
 
 @B.query("st4_throttle_state", f"""with recursive {_SEQ}, f(event_type, i, n, e, idx, peak) as (select distinct event_type, 0::bigint, n, 1.0::double, 1.0::double, 1.0::double from sq union all
 select f.event_type, sq.i, f.n, case when f.idx * (1 + f.e * (x - 25.0) / 10000.0) / greatest(f.peak, f.idx * (1 + f.e * (x - 25.0) / 10000.0)) - 1 < -0.1 then 0.5 when f.idx * (1 + f.e * (x - 25.0) / 10000.0) / greatest(f.peak, f.idx * (1 + f.e * (x - 25.0) / 10000.0)) - 1 > -0.05 then 1.0 else f.e end, f.idx * (1 + f.e * (x - 25.0) / 10000.0), greatest(f.peak, f.idx * (1 + f.e * (x - 25.0) / 10000.0)) from f join sq on sq.event_type = f.event_type and sq.i = f.i + 1)
 select event_type, n, e as exposure, round(idx, 6) as index from f where i = n""")
 def st4(spark, d):
-    return X.rounded(J.run_available(J.throttle_state(_events(spark, d)), "st4", "update").drop("_batch"))
+    return X.rounded(J.throttle_state(_events(spark, d), "st4").drop("peak"))
 
 
 @B.query("st5_first_wins", "select count(distinct (user_id, event_type)) as n from events")

@@ -14,10 +14,13 @@ from tidemark.functions import expr as X
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and Spark runs on one machine, an error on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
