@@ -162,3 +162,11 @@ def p04(spark, d):
     p = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.concat((F.col("n_nationkey") % 3 + 1).cast("string"), F.element_at(F.array(F.lit("y"), F.lit("mo"), F.lit("d")), (F.col("n_nationkey") % 3 + 1).cast("int"))).alias("period"))
     n, unit = F.regexp_extract("period", r"^(\d+)", 1).cast("int"), F.regexp_extract("period", r"([a-z]+)$", 1)
     return p.withColumn("start", F.when(unit == "y", F.add_months(end, -12 * n)).when(unit == "mo", F.add_months(end, -n)).otherwise(F.date_sub(end, n)))
+
+
+@B.query("p14_closed_bins", f"""with {B.OPTIONS}, b as (select iv, case when dte <= 30 then '000-030' when dte <= 90 then '031-090' when dte <= 180 then '091-180' else '181+' end as dte_bin, case when round(moneyness, 6) <= 0.9 then 'low' when round(moneyness, 6) <= 1.0 then 'below' when round(moneyness, 6) <= 1.1 then 'above' else 'high' end as moneyness_bin from op)
+select dte_bin, moneyness_bin, count(*) as n, round(avg(iv), 6) as iv from b group by 1, 2""")
+def p14(spark, d):
+    x = B.options(spark, d)
+    x = x.select(R.dte_bucket(F.col("dte")).alias("dte_bin"), R.moneyness_bucket(F.round("moneyness", 6)).alias("moneyness_bin"), "iv")
+    return X.rounded(x.groupBy("dte_bin", "moneyness_bin").agg(F.count("*").alias("n"), F.avg("iv").alias("iv")))
