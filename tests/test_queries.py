@@ -8,8 +8,6 @@ import pytest
 from tidemark.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Slow on the smallest tables too; the driver compares them.
-SLOW = {"w28_variance_models", "w29_forecast_cone", "a18_lambda_sensitivity"}
 
 
 @pytest.fixture(scope="module")
@@ -50,7 +48,7 @@ def _ordered(rows):
     return sorted(rows, key=lambda r: (repr(_exact(r)), repr(_plain(r))))
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_its_sql(spark, sf, con, name):
     df = registry.QUERIES[name](spark, sf)
     cols = sorted(df.columns)
