@@ -59,5 +59,21 @@ def test_pairs_of_blocks_against_all_pairs():
     want = np.triu((x @ x.T >= ed.COSINE) & (group[:, None] == group) & (here[:, None] | here), 1)
     for cross in (False, True):
         own = want & (sub[:, None] != sub) if cross else want
-        i, j = ed._near_pairs(group, x, here, sub, np.full(300, cross), np.zeros((300, 2), np.int64))
-        assert sorted(zip(i, j)) == sorted(zip(*np.nonzero(own)))
+        crossed, tab = np.full(300, cross), np.zeros(300, np.int64)
+        found = [p for part in ed._near_pairs(group, x, here, sub, crossed) for p in zip(*part)]
+        # no two rows share a cell, so none met before
+        keys = np.arange(300 * ed.TABLES * (1 + ed.PROBES)).reshape(300, ed.TABLES, -1)
+        for rows, others, near in ed._near_crowds(group, x, here, sub, crossed, tab, keys):
+            found += [tuple(sorted((rows[i], others[j]))) for i, j in zip(*np.nonzero(near))]
+        assert sorted(found) == sorted(zip(*np.nonzero(own)))
+
+
+def test_a_crowd_of_copies_and_near_copies(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(64)
+    rows = [(k, [float(x) for x in base + 0.12 * rng.standard_normal(64) * (k % 4 > 0)], "a") for k in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    want = ed.brute_force(rows)
+    got = {r[0]: (r[1], r[2]) for r in ed.near_duplicates(df).collect()}
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert all(got[i][0] <= want[i][0] and got[i][1] >= want[i][1] for i in want)

@@ -37,8 +37,8 @@ from tidemark.llm.components import connected_components
 
 COSINE = 0.98
 TABLES, PROBES, SCALE, SEED = 6, 8, 0.30, 20240229
-#: Vectors of a block of a cell.
-BLOCK = 512
+#: Vectors of a block of a cell; groups beyond the second are met by matrices.
+BLOCK, CROWD = 2048, 64
 #: Rows of each deal of cells, as expected.
 DEAL_ROWS = 4096
 
@@ -135,46 +135,83 @@ def _meets(home: np.ndarray, keys: np.ndarray, tab: np.ndarray) -> np.ndarray:
     return (keys[at, tab] == home[at, tab][:, None]).any(axis=1)
 
 
-def _near_pairs(group: np.ndarray, x: np.ndarray, here: np.ndarray, sub: np.ndarray, cross: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i < j of one group (rows are sorted by it) whose unit vectors reach the cosine, one of them ``here`` and, if ``cross``, of two blocks.
+def _groups(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of each run of equal numbers."""
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    return starts, np.diff(np.r_[starts, len(group)])
+
 
-    ``homes``: cells of each row in the tables before. Pairs of large groups that share one met there and are left out.
+def _near_pairs(group: np.ndarray, x: np.ndarray, here: np.ndarray, sub: np.ndarray, cross: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of one small group (rows are sorted by it) whose unit vectors reach the cosine, one of them ``here`` and, if ``cross``, of two blocks.
+
+    Rows meet the k-th row before them, for all groups at once.
     """
-    starts = np.flatnonzero(np.diff(group, prepend=-1))
-    sizes = np.diff(np.r_[starts, len(group)])
-    left, right = [], []
-    # rows of small groups meet the k-th row before them, for all groups at once
+    starts, sizes = _groups(group)
     place = np.arange(len(group)) - np.repeat(starts, sizes)
-    live = np.flatnonzero(np.repeat(sizes <= 64, sizes))
+    live = np.flatnonzero(np.repeat(sizes <= CROWD, sizes))
     step = 1
     while len(live := live[place[live] >= step]):
         some = live[(here[live] | here[live - step]) & (~cross[live] | (sub[live] != sub[live - step]))]
         near = some[np.einsum("ij,ij->i", x[some], x[some - step]) >= COSINE]
-        left.append(near - step)
-        right.append(near)
+        yield near - step, near
         step += 1
-    for s, n in zip(starts[sizes > 64], sizes[sizes > 64]):
+
+
+def _near_crowds(group: np.ndarray, x: np.ndarray, here: np.ndarray, sub: np.ndarray, cross: np.ndarray, tab: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``_near_pairs`` for the large groups, as strips ``(rows, other rows, which link)``; pairs that met before are left out.
+
+    Within a group a cell is a small number and ``probed[table][row, cell]`` tells who comes there.
+    """
+    starts, sizes = _groups(group)
+    for s, n in zip(starts[sizes > CROWD], sizes[sizes > CROWD]):
         rows = np.arange(s, s + n)
+        number, probed = [], []
+        for k in range(tab[s] + 1):
+            cells, own = np.unique(keys[rows, k, 0], return_inverse=True)
+            comes = np.zeros((n, len(cells)), bool)
+            for key in keys[rows, k].T:
+                at = np.minimum(np.searchsorted(cells, key), len(cells) - 1)
+                hit = np.flatnonzero(cells[at] == key)
+                comes[hit, at[hit]] = True
+            number.append(own)
+            probed.append(comes)
         first = sub[rows] == sub[s] if cross[s] else np.ones(n, bool)
-        one, two = rows[first], rows[~first] if cross[s] else rows
+        one, two = rows[first] - s, (rows[~first] if cross[s] else rows) - s
+        lives = here[rows]
         # those that live here meet all, the others of the first block only those of the second that live here
-        for a, b in ((one[here[one]], two), (one[~here[one]], two[here[two]])):
-            for low in range(0, len(a), 256):
-                own = a[low : low + 256]
-                near = x[own] @ x[b].T >= COSINE
-                for k in range(homes.shape[1]):
-                    near &= (homes[own, k][:, None] != homes[b, k]) | (homes[own, k][:, None] == 0)
-                i, j = np.nonzero(near)
-                i, j = own[i], b[j]
+        turns = ((one[lives[one]], two), (one[~lives[one]], two[lives[two]])) if cross[s] else ((one[lives[one]], two),)
+        for a, b in turns:
+            other, there = x[b + s].T, [np.ascontiguousarray(p[b].T) for p in probed]
+            for low in range(0, len(a), 128):
+                own = a[low : low + 128]
+                near = x[own + s] @ other >= COSINE
+                if not near.any():
+                    continue
+                less = own[:, None] < b
                 if not cross[s]:
                     # a pair of two that live here is met twice
-                    once = ~here[j] | (i < j)
-                    i, j = i[once], j[once]
-                left.append(np.minimum(i, j))
-                right.append(np.maximum(i, j))
-            if not cross[s]:
-                break
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
+                    near &= less | ~lives[b]
+                for k, (cell, comes) in enumerate(zip(number, probed)):
+                    left, right = there[k][cell[own]], np.take(comes[own], cell[b], axis=1)
+                    if k < tab[s]:
+                        near &= ~(left | right)
+                    else:
+                        # in this table the home of the smaller comes first
+                        near &= ~np.where(less, left & (lives[b] & ~lives[own][:, None]), right & (~lives[b] & lives[own][:, None]))
+                yield own + s, b + s, near
+
+
+def _join(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Roots (the least of each tree) after u and v are joined pair by pair."""
+    while True:
+        apart = root[u] != root[v]
+        u, v = u[apart], v[apart]
+        if not len(u):
+            return root
+        a, b = root[u], root[v]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while ((up := root[root]) != root).any():
+            root = up
 
 
 def _links(cells: pa.Table) -> pa.Table:
@@ -191,29 +228,31 @@ def _links(cells: pa.Table) -> pa.Table:
     new_group = np.ones(len(rep), bool)
     new_group[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     here = home[own, tab] == cell
-    before = np.where(np.arange(TABLES - 1) < tab[:, None], home[own, : TABLES - 1], 0)
-    i, j = _near_pairs(np.cumsum(new_group) - 1, units[own], here, sub, a != b, before)
-    t = tab[i]
-    # met before: in an earlier table, or in this one at the home of the smaller
-    u, v = own[i], own[j]
-    new = ~(here[j] & ~here[i] & _meets(home[u], keys[v], t))
-    for k in range(TABLES - 1):
-        earlier = np.flatnonzero(new & (t > k))
-        at = np.full(len(earlier), k)
-        new[earlier] = ~(_meets(home[u[earlier]], keys[v[earlier]], at) | _meets(home[v[earlier]], keys[u[earlier]], at))
+    group, unit, cross = np.cumsum(new_group) - 1, units[own], a != b
     copies = _copies_of(rep, copies, reps)
-    n = np.bincount(u[new], copies[v[new]], len(reps)) + np.bincount(v[new], copies[u[new]], len(reps))
-    root = np.arange(len(reps))
-    while len(u):
-        was = root.copy()
-        least = np.minimum(root[u], root[v])
-        np.minimum.at(root, u, least)
-        np.minimum.at(root, v, least)
-        root = root[root]
-        if (root == was).all():
-            break
+    n, root = np.zeros(len(reps), np.int64), np.arange(len(reps))
+    for i, j in _near_pairs(group, unit, here, sub, cross):
+        t = tab[i]
+        # met before: in an earlier table, or in this one at the home of the smaller
+        u, v = own[i], own[j]
+        new = ~(here[j] & ~here[i] & _meets(home[u], keys[v], t))
+        for k in range(TABLES - 1):
+            earlier = np.flatnonzero(new & (t > k))
+            at = np.full(len(earlier), k)
+            new[earlier] = ~(_meets(home[u[earlier]], keys[v[earlier]], at) | _meets(home[v[earlier]], keys[u[earlier]], at))
+        u, v = u[new], v[new]
+        np.add.at(n, u, copies[v])
+        np.add.at(n, v, copies[u])
+        root = _join(root, u, v)
+    for i, j, near in _near_crowds(group, unit, here, sub, cross, tab, keys[own]):
+        u, v = own[i], own[j]
+        # a vector stands once on each side of a strip
+        n[u] += np.where(near, copies[v], 0).sum(axis=1)
+        n[v] += np.where(near, copies[u][:, None], 0).sum(axis=0)
+        i, j = np.nonzero(near & (root[u][:, None] != root[v]))
+        root = _join(root, u[i], v[j])
     told = np.flatnonzero((n > 0) | (root != np.arange(len(reps))))
-    return pa.table([pa.array(reps[told], pa.int64()), pa.array(n[told].astype(np.int64)), pa.array(reps[root[told]], pa.int64())], names=["rep", "n", "root"])
+    return pa.table([pa.array(reps[told], pa.int64()), pa.array(n[told]), pa.array(reps[root[told]], pa.int64())], names=["rep", "n", "root"])
 
 
 def _copies_of(rep: np.ndarray, copies: np.ndarray, reps: np.ndarray) -> np.ndarray:
