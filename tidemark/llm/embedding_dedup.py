@@ -37,8 +37,8 @@ from tidemark.llm.components import connected_components
 
 COSINE = 0.98
 TABLES, PROBES, SCALE, SEED = 6, 8, 0.30, 20240229
-#: Vectors of a block of a cell; groups beyond the second are met by matrices.
-BLOCK, CROWD = 2048, 64
+#: Vectors of a block of a large cell; cells are cut into up to ``SPREAD`` blocks before blocks grow to that. Groups beyond ``CROWD`` are met by matrices.
+BLOCK, SPREAD, CROWD = 2048, 4, 64
 #: Rows of each deal of cells, as expected.
 DEAL_ROWS = 4096
 
@@ -276,7 +276,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     cell = ["label", "size", "tab", "cell"]
     dealt = cut(classes.select("label", "vector", "rep").mapInArrow(_deal, _KEYS))
     busy = dealt.groupBy(*cell).agg(F.count("*").alias("met"), F.bool_or("home").alias("lived")).where("lived and met > 1")
-    busy = cut(busy.select(*cell, "met", F.ceil(F.col("met") / BLOCK).cast("int").alias("blocks")))
+    # more blocks copy more rows, fewer leave more in a task
+    blocks = F.greatest(F.ceil(F.col("met") / BLOCK), F.least(F.ceil(F.col("met") * SPREAD / BLOCK), F.lit(SPREAD)))
+    busy = cut(busy.select(*cell, "met", blocks.cast("int").alias("blocks")))
     deals = max(2 * shuffle_partitions(df.sparkSession), int(busy.agg(F.sum(F.col("met") * F.col("blocks"))).first()[0] or 0) // DEAL_ROWS)
     met = dealt.join(busy.drop("met"), cell).withColumn("sub", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     met = met.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
