@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import asof, linalg, risk, text
 from tidemark.plans import base, registry
@@ -92,3 +93,31 @@ def test_countries_on_odd_rows(spark):
     aliases = spark.createDataFrame([("chad", "TD"), ("niger", "NE"), ("nigeria", "NG"), ("n'djamena", "TD")], "alias string, country string")
     got = {r["id"]: (r["tier"], r["countries"]) for r in text.countries(docs, aliases, "id", ["title", "query"]).collect()}
     assert got == {1: ("title", ["NG", "TD"]), 2: ("query", ["NE"]), 3: (None, None), 4: ("query", ["TD"])}
+
+
+def test_latent_regimes_against_a_plain_loop(spark):
+    draw = np.random.default_rng(4)
+    calm = np.repeat(draw.random(10) < 0.5, 12)[:115]
+    x = np.where(calm, 1.0, -1.0)[:, None] * [1.0, -1.0, -1.0] + 0.1 * draw.normal(size=(115, 3))
+    xs = ["bullish", "volatility", "credit_spread"]
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(115)]
+    df = spark.createDataFrame([(t, *map(float, v)) for t, v in zip(days, x)], "date date, bullish double, volatility double, credit_spread double")
+    run = lambda part: {r["date"]: r for r in linalg.latent_regimes(part, xs, "date", k=2, min_train=30, refit=7).collect()}
+    got = run(df)
+    fits = sorted({*range(30, 115, 7), 114})
+    assert len(got) == 115 and all(got[t]["state"] is None for t in days[:30])
+    for i in range(30, 115):
+        at = max(f for f in fits if f <= i)
+        own = got[days[i]]
+        assert own["refit_at"] == days[at] and math.isclose(sum(own["posterior"]), 1)
+        # the states are far apart, and the first column's mean orders them
+        assert (own["state"], own["label"]) == ((1, "risk_on") if calm[at] else (0, own["label"])) and own["label"] != "mixed_transition"
+        z = x[max(0, at - 89) : at + 1]
+        z = np.clip((z - z.mean(axis=0)) / z.std(axis=0), -5, 5)
+        weights, means, covs = linalg.gaussian_mixture(z, 2)
+        dens = [w * math.exp(-0.5 * (z[-1] - m) @ np.linalg.inv(c) @ (z[-1] - m)) / math.sqrt(np.linalg.det(c)) for w, m, c in sorted(zip(weights, means, covs), key=lambda f: f[1][0])]
+        assert np.allclose(own["posterior"], np.array(dens) / sum(dens), atol=1e-9)
+    # nothing known later matters, but for the fit at the last row
+    early = run(df.where(F.col("date") <= days[79]))
+    assert all(early[t] == got[t] for t in days[:79])
+    assert all(r["state"] is None for r in run(df.limit(20)).values()) and run(df.limit(0)) == {}

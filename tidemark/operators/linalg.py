@@ -1,6 +1,6 @@
 """Factor models and matrices on moments that Spark has aggregated first.
 
-Only moments of a fixed width (at most 16 by 16) reach numpy, one group at a time.
+Only moments of a fixed width (at most 16 by 16), or windows of a fixed number of rows, reach numpy, one group at a time.
 """
 
 from __future__ import annotations
@@ -128,25 +128,103 @@ def common_factor(df: DataFrame, xs: list[str], anchor: str) -> tuple[DataFrame,
     return out.withColumn("factor", F.col("factor") * sign).drop("_v", "_s", "_p"), [sign * float(x) for x in model.pc.toArray()[:, 0]]
 
 
-def latent_regimes(df: DataFrame, xs: list[str], ts: str, k: int = 3, refits: int = 4, seed: int = 7) -> DataFrame:
-    """States of a Gaussian mixture refitted at ``refits`` dates on all rows before; each row is labelled by the last fit before it, states in order of the first column's mean."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+#: What speaks for each regime, by standardised column; a state none of whose scores reaches ``MIXED`` is in transition.
+REGIMES = {
+    "risk_on": {"bullish": 1.0, "hawkish": -0.4, "credit_spread": -0.35, "volatility": -0.25},
+    "inflation_shock": {"hawkish": 1.0, "inflation": 1.0, "term_premium": 0.35},
+    "credit_stress": {"credit_spread": 1.0, "volatility": 0.5, "bullish": -0.6},
+    "liquidity_or_recession": {"bullish": -1.0, "curve": -0.5, "industry": -0.35, "credit_spread": 0.25},
+}
+MIXED = 0.15
+
 
-    data = VectorAssembler(inputCols=xs, outputCol="_v").transform(df.dropna(subset=xs))
-    cuts = data.agg(F.percentile(F.unix_date(ts), [(i + 1) / (refits + 1) for i in range(refits)])).first()[0]
-    out = None
-    for i, cut in enumerate(cuts):  # a bounded list of refits
-        day = F.date_from_unix_date(F.lit(int(cut)))
-        model = GaussianMixture(k=k, featuresCol="_v", probabilityCol="_q", predictionCol="_s", seed=seed, maxIter=30).fit(data.where(F.col(ts) <= day))
-        order = sorted(range(k), key=lambda j: float(model.gaussians[j].mean[0]))
-        rows = data.where(F.col(ts) > day)
-        if i + 1 < len(cuts):
-            rows = rows.where(F.col(ts) <= F.date_from_unix_date(F.lit(int(cuts[i + 1]))))
-        q = vector_to_array("_q")
-        named = model.transform(rows).withColumn("posterior", F.array(*[q[j] for j in order]))
-        named = named.withColumn("state", F.array_position("posterior", F.array_max("posterior")) - 1).withColumn("entropy", F.aggregate("posterior", F.lit(0.0), lambda a, x: a - F.when(x > 0, x * F.log(x)).otherwise(0.0)))
-        part = named.select(*df.columns, "state", "entropy")
-        out = part if out is None else out.unionByName(part)
+def _log_densities(z: np.ndarray, weights: np.ndarray, means: np.ndarray, covs: np.ndarray) -> np.ndarray:
+    """Log of weight times density by row and state."""
+    out = np.empty((len(z), len(weights)))
+    for j, (w, m, c) in enumerate(zip(weights, means, covs)):
+        low = np.linalg.cholesky(c)
+        y = np.linalg.solve(low, (z - m).T)
+        out[:, j] = np.log(w) - 0.5 * (y * y).sum(axis=0) - np.log(np.diag(low)).sum() - 0.5 * z.shape[1] * np.log(2 * np.pi)
     return out
+
+
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    top = x.max(axis=1, keepdims=True)
+    e = np.exp(x - top)
+    total = e.sum(axis=1, keepdims=True)
+    return e / total, (top + np.log(total))[:, 0]
+
+
+def gaussian_mixture(z: np.ndarray, k: int, seed: int = 17, starts: int = 3, rounds: int = 100, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and covariances of the likeliest of some seeded EM runs over a bounded window."""
+    rng, best, found = np.random.default_rng(seed), -np.inf, None
+    eye = ridge * np.eye(z.shape[1])
+    for _ in range(starts):
+        centres = z[[rng.integers(len(z))]]
+        while len(centres) < k:
+            far = ((z[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
+            pick = rng.choice(len(z), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(z))
+            centres = np.vstack([centres, z[pick]])
+        share = np.eye(k)[((z[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)]
+        last = -np.inf
+        for _ in range(rounds):
+            n = share.sum(axis=0) + 1e-9
+            means = share.T @ z / n[:, None]
+            covs = np.array([(share[:, j, None] * (z - means[j])).T @ (z - means[j]) / n[j] + eye for j in range(k)])
+            fit = n / n.sum(), means, covs
+            share, like = _softmax(_log_densities(z, *fit))
+            if like.mean() - last < 1e-3:
+                break
+            last = like.mean()
+        if like.mean() > best:
+            best, found = like.mean(), fit
+    return found
+
+
+def regime_labels(means: np.ndarray, xs: list[str], regimes: dict[str, dict[str, float]] | None = None) -> list[str]:
+    """The regime with the highest score of each state's means."""
+    regimes = REGIMES if regimes is None else regimes
+    scores = means @ np.array([[w.get(x, 0.0) for w in regimes.values()] for x in xs])
+    return [list(regimes)[int(r.argmax())] if r.max() >= MIXED else "mixed_transition" for r in scores]
+
+
+def latent_regimes(df: DataFrame, xs: list[str], ts: str, k: int = 4, min_train: int = 252, refit: int = 21, seed: int = 17) -> DataFrame:
+    """``ts, refit_at, state, probability, entropy, label, posterior`` of one series with one row a day.
+
+    Every ``refit`` rows from row ``min_train`` on, and at the last, a Gaussian mixture is fitted on the
+    last ``3 * min_train`` rows up to there, standardised within them and cut at 5; what it says of its
+    last row holds until the next fit. States stand in the order of the first column's mean, and entropy is
+    a share of the greatest. Windows are dealt out by fit, so a task holds ``3 * min_train`` rows of each.
+    Gaps are filled with the value before, then with the window's median; rows before the first fit are
+    null, and so are all of a table of fewer rows.
+    """
+    span = 3 * min_train
+    order = W.orderBy(ts)  # one series
+    filled = df.select(ts, *[F.last(F.when(F.isnan(x), None).otherwise(F.col(x)), ignorenulls=True).over(order).alias(x) for x in xs]).dropna("all", subset=xs)
+    rows = filled.withColumn("_at", F.row_number().over(order) - 1)
+    total = rows.agg(F.max("_at").alias("_last"))  # one row
+    own = rows.crossJoin(F.broadcast(total))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_at") - min_train) / refit))
+    final = F.floor((F.least(F.col("_at") + span - 1, F.col("_last")) - min_train) / refit)
+    regular = F.when(final >= first, F.transform(F.sequence(first, F.greatest(first, final)), lambda q: q * refit + min_train)).otherwise(F.array().cast("array<bigint>"))
+    latest = F.when((F.col("_last") >= min_train) & (F.col("_at") > F.col("_last") - span), F.array(F.col("_last").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    dealt = own.select(ts, *xs, F.explode(F.array_distinct(F.concat(regular, latest))).alias("_fit"))
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(ts)[xs].astype(float)
+        x = x.fillna(x.median()).fillna(0.0).to_numpy()
+        sd = x.std(axis=0)
+        z = np.clip((x - x.mean(axis=0)) / np.where(sd > 0, sd, 1.0), -5, 5)
+        weights, means, covs = gaussian_mixture(z, min(k, max(2, len(z) // 60)), seed)
+        ranks = np.argsort(means[:, 0], kind="stable")
+        weights, means, covs = weights[ranks], means[ranks], covs[ranks]
+        q = _softmax(_log_densities(z[-1:], weights, means, covs))[0][0]
+        state = int(q.argmax())
+        entropy = float(-(q * np.log(np.clip(q, 1e-300, None))).sum() / np.log(len(q)))
+        told = [pdf[ts].max(), state, float(q.max()), entropy, regime_labels(means, xs)[state], q.tolist()]
+        return pd.DataFrame([told], columns=["refit_at", "state", "probability", "entropy", "label", "posterior"])
+
+    said = dealt.groupBy("_fit").applyInPandas(fit, f"refit_at {dict(df.dtypes)[ts]}, state int, probability double, entropy double, label string, posterior array<double>")
+    told = F.struct("refit_at", "state", "probability", "entropy", "label", "posterior")
+    out = rows.select(ts).join(said.select(F.col("refit_at").alias(ts), told.alias("_told")), ts, "left")
+    return out.withColumn("_told", F.last("_told", ignorenulls=True).over(order)).select(ts, "_told.*")

@@ -186,8 +186,11 @@ def w33(spark, d):
 
 @B.query("w34_latent_regimes")
 def w34(spark, d):
-    m = B.market(B.dense(spark, d)).withColumn("vol", F.stddev_samp("rb").over(W.orderBy("date").rowsBetween(-20, 0)))  # one series
-    return X.rounded(L.latent_regimes(m, ["rb", "vol"], "date").select("date", "state", "entropy"))
+    days = B.dense(spark, d).groupBy("date").agg(F.avg("r").alias("rb"), F.stddev_samp("r").alias("credit_spread"))
+    w = W.orderBy("date").rowsBetween(-20, 0)  # one series
+    m = days.select("date", "credit_spread", F.avg("rb").over(w).alias("bullish"), F.stddev_samp("rb").over(w).alias("volatility"))
+    out = L.latent_regimes(m, ["bullish", "volatility", "credit_spread"], "date")
+    return X.rounded(out.select("date", "refit_at", "state", "label", "probability", "entropy"))
 
 
 def _mentions(said: list[str]) -> str:
