@@ -121,3 +121,17 @@ def test_latent_regimes_against_a_plain_loop(spark):
     early = run(df.where(F.col("date") <= days[79]))
     assert all(early[t] == got[t] for t in days[:79])
     assert all(r["state"] is None for r in run(df.limit(20)).values()) and run(df.limit(0)) == {}
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+def test_sliced_asof_join_equals_the_whole_one(spark, direction):
+    draw = random.Random(6)
+    day = lambda: None if draw.random() < 0.05 else dt.date(2020, 1, 1) + dt.timedelta(days=draw.randrange(500))
+    left = spark.createDataFrame([(i, draw.choice(["a", "b", "none", None]), day()) for i in range(300)], "i int, k string, t date")
+    right = spark.createDataFrame([(draw.choice(["a", "a", "b", None]), day(), j) for j in range(25)], "k string, t date, v int")
+    for by in (["k"], []):
+        sides = (left, right) if by else (left.drop("k"), right.drop("k"))
+        for tolerance in (None, 20):
+            run = lambda s: sorted(asof.asof_join(*sides, by=by, left_ts="t", right_ts="t", direction=direction, tolerance=tolerance, slices=s).collect(), key=lambda r: r["i"])  # noqa: B023, E731, used at once
+            whole = run(None)
+            assert len(whole) == 300 and any(r["r_v"] is not None for r in whole) and run("month") == whole

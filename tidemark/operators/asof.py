@@ -11,17 +11,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: str, right_ts: str, direction: str = "backward", tolerance: int | None = None, prefix: str = "r_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: str, right_ts: str, direction: str = "backward", tolerance: int | None = None, prefix: str = "r_", slices: str | None = None) -> DataFrame:
     """``left`` with the right row last known at its time (``forward``: the next one, ``nearest``: the nearer, ties backward).
 
     Equal times match. ``tolerance``: most days between them. Rows of ``left`` without a
     match, with a null time or a null key stay, with nulls. Right columns get ``prefix``.
-    Several right rows at one time: the largest struct of them counts.
+    Several right rows at one time: the largest struct of them counts. ``slices``: a unit of time
+    (as ``month``) by which a key's rows are sorted apart, for a key that is hot or none at all; what
+    is known at the end of a slice is carried on over one row for each key and slice.
     """
     if direction == "nearest":
         keyed = left.withColumn("_row", F.struct(*left.columns))
-        both = asof_join(keyed, right, by=by, left_ts=left_ts, right_ts=right_ts, tolerance=tolerance, prefix="b_")
-        both = asof_join(both, right, by=by, left_ts=left_ts, right_ts=right_ts, direction="forward", tolerance=tolerance, prefix="f_")
+        both = asof_join(keyed, right, by=by, left_ts=left_ts, right_ts=right_ts, tolerance=tolerance, prefix="b_", slices=slices)
+        both = asof_join(both, right, by=by, left_ts=left_ts, right_ts=right_ts, direction="forward", tolerance=tolerance, prefix="f_", slices=slices)
         back = F.col(f"b_{right_ts}").isNotNull() & (F.col(f"f_{right_ts}").isNull() | (F.date_diff(F.col(left_ts), F.col(f"b_{right_ts}")) <= F.date_diff(F.col(f"f_{right_ts}"), F.col(left_ts))))
         values = [c for c in right.columns if c not in by]
         return both.select(*left.columns, *[F.when(back, F.col(f"b_{c}")).otherwise(F.col(f"f_{c}")).alias(f"{prefix}{c}") for c in values])
@@ -30,11 +32,21 @@ def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], left_ts: str,
     known = right.where(F.col(right_ts).isNotNull()).groupBy(*by, right_ts).agg(F.max(F.struct(*[c for c in values])).alias("_r"))
     other = known.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), "_r")
     keys = [f"_k{i}" for i in range(len(by))]
-    if direction == "backward":
-        order = W.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), F.col("_side")).rowsBetween(W.unboundedPreceding, 0)
+    back = direction == "backward"
+    ordered = lambda c: F.col(c).asc_nulls_first() if back else F.col(c).desc_nulls_first()
+    both = own.unionByName(other, allowMissingColumns=True)
+    if slices is None:
+        order = W.partitionBy(*keys).orderBy(ordered("_t"), "_side").rowsBetween(W.unboundedPreceding, 0)
+        out = both.withColumn("_m", F.last("_r", ignorenulls=True).over(order))
     else:
-        order = W.partitionBy(*keys).orderBy(F.col("_t").desc_nulls_first(), F.col("_side")).rowsBetween(W.unboundedPreceding, 0)
-    out = own.unionByName(other, allowMissingColumns=True).withColumn("_m", F.last("_r", ignorenulls=True).over(order)).where("_side = 1")
+        both = both.withColumn("_slice", F.date_trunc(slices, "_t"))
+        at = F.when(F.col("_side") == 0, F.col("_t"))
+        ends = both.groupBy(*keys, "_slice").agg((F.max_by if back else F.min_by)("_r", at).alias("_end"))
+        before = W.partitionBy(*keys).orderBy(ordered("_slice")).rowsBetween(W.unboundedPreceding, -1)
+        carried = ends.select(*keys, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_c"))
+        order = W.partitionBy(*keys, "_slice").orderBy(ordered("_t"), "_side").rowsBetween(W.unboundedPreceding, 0)
+        out = both.join(carried, [*keys, "_slice"], "left").withColumn("_m", F.coalesce(F.last("_r", ignorenulls=True).over(order), "_c"))
+    out = out.where("_side = 1")
     good: Column = F.col("_t").isNotNull()
     for k in keys:
         good &= F.col(k).isNotNull()

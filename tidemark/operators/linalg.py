@@ -209,6 +209,8 @@ def latent_regimes(df: DataFrame, xs: list[str], ts: str, k: int = 4, min_train:
     regular = F.when(final >= first, F.transform(F.sequence(first, F.greatest(first, final)), lambda q: q * refit + min_train)).otherwise(F.array().cast("array<bigint>"))
     latest = F.when((F.col("_last") >= min_train) & (F.col("_at") > F.col("_last") - span), F.array(F.col("_last").cast("long"))).otherwise(F.array().cast("array<bigint>"))
     dealt = own.select(ts, *xs, F.explode(F.array_distinct(F.concat(regular, latest))).alias("_fit"))
+    # small windows with much work each: not to be put into one task
+    dealt = dealt.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fit")
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(ts)[xs].astype(float)

@@ -173,9 +173,9 @@ def a65(spark, d):
 def j03(spark, d):
     dn = B.dense(spark, d)
     run = lambda k: F.exp(F.sum(F.log1p("r")).over(W.partitionBy("entity").orderBy("date"))).alias(k)
-    a = dn.where("entity = 'ASIA'").select(F.lit(0).alias("all"), "date", run("equity"))
-    b = dn.where("entity = 'EUROPE' and day(date) % 3 = 0").select(F.lit(0).alias("all"), "date", run("sleeve"))
-    return X.rounded(J.asof_join(a, b, by=["all"], left_ts="date", right_ts="date").select("date", "equity", F.col("r_sleeve").alias("sleeve")))
+    a = dn.where("entity = 'ASIA'").select("date", run("equity"))
+    b = dn.where("entity = 'EUROPE' and day(date) % 3 = 0").select("date", run("sleeve"))
+    return X.rounded(J.asof_join(a, b, by=[], left_ts="date", right_ts="date", slices="month").select("date", "equity", F.col("r_sleeve").alias("sleeve")))
 
 
 @B.query("j08_exact_else_asof", f"""with {B.PX}, e as (select event_id, user_id % 100 + 1 as entity, (ts + interval 1277 day)::date as date from events), m as (select event_id, max(px.date) as d from e join px on px.entity = e.entity and px.date <= e.date group by 1) select event_id, round(px.volume, 2) as volume, case when m.d = e.date then 'exact' when m.d is not null then 'asof' end as how from e left join m using (event_id) left join px on px.entity = e.entity and px.date = m.d""")
