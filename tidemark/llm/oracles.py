@@ -36,3 +36,35 @@ c(a, b) as (select a, b from l union select c.a, l.b from c join l on l.a = c.b)
 r as (select a, min(b) as b from c group by 1), n as (select a, count(*) as n from l group by 1)
 select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(b, vec_id)) as component_id, vec_id <= coalesce(b, vec_id) as kept from embeddings left join r on r.a = vec_id left join n on n.a = vec_id
 """
+
+
+def _crc32(text: str) -> str:
+    """DuckDB expression of the unsigned CRC-32 of a text of digits and signs."""
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda x: ord(x)::bigint)), lambda c, b: {bits}))"
+
+
+_LEAF = "sha256(" + " || ".join(f"case when {c} is null then '-' else strlen({c}::varchar)::varchar || ':' || {c} end" for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+MERKLE = f"""
+with recursive d as (select row_number() over () as row, doc_id, source, {_LEAF.format(text="text")} as leaf,
+  case when doc_id is not null and {_crc32("doc_id::varchar")} % 2 = 0 then {_LEAF.format(text="replace(text, chr(10), '')")} else {_LEAF.format(text="text")} end as received from documents),
+p as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from d),
+t(source, level, pos, h, n) as (select source, 0, pos, leaf, n from p
+  union all select source, level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), any_value(n + 2) // 3 from t where n > 1 group by source, level, pos // 3),
+sub as (select source, h as subroot from t where n = 1),
+q as (select *, row_number() over (order by source nulls first) - 1 as pos, count(*) over () as n from sub),
+u(level, pos, h, n) as (select 0, pos, subroot, n from q
+  union all select level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), any_value(n + 2) // 3 from u where n > 1 group by level, pos // 3),
+nodes as (select coalesce('s' || source, 'n') as tree, level, pos, h, n from t union all select 'top', level, pos, h, n from u),
+sides as (select *, coalesce(string_agg(h, '' ) over (partition by tree, level, pos // 3 order by pos rows between unbounded preceding and 1 preceding), '') as l,
+  coalesce(string_agg(h, '') over (partition by tree, level, pos // 3 order by pos rows between 1 following and unbounded following), '') as r from nodes),
+path as (select row, level, l, r from p join sides s on s.tree = coalesce('s' || p.source, 'n') and s.pos = p.pos // (3 ** level)::bigint where s.n > 1
+  union all select row, 1000 + level, l, r from p join q on p.source is not distinct from q.source join sides s on s.tree = 'top' and s.pos = q.pos // (3 ** level)::bigint where s.n > 1),
+steps as (select row, l, r, row_number() over (partition by row order by level) as step from path),
+fold(row, step, h) as (select row, 0::bigint, received from d union all select f.row, s.step, sha256(l || h || r) from fold f join steps s on s.row = f.row and s.step = f.step + 1),
+folded as (select row, arg_max(h, step) as folded_root from fold group by row),
+proof as (select row, sha256(string_agg(l || r, '' order by step)) as proof_sha256 from steps group by row)
+select doc_id, leaf, subroot, (select h from u where n = 1) as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = (select h from u where n = 1) as verified
+from p join sub on p.source is not distinct from sub.source join folded using (row) left join proof using (row)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, embedding_dedup, html_extraction, language_id, license_scan, line_dedup, mixing, oracles, simhash, substring_dedup, topk
+from tidemark.llm import bpe, embedding_dedup, html_extraction, language_id, license_scan, line_dedup, merkle, mixing, oracles, simhash, substring_dedup, topk
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_html_extraction")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
+@_query("op11_merkle_manifest", oracles.MERKLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
