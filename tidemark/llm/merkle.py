@@ -109,7 +109,7 @@ def _trees(leaves: DataFrame, order: list[Column], levels: int) -> tuple[DataFra
     ``leaves``: ``tree, leaf, held``, where ``held`` is what goes with a leaf.
     """
     width = FANOUT**levels
-    placed = running(leaves, "tree", order, {})
+    placed = running(leaves, "tree", order)
     placed = placed.withColumn("block", F.floor(F.col("pos") / F.lit(width)).cast("long")).withColumn("blocks", F.ceil(F.col("many") / F.lit(width)).cast("long"))
     blocks = placed.groupBy("tree", "block", "blocks").agg(F.array_sort(F.collect_list(F.struct("pos", "leaf", "held"))).alias("members"))
     blocks = cut(blocks)

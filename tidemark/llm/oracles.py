@@ -68,3 +68,19 @@ proof as (select row, sha256(string_agg(l || r, '' order by step)) as proof_sha2
 select doc_id, leaf, subroot, (select h from u where n = 1) as root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = (select h from u where n = 1) as verified
 from p join sub on p.source is not distinct from sub.source join folded using (row) left join proof using (row)
 """
+
+TRIE = f"""
+with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as pos
+  from conversations where conv_id is not null),
+c as (select conv_id, max(pos) as n, {_crc32("conv_id::varchar")} % 6 as h, conv_id - conv_id % 100 as first from o group by conv_id),
+r as (select c.conv_id, pos, role, text from c join o on o.conv_id = c.first where pos <= c.h
+  union all select o.conv_id, pos - c.h + least(c.h, coalesce(f.n, 0)), role, text from o join c on c.conv_id = o.conv_id left join c f on f.conv_id = c.first where pos > c.h),
+p as (select conv_id, pos as depth, text, string_agg(sha256(role) || sha256(text), '' order by pos) over (partition by conv_id order by pos) as key, max(pos) over (partition by conv_id) as whole from r
+  union all select c.conv_id, 0, '', '', coalesce(m.whole, 0) from c left join (select conv_id, max(pos) as whole from r group by 1) m using (conv_id)),
+n as (select depth, key, count(*) as n_convs, min(conv_id) as conv_id, max(length(text)) as chars, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where whole = depth), '')) as ends_sha256 from p group by 1, 2),
+k as (select left(key, 128 * (depth - 1)) as key, count(*) as n_children from n where depth > 0 group by 1),
+t as (select left(key, 128 * e) as key, count(*) filter (where n_children is null) as n_leaves, sum((n_convs - 1) * chars) as saved_tokens
+  from (select n.*, n_children, unnest(range(0, depth + 1)) as e from n left join k using (key)) group by 1)
+select n.conv_id::bigint as conv_id, n.depth::bigint as depth, up.conv_id::bigint as parent_conv_id, n.n_convs::bigint as n_convs, coalesce(n_children, 0)::bigint as n_children, n_leaves::bigint as n_leaves,
+  saved_tokens::bigint as saved_tokens, n.ends_sha256 from n join t using (key) left join k using (key) left join n up on n.depth > 0 and up.key = left(n.key, 128 * (n.depth - 1))
+"""
