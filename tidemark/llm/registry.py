@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, conversation_trie, embedding_dedup, html_extraction, language_id, license_scan, line_dedup, merkle, mixing, oracles, simhash, substring_dedup, topk
+from tidemark.llm import bpe, conversation_trie, embedding_dedup, html_extraction, interpolated_lm, language_id, license_scan, line_dedup, merkle, mixing, oracles, simhash, substring_dedup, topk
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op13_conversation_trie", oracles.TRIE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.digest(table(spark, sf_dir, "conversations"))
+
+
+@_query("op12_interpolated_lm")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolated_lm.score(table(spark, sf_dir, "documents"))
