@@ -6,10 +6,11 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof, linalg, risk, text
+from tidemark.operators import asof, linalg, spectra, text
 from tidemark.plans import base, registry
 
 
@@ -29,17 +30,51 @@ def test_group_distance_equals_numpy(spark):
     assert got == pytest.approx(want)
 
 
-def test_spectrum_equals_numpy(spark):
+@pytest.mark.parametrize("n, t", [(40, 60), (2000, 50), (30, 120), (1, 20)])
+def test_spectrum_equals_numpy(spark, n, t):
     draw = np.random.default_rng(5)
-    m = draw.normal(size=(60, 4))
-    m[:, 1] += m[:, 0]
-    rows = [(f"e{j}", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(m[i, j])) for i in range(60) for j in range(4)]
-    got = linalg.spectrum(risk.pairwise(spark.createDataFrame(rows, "entity string, date date, r double")), 60)
-    values = np.linalg.eigvalsh(np.corrcoef(m, rowvar=False))[::-1]
-    assert list(got["eigenvalue"]) == pytest.approx(list(values))
-    assert list(got["noise"]) == [v <= (1 + math.sqrt(4 / 60)) ** 2 for v in values]
+    m = draw.normal(size=(t, n))
+    m[:, : n // 3] += 3 * m[:, :1]
+    m[3, n // 2] = np.nan
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(t)]
+    ids, dates = np.meshgrid(np.arange(n), np.arange(t))
+    pdf = pd.DataFrame({"entity": ids.ravel(), "date": [days[i] for i in dates.ravel()], "r": m.ravel()})
+    xs, seen = spectra.centred_window(spark.createDataFrame(pdf), window=t)
+    got = spectra.spectrum(spectra.modes(xs, seen))
+    x = np.nan_to_num(m)
+    x = x - x.mean(axis=0)
+    cov = np.atleast_2d(np.cov(x, rowvar=False))
+    values, vectors = np.linalg.eigh(cov)
+    values = np.clip(values, 1e-12, None)
+    edge = np.median(np.where(values < 1e-10, 1e-12, values)) * (1 + math.sqrt(n / t)) ** 2
+    rows = sorted(got.collect(), key=lambda r: r.k)
+    assert [r.eigenvalue for r in rows] == pytest.approx(list(values[::-1][: min(n, t)]), rel=1e-6, abs=1e-9)
     share = values / values.sum()
-    assert got["effective_rank"][0] == pytest.approx(math.exp(-(share * np.log(share)).sum()))
+    assert rows[0].effective_rank == pytest.approx(math.exp(-(share * np.log(share)).sum()), rel=1e-6) and rows[0].edge == pytest.approx(edge, rel=1e-6, abs=1e-9)
+    assert rows[0].signal_modes == (values > edge).sum() and rows[0].noise_fraction == pytest.approx((values <= edge).mean())
+    noisy = values <= edge
+    kept = np.where(noisy, values[noisy].mean() if noisy.any() else 0.0, values)
+    want = np.diag(vectors @ np.diag(kept) @ vectors.T)
+    told = {r.entity: r for r in spectra.cleaned_variances(xs, seen, got).collect()}
+    assert [told[k].cleaned for k in range(n)] == pytest.approx(list(want), rel=1e-6) and [told[k].variance for k in range(n)] == pytest.approx(list(np.diag(cov)), rel=1e-9)
+
+
+def test_uncertainty_state_equals_plain(spark, sf):
+    got = registry.QUERIES["a64_uncertainty_state"](spark, sf).first()
+    r = [x.r for x in base.dense(spark, sf).select("r").collect()]
+    assert got.mean == pytest.approx(np.mean(r), abs=1e-6) and got.vol == pytest.approx(np.std(r, ddof=1), abs=1e-6) and got.information == pytest.approx(len(r) / np.var(r, ddof=1), rel=1e-6)
+    rows = base.prices(spark, sf).select("entity", "date", "r").toPandas().pivot(index="date", columns="entity", values="r").sort_index().tail(252).dropna(axis=1, how="all").fillna(0.0).to_numpy()
+    values = np.clip(np.linalg.eigvalsh(np.cov(rows, rowvar=False)), 1e-12, None)
+    share = values / values.sum()
+    assert got.effective_rank == pytest.approx(math.exp(-(share * np.log(share)).sum()), rel=1e-5)
+    assert got.filter_confidence == pytest.approx(1 - got.filter_gain) and 0 < got.noise_fraction <= 1
+
+
+def test_components_of_risk_add_up(spark, sf):
+    asset, factor = (registry.QUERIES[q](spark, sf).collect() for q in ("a36_asset_risk", "a36_factor_risk"))
+    total = next(r.variance_e6 for r in factor if r.name == "variance")
+    assert sum(r.share for r in asset) == pytest.approx(1.0, abs=1e-5) and sum(r.component for r in asset) ** 2 * 1e6 == pytest.approx(total, rel=1e-4)
+    assert sum(r.variance_e6 for r in factor if r.block != "total") == pytest.approx(total, rel=1e-6) and sum(r.factor_share for r in factor if r.block == "factor") == pytest.approx(1.0, abs=1e-5)
 
 
 def test_common_factor_equals_numpy(spark, sf):

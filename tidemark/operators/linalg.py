@@ -58,6 +58,50 @@ def risk_decomposition(betas: DataFrame, weights: DataFrame, factor_cov: DataFra
     return f.crossJoin(s).withColumn("factor_share", F.try_divide(F.col("factor_variance"), F.col("factor_variance") + F.col("specific_variance")))  # one row each
 
 
+def asset_risk(betas: DataFrame, weights: DataFrame, factor_cov: DataFrame, by: str) -> DataFrame:
+    """``by, weight, marginal, component, share, standalone`` under the covariance B F B' + D of a factor model.
+
+    ``betas`` are rows of ``factor_betas``; ``weights`` are scaled to add up to one, entities without betas taking no
+    part. Components add up to the portfolio's volatility and shares to one. The covariance of
+    entities is never formed: F B'w has a row for each factor.
+    """
+    own = betas.join(weights, by)
+    total = own.where("factor = 'alpha'").agg(F.sum("weight").alias("_all"))
+    own = own.crossJoin(F.broadcast(total)).withColumn("weight", F.try_divide("weight", "_all")).drop("_all")  # one row
+    b = own.where("factor <> 'alpha'").groupBy("factor").agg(F.sum(F.col("weight") * F.col("beta")).alias("b"))
+    fb = factor_cov.join(b.withColumnRenamed("factor", "j"), "j").groupBy(F.col("i").alias("factor")).agg(F.sum(F.col("cov") * F.col("b")).alias("fb"))
+    held = own.where("factor <> 'alpha'").join(F.broadcast(fb), "factor")  # a row for each factor
+    systematic = held.groupBy(by).agg(F.sum(F.col("beta") * F.col("fb")).alias("_with"), F.map_from_entries(F.collect_list(F.struct("factor", "beta"))).alias("_beta"))
+    pairs = factor_cov.agg(F.collect_list(F.struct("i", "j", "cov")).alias("_cov"))  # at most 15 x 15
+    out = own.where("factor = 'alpha'").select(by, "weight", "residual_variance").join(systematic, by).crossJoin(F.broadcast(pairs))
+    square = F.aggregate("_cov", F.lit(0.0), lambda a, c: a + c["cov"] * F.coalesce(F.element_at("_beta", c["i"]), F.lit(0.0)) * F.coalesce(F.element_at("_beta", c["j"]), F.lit(0.0)))
+    out = out.withColumn("_sigma", F.col("_with") + F.col("weight") * F.col("residual_variance")).withColumn("standalone", F.sqrt(F.greatest(square + F.col("residual_variance"), F.lit(0.0))))
+    variance = out.agg(F.sum(F.col("weight") * F.col("_sigma")).alias("_variance"))
+    out = out.crossJoin(F.broadcast(variance))  # one row
+    vol = F.greatest(F.sqrt(F.greatest("_variance", F.lit(0.0))), F.lit(1e-12))
+    part = F.col("weight") * F.col("_sigma")
+    return out.select(by, "weight", (F.col("_sigma") / vol).alias("marginal"), (part / vol).alias("component"), (part / F.greatest("_variance", F.lit(1e-12))).alias("share"), "standalone", "residual_variance")
+
+
+def factor_risk(betas: DataFrame, weights: DataFrame, factor_cov: DataFrame, by: str) -> DataFrame:
+    """``block, name, beta, variance, share, factor_share``: factors, specific risk, and the totals of the portfolio."""
+    own = betas.join(weights, by)
+    total = own.where("factor = 'alpha'").agg(F.sum("weight").alias("_all"))
+    own = own.crossJoin(F.broadcast(total)).withColumn("weight", F.try_divide("weight", "_all"))  # one row
+    b = own.where("factor <> 'alpha'").groupBy("factor").agg(F.sum(F.col("weight") * F.col("beta")).alias("b"))
+    fb = factor_cov.join(b.select(F.col("factor").alias("j"), F.col("b").alias("bj")), "j").groupBy(F.col("i").alias("factor")).agg(F.sum(F.col("cov") * F.col("bj")).alias("fb"))
+    factors = b.join(fb, "factor").select(F.lit("factor").alias("block"), F.col("factor").alias("name"), F.col("b").alias("beta"), (F.col("b") * F.col("fb")).alias("variance"))
+    none = F.lit(None).cast("double")
+    specific = own.where("factor = 'alpha'").agg(F.sum(F.pow("weight", 2) * F.col("residual_variance")).alias("variance")).select(F.lit("specific").alias("block"), F.lit("specific").alias("name"), none.alias("beta"), "variance")
+    rows = factors.union(specific)
+    parts = rows.groupBy("block").agg(F.sum("variance").alias("variance"))
+    sums = parts.select(F.lit("total").alias("block"), F.concat("block", F.lit("_share")).alias("name"), none.alias("beta"), "variance")
+    whole = parts.agg(F.sum("variance").alias("variance")).select(F.lit("total").alias("block"), F.lit("variance").alias("name"), none.alias("beta"), "variance")
+    said = parts.agg(F.sum("variance").alias("_variance"), F.sum(F.when(F.col("block") == "factor", F.col("variance"))).alias("_factors"))
+    out = rows.union(sums).union(whole).crossJoin(F.broadcast(said))  # one row
+    return out.select("block", "name", "beta", "variance", F.try_divide("variance", "_variance").alias("share"), F.when(F.col("block") == "factor", F.try_divide("variance", "_factors")).alias("factor_share"))
+
+
 def scenario_stress(betas: DataFrame, scenarios: DataFrame, by: str) -> DataFrame:
     """Sum of beta times shock for each entity and scenario (long ``scenario, factor, shock``)."""
     return betas.join(F.broadcast(scenarios), "factor").groupBy(by, "scenario").agg(F.sum(F.col("beta") * F.col("shock")).alias("impact"))  # a table of scenarios
@@ -83,21 +127,6 @@ def shrinkage(df: DataFrame, entity: str = "entity", ts: str = "date", ret: str
     return m.select("n", "p", mu.alias("target"), F.greatest(F.least(F.try_divide(F.col("beta") / F.col("n"), delta), F.lit(1.0)), F.lit(0.0)).alias("intensity"))
 
 
-def spectrum(pairs: DataFrame, n_rows: int, limit: int = 512) -> pd.DataFrame:
-    """Eigenvalues of a correlation matrix of at most ``limit`` entities, the edge of noise and the effective rank."""
-    names = sorted({r[0] for r in pairs.select("a").distinct().limit(limit + 1).collect()})
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} entities")
-    at = {v: k for k, v in enumerate(names)}
-    m = np.eye(len(names))
-    for a, b, c in pairs.select("a", "b", "corr").collect():
-        m[at[a], at[b]] = m[at[b], at[a]] = c
-    values = np.linalg.eigvalsh(m)[::-1]
-    edge = (1 + np.sqrt(len(names) / n_rows)) ** 2
-    share = np.clip(values, 1e-15, None) / np.clip(values, 1e-15, None).sum()
-    return pd.DataFrame({"k": np.arange(1, len(values) + 1), "eigenvalue": values, "noise": values <= edge, "effective_rank": float(np.exp(-(share * np.log(share)).sum()))})
-
-
 def group_distance(df: DataFrame, group: str, key: str, xs: list[str], shrink: float = 0.1) -> DataFrame:
     """Mahalanobis distance within each group, with covariance (1 - shrink) S + shrink I; the inverse is taken on the group's moments."""
     full = df.dropna(subset=xs)

@@ -12,6 +12,7 @@ from tidemark.operators import recursion as R
 from tidemark.operators import resample as S
 from tidemark.operators import risk as K
 from tidemark.operators import scoring as C
+from tidemark.operators import spectra as Z
 from tidemark.plans import base as B
 from tidemark.sources.files import symbol
 
@@ -105,11 +106,15 @@ def a37(spark, d):
 
 @B.query("a64_uncertainty_state")
 def a64(spark, d):
+    """One row: mean, volatility and information of all regions' returns, mean filter gain, confidence, concentration by volume, and the spectrum of the suppliers' returns."""
     dn = B.dense(spark, d)
     mean = dn.agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("vol"), X.ratio(F.count("*").cast("double"), F.var_samp("r")).alias("information"))
     gain = R.local_level(dn).agg(F.avg("gain").alias("filter_gain"))
     entropy = K.concentration(dn.groupBy("entity").agg(F.sum("volume").alias("weight"))).select("entropy", "effective_names")
-    return X.rounded(mean.crossJoin(gain).crossJoin(entropy))  # one row each
+    told = Z.spectrum(Z.modes(*Z.centred_window(B.prices(spark, d))))
+    seen = told.agg(F.max("effective_rank").alias("effective_rank"), F.max("noise_fraction").alias("noise_fraction"), (F.max("edge") * 1e6).alias("edge_e6"), F.max("signal_modes").alias("signal_modes"))
+    state = mean.crossJoin(gain).crossJoin(entropy).crossJoin(seen)  # one row each
+    return X.rounded(state.withColumn("filter_confidence", 1 - F.col("filter_gain")))
 
 
 @B.query("w15_penalties", f"""with {B.FILINGS}, r as (select filing, entity, net_income / revenue as x, (filing % 10) / 10.0::double as risk from fl), m as (select *, median(case when x > 0 then x end) over () as mid from r) select filing, round(x * (1 - 0.5::double * risk) * case when x > mid then 1.0 else 0.9 end, 6) as penalised from m""")

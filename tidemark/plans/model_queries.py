@@ -10,7 +10,9 @@ from tidemark.operators import linalg as L
 from tidemark.operators import panel as P
 from tidemark.operators import recursion as R
 from tidemark.operators import risk as K
+from tidemark.operators import spectra as S
 from tidemark.operators import text as T
+from tidemark.operators import variance as V
 from tidemark.plans import base as B
 
 _RN = "rn as (select entity, date, r, row_number() over (partition by entity order by date) as i, count(*) over (partition by entity) as n, var_samp(r) over (partition by entity) as v0 from dn)"
@@ -76,6 +78,67 @@ def w29(spark, d):
     return c.select("entity", "h", F.round(F.col("variance") * 1e6, 5).alias("variance_e6"), F.round("band", 6).alias("band"))
 
 
+def _values(rows: list[tuple]) -> str:
+    """SQL rows of fixed values."""
+    lit = {type(None): lambda _: "null::double", float: lambda x: f"{x!r}::double", int: str, str: lambda x: f"'{x}'", list: lambda x: "[" + ", ".join(f"{v!r}::double" for v in x) + "]"}
+    return ", ".join("(" + ", ".join(lit[type(v)](v) for v in row) + ")" for row in rows)
+
+
+_VA = f"""va as (select entity, date, r, row_number() over (partition by entity order by date) - 1 as i, count(*) over (partition by entity) as n, r - avg(r) over (partition by entity) as y, var_pop(r) over (partition by entity) as v0
+  from (select entity, date, r, row_number() over (partition by entity order by date desc) as k from dn where r is not null) where k <= {V.WINDOW}),
+vg as (select * from (values {_values(V.grid_rows())}) t(model, a1, a2, b1, b2, nu, shift, k)),
+vr(entity, model, a1, a2, b1, b2, nu, shift, k, n, i, v0, h, g, e, last, ll, q) as (
+  select entity, model, a1, a2, b1, b2, nu, shift, k, n, 0::bigint, v0, v0, v0, v0, 0.0::double, 0.0::double, 0.0::double from va, vg where i = 0 and n >= {V.LEAST} and v0 > 0
+  union all select f.entity, model, a1, a2, b1, b2, nu, shift, k, f.n, f.i + 1, f.v0, f.v0 * (1 - a1 - a2 - b1 - b2) + a1 * y * y + a2 * e + b1 * h + b2 * g, h, y * y, h,
+    ll + shift - 0.5 * (ln(h) + case when nu is null then y * y / h else (nu + 1) * ln(1 + y * y / h / nu) end), q + y * y / h + ln(h) from vr f join va on va.entity = f.entity and va.i = f.i),
+vk as (select * from (values {_values(V.kernel_rows())}) t(hurst, length, least, kernel, sums)),
+vj as (select a.entity, hurst, length, least, any_value(a.n) as n, a.i, any_value(a.r) as r, greatest(sum(b.r * b.r * kernel[a.i - b.i]) / any_value(sums[least(length, a.i)]), 1e-12) as h
+  from (select entity, n, i, r from va union select entity, n, n, null from va) a, vk, va b where b.entity = a.entity and b.i < a.i and b.i >= a.i - length and a.i >= least and length < a.n - 5 and a.n - least >= 40 group by all),
+vm as (select *, avg(r) over (partition by entity, hurst, length) as mean from vj),
+vp as (select entity, 'POWER_LAW' as model, hurst as a1, length::double as a2, 0.0::double as b1, 0.0::double as b2, null::double as nu, any_value(n) - least as n, 3 as k,
+  sum(-0.5 * (ln({V.TWO_PI}::double) + ln(h) + (r - mean) * (r - mean) / h)) as ll, avg(case when r is not null then r * r / h + ln(h) end) as qlike, arg_max(h, case when r is not null then i end) as last, arg_max(h, i) as ahead
+  from vm group by entity, hurst, length, least),
+ve as (select *, 2 * k - 2 * ll as aic, k * ln(n) - 2 * ll as bic from (select entity, model, a1, a2, b1, b2, nu, n, k, ll, q / n as qlike, last, h as ahead from vr where i = n union all select * from vp)),
+vc as (select * exclude o, round(aic, 6) = min(round(aic, 6)) over w as best_aic, round(bic, 6) = min(round(bic, 6)) over w as best_bic, round(qlike, 6) = min(round(qlike, 6)) over w as best_qlike
+  from (select *, row_number() over (partition by entity, model order by round(bic, 6), a1, a2, b1, b2, coalesce(nu, 0)) as o from ve) where o = 1 window w as (partition by entity)),
+vb as (select entity, arg_min(struct_pack(model := model, a1 := a1, a2 := a2, b1 := b1, b2 := b2, last := last, ahead := ahead), (round(bic, 6), model)) as b from vc where model <> 'POWER_LAW' group by entity),
+vpath(entity, model, i, date, v0, h, g, e, hh, p) as (
+  select va.entity, b.model, 0::bigint, null::date, v0, v0, v0, v0, null::double, 100.0::double from va join vb using (entity) where i = 0
+  union all select f.entity, f.model, f.i + 1, va.date, f.v0, f.v0 * (1 - b.a1 - b.a2 - b.b1 - b.b2) + b.a1 * y * y + b.a2 * e + b.b1 * h + b.b2 * g, h, y * y, greatest(h, 1e-12), p * (1 + r) from vpath f join va on va.entity = f.entity and va.i = f.i join vb on vb.entity = f.entity),
+vcone(entity, model, step, v0, h, g, e, total, price) as (
+  select vpath.entity, vpath.model, 1, vpath.v0, b.ahead, b.last, y * y, b.ahead, p from vpath join va on va.entity = vpath.entity and va.i = va.n - 1 and vpath.i = va.n join vb on vb.entity = vpath.entity
+  union all select f.entity, f.model, step + 1, v0, v0 * (1 - b.a1 - b.a2 - b.b1 - b.b2) + b.a1 * h + b.a2 * e + b.b1 * h + b.b2 * g, h, h, total + v0 * (1 - b.a1 - b.a2 - b.b1 - b.b2) + b.a1 * h + b.a2 * e + b.b1 * h + b.b2 * g, price
+    from vcone f join vb using (entity) where step < 21)"""
+
+
+@B.query("w28_variance_architectures", f"""{_REC}{B.DENSE}, {_VA} select entity, model, a1, a2, b1, b2, nu, n, k::bigint as k, round(ll, 4) as ll, round(aic, 4) as aic, round(bic, 4) as bic, round(qlike, 6) as qlike, round(last * 1e6, 4) as last_e6, round(ahead * 1e6, 4) as ahead_e6, best_aic, best_bic, best_qlike from vc""")
+def w28_architectures(spark, d):
+    x = V.architectures(B.dense(spark, d))
+    small = [F.round(F.col(c) * 1e6, 4).alias(f"{c}_e6") for c in ("last", "ahead")]
+    return x.select("entity", "model", "a1", "a2", "b1", "b2", "nu", "n", "k", *[F.round(c, 4).alias(c) for c in ("ll", "aic", "bic")], F.round("qlike", 6).alias("qlike"), *small, "best_aic", "best_bic", "best_qlike")
+
+
+def _best_recursion(x):
+    own = V.architectures(x).where("model <> 'POWER_LAW'")
+    kept = ("model", "a1", "a2", "b1", "b2", "last", "ahead")
+    return own.groupBy("entity").agg(F.min_by(F.struct(*kept), F.struct(F.round("bic", 6), "model")).alias("b")).select("entity", "b.*")
+
+
+@B.query("w29_conditional_path", f"""{_REC}{B.DENSE}, {_VA} select entity, model, date, round(hh * 1e6, 4) as variance_e6, round(sqrt(hh), 6) as daily_vol, round(sqrt(hh) * sqrt(252.0::double), 6) as annual_vol, round(p, 6) as price_index, round(p * (1 + sqrt(hh)), 6) as upper, round(p * (1 - sqrt(hh)), 6) as lower from vpath where i > 0""")
+def w29_path(spark, d):
+    x = B.dense(spark, d)
+    y = V.conditional_path(x, _best_recursion(x))
+    return y.select("entity", "model", "date", F.round(F.col("variance") * 1e6, 4).alias("variance_e6"), *[F.round(c, 6).alias(c) for c in ("daily_vol", "annual_vol", "price_index", "upper", "lower")])
+
+
+@B.query("w29_price_cone", f"""{_REC}{B.DENSE}, {_VA} select entity, model, step as h, round(h * 1e6, 4) as variance_e6, round(price * (1 - 1.96::double * sqrt(total)), 6) as low, round(price * (1 + 1.96::double * sqrt(total)), 6) as high from vcone""")
+def w29_cone(spark, d):
+    x = B.dense(spark, d)
+    y = V.architecture_cone(x, _best_recursion(x), 21)
+    return y.select("entity", "model", "h", F.round(F.col("variance") * 1e6, 4).alias("variance_e6"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+
 def _cost(n: str, a: str, b: str) -> str:
     return f"({n} * ln(greatest(({b}) / {n} - pow(({a}) / {n}, 2), 1e-12)))"
 
@@ -144,6 +207,36 @@ def a36(spark, d):
     return y.select(F.round(F.col("factor_variance") * 1e6, 5).alias("factor_e6"), F.round(F.col("specific_variance") * 1e6, 5).alias("specific_e6"), F.round("factor_share", 6).alias("factor_share"))
 
 
+_AR = f"""{_FX}, aw as (select l_suppkey as entity, sum(l_quantity) as q from lineitem group by 1), ab as (select entity, b1, b2, n * (vy - b1 * c1 - b2 * c2) / (n - 3) as d, q / sum(q) over () as w from fb join aw using (entity) where n >= 40),
+ac as (select var_samp(rb) as f1, var_samp(spread) as f2, covar_samp(rb, spread) as f12 from mk join fs using (date) where spread is not null),
+ap as (select sum(w * b1) as p1, sum(w * b2) as p2, sum(w * w * d) as s from ab), aq as (select *, p1 * (f1 * p1 + f12 * p2) as v1, p2 * (f12 * p1 + f2 * p2) as v2 from ap, ac), tot as (select *, v1 + v2 + s as v from aq)"""
+
+
+def _risk_model(spark, d):
+    """Betas, weights by volume and factor covariance."""
+    x = _factors(spark, d)
+    long = x.select("date", "rb", "spread").distinct().unpivot("date", ["rb", "spread"], "entity", "r")
+    cov = K.pairwise(long, least=2)
+    both = cov.select(F.col("a").alias("i"), F.col("b").alias("j"), "cov").union(cov.where("a <> b").select("b", "a", "cov"))
+    weights = B.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("entity")).agg(F.sum("l_quantity").cast("double").alias("weight"))
+    return L.factor_betas(x, "entity", "r", ["rb", "spread"]), weights, both
+
+
+@B.query("a36_asset_risk", f"""with {B.PX}, {B.DENSE}, {_AR}, g as (select entity, w, d, b1 * (f1 * p1 + f12 * p2) + b2 * (f12 * p1 + f2 * p2) + w * d as sw, b1 * b1 * f1 + b2 * b2 * f2 + 2 * b1 * b2 * f12 + d as own, v from ab, tot)
+select entity, round(w, 8) as weight, round(sw / sqrt(v), 8) as marginal, round(w * sw / sqrt(v), 9) as component, round(w * sw / v, 8) as share, round(sqrt(own), 8) as standalone, round(d * 1e6, 4) as residual_e6 from g""")
+def a36_asset(spark, d):
+    y = L.asset_risk(*_risk_model(spark, d), "entity")
+    return y.select("entity", F.round("weight", 8).alias("weight"), F.round("marginal", 8).alias("marginal"), F.round("component", 9).alias("component"), F.round("share", 8).alias("share"), F.round("standalone", 8).alias("standalone"), F.round(F.col("residual_variance") * 1e6, 4).alias("residual_e6"))
+
+
+@B.query("a36_factor_risk", f"""with {B.PX}, {B.DENSE}, {_AR}, u as (select 'factor' as block, 'rb' as name, p1 as beta, v1 as x, v, v1 + v2 as f from tot union all select 'factor', 'spread', p2, v2, v, v1 + v2 from tot union all select 'specific', 'specific', null, s, v, null from tot
+union all select 'total', 'factor_share', null, v1 + v2, v, null from tot union all select 'total', 'specific_share', null, s, v, null from tot union all select 'total', 'variance', null, v, v, null from tot)
+select block, name, round(beta, 6) as beta, round(x * 1e6, 5) as variance_e6, round(x / v, 6) as share, round(x / f, 6) as factor_share from u""")
+def a36_factor(spark, d):
+    y = L.factor_risk(*_risk_model(spark, d), "entity")
+    return y.select("block", "name", F.round("beta", 6).alias("beta"), F.round(F.col("variance") * 1e6, 5).alias("variance_e6"), F.round("share", 6).alias("share"), F.round("factor_share", 6).alias("factor_share"))
+
+
 @B.query("a38_scenario_stress", f"""with {B.PX}, {B.DENSE}, {_FX}, s as (select * from (values ('crash', -0.1::double, 0.02::double), ('rally', 0.05, 0.0), ('rotation', 0.0, 0.05)) t(scenario, s1, s2)) select entity, scenario, round(b1 * s1 + b2 * s2, 6) as impact from fb, s""")
 def a38(spark, d):
     s = spark.sql("select * from values ('crash', 'rb', -0.1D), ('crash', 'spread', 0.02D), ('rally', 'rb', 0.05D), ('rally', 'spread', 0D), ('rotation', 'rb', 0D), ('rotation', 'spread', 0.05D) as t(scenario, factor, shock)")
@@ -166,9 +259,16 @@ def a42(spark, d):
 
 @B.query("a43_spectrum")
 def a43(spark, d):
-    dn = B.dense(spark, d)
-    n = dn.groupBy("entity").count().agg(F.min("count")).first()[0] or 1
-    return X.rounded(spark.createDataFrame(L.spectrum(K.pairwise(dn), n)))
+    found = S.modes(*S.centred_window(B.prices(spark, d)))
+    x = S.spectrum(found).select("k", (F.col("eigenvalue") * 1e6).alias("eigenvalue_e6"), "noise", (F.col("edge") * 1e6).alias("edge_e6"), "noise_fraction", "signal_modes", "effective_rank", "series", "days")
+    return X.rounded(x, 4)
+
+
+@B.query("a43_cleaned_variance")
+def a43_cleaned(spark, d):
+    xs, days = S.centred_window(B.prices(spark, d))
+    y = S.cleaned_variances(xs, days, S.spectrum(S.modes(xs, days)))
+    return y.select("entity", F.round(F.col("variance") * 1e6, 4).alias("variance_e6"), F.round(F.col("cleaned") * 1e6, 4).alias("cleaned_e6"))
 
 
 @B.query("w13_group_distance")

@@ -108,9 +108,10 @@ def a12(spark, d):
 b as (select entity, exp(sum(ln(1 + greatest(r, -0.999999)))) - 1 as total_return, exp(sum(ln(1 + greatest(r, -0.999999))) * 252.0 / count(r)) - 1 as annual_return, stddev_samp(r) * sqrt(252.0) as volatility, avg(r) / nullif(stddev_samp(r), 0) * sqrt(252.0) as sharpe, avg(r) / nullif(sqrt(avg(pow(least(r, 0.0), 2))), 0) * sqrt(252.0) as sortino,
 avg((r > 0)::int::double) as hit_rate, stddev_samp(r - rb) * sqrt(252.0) as tracking_error, avg(r - rb) / nullif(stddev_samp(r - rb), 0) * sqrt(252.0) as information_ratio, regr_slope(r, rb) as beta from j group by 1),
 a as (select b.*, mdd as max_drawdown, var, cvar from b join w using (entity) join vr using (entity))
-select entity, metric, round(value, 5) as value from (unpivot a on columns(* exclude entity) into name metric value value)""")
+select entity, metric, round(value + 1e-9, 5) as value from (unpivot a on columns(* exclude entity) into name metric value value)""")
 def a13(spark, d):
-    return X.rounded(R.summary(_both(spark, d), "entity"), 5)
+    # moved off the ties of rounding, on which whole hundredths fall
+    return X.rounded(R.summary(_both(spark, d), "entity").withColumn("value", F.col("value") + 1e-9), 5)
 
 
 @B.query("a14_performance_by_state", f"""{_J}, s as (select *, case when rb >= 0 then 'up' else 'down' end as market, 'y' || year(date) as period from j),
