@@ -10,6 +10,7 @@ from tidemark.operators import linalg as L
 from tidemark.operators import panel as P
 from tidemark.operators import recursion as R
 from tidemark.operators import risk as K
+from tidemark.operators import segments as G
 from tidemark.operators import spectra as S
 from tidemark.operators import text as T
 from tidemark.operators import variance as V
@@ -155,6 +156,42 @@ def w30(spark, d):
     return X.rounded(R.change_points(B.dense(spark, d)))
 
 
+_SGC = lambda m, a, b: f"(({m}) * (ln(greatest((({b}) - ({a}) * ({a}) / ({m})) / ({m}), {G.FLOOR}::double)) + 1))"
+_SGG = f"round({_SGC('(b - a)::double', 'y.s1 - x.s1', 'y.s2 - x.s2')} - {_SGC('(c.i - a)::double', 'c.s1 - x.s1', 'c.s2 - x.s2')} - {_SGC('(b - c.i)::double', 'y.s1 - c.s1', 'y.s2 - c.s2')}, 6)"
+_SGJ = f"join sp x on x.entity = sg.entity and x.i = a join sp y on y.entity = sg.entity and y.i = b join sp c on c.entity = sg.entity and c.i between a + {G.LEAST} and b - {G.LEAST}"
+_SG = f"""sv as (select entity, date, r, row_number() over (partition by entity order by date) as i, count(*) over (partition by entity) as n from (select entity, date, r * case when month(date) > 6 then 3 else 1 end as r, row_number() over (partition by entity order by date desc) as k from dn where r is not null) where k <= {G.WINDOW}),
+sp as (select entity, i, n, sum(r) over u as s1, sum(r * r) over u as s2 from sv where n >= {max(3 * G.LEAST, G.FEWEST)} window u as (partition by entity order by i rows between unbounded preceding and current row) union all select distinct entity, 0, n, 0.0::double, 0.0::double from sv where n >= {max(3 * G.LEAST, G.FEWEST)}),
+sg(entity, n, a, b) as (select entity, n, 0::bigint, n from sp where i = 0
+  union all select entity, n, unnest([a, cut]), unnest([cut, b]) from (select sg.entity, sg.n, a, b, arg_min(c.i, (-{_SGG}, c.i)) as cut, max({_SGG}) as gain from sg {_SGJ} group by 1, 2, 3, 4) where gain > 3 * ln(n)),
+so as (select sg.entity, a, b from sg where not exists (select 1 from sg o where o.entity = sg.entity and o.a >= sg.a and o.b <= sg.b and (o.a > sg.a or o.b < sg.b))),
+sn as (select *, row_number() over (partition by entity order by a) as segment from so),
+sw as (select sn.entity, segment, i, date, r, sum(ln(1 + r)) over (partition by sn.entity, segment order by i) as up from sn join sv on sv.entity = sn.entity and i > a and i <= b), sx as (select *, max(up) over (partition by entity, segment order by i) as peak from sw),
+ss as (select entity, segment, min(date) as start, max(date) as "end", count(*) as n, avg(r) as mean, avg(r) * 252 as annual_return, stddev_samp(r) * sqrt(252.0::double) as annual_vol, sqrt(coalesce(avg(case when r < 0 then r * r end), 0)) * sqrt(252.0::double) as downside_vol,
+  case when var_pop(r) > 0 then skewness(r) end as skew, case when var_pop(r) > 0 then kurtosis(r) end as kurtosis, exp(sum(ln(1 + r))) - 1 as total_return, exp(min(up - peak)) - 1 as max_drawdown from sx group by 1, 2),
+sr as (select *, case when round(annual_vol, 10) >= quantile_cont(round(annual_vol, 10), 0.5) over (partition by entity) then 'High variance' else 'Low variance' end || ' / ' || case when round(mean, 10) >= quantile_cont(round(mean, 10), 0.5) over (partition by entity) then 'High drift' else 'Low drift' end as regime from ss)"""
+
+
+def _sized(spark, d):
+    """Regional returns of a book that is three times as large in the second half of each year."""
+    return B.dense(spark, d).withColumn("r", F.col("r") * F.when(F.month("date") > 6, 3).otherwise(1))
+
+
+@B.query("w30_segments", f"""{_REC}{B.DENSE}, {_SG} select entity, segment::int as segment, start, "end", n, round(mean * 1e3, 6) as mean_e3, round(annual_return, 6) as annual_return, round(annual_vol, 6) as annual_vol, round(downside_vol, 6) as downside_vol, round(skew, 5) as skew, round(kurtosis, 5) as kurtosis, round(total_return, 6) as total_return, round(max_drawdown, 6) as max_drawdown, regime from sr""")
+def w30_segments(spark, d):
+    x = G.segments(_sized(spark, d))
+    six = [F.round(c, 6).alias(c) for c in ("annual_return", "annual_vol", "downside_vol", "total_return", "max_drawdown")]
+    return x.select("entity", "segment", "start", "end", "n", F.round(F.col("mean") * 1e3, 6).alias("mean_e3"), *six, F.round("skew", 5).alias("skew"), F.round("kurtosis", 5).alias("kurtosis"), "regime")
+
+
+@B.query("w30_change_events", f"""{_REC}{B.DENSE}, {_SG}, e as (select entity, start as changed, segment, lag(annual_vol) over o as vol_before, annual_vol as vol_after, lag(mean) over o as mean_before, mean as mean_after from sr window o as (partition by entity order by segment))
+select entity, changed, segment::int as segment, round(vol_before, 6) as vol_before, round(vol_after, 6) as vol_after, round(mean_before * 1e3, 6) as mean_before_e3, round(mean_after * 1e3, 6) as mean_after_e3, round(vol_after / nullif(vol_before, 0), 6) as vol_ratio,
+case when round(vol_after / nullif(vol_before, 0), 9) > {G.UP} then 'Variance up' when round(vol_after / nullif(vol_before, 0), 9) < {G.DOWN} then 'Variance down' else 'Mean/variance shift' end as kind from e where segment > 1""")
+def w30_events(spark, d):
+    x = G.change_events(G.segments(_sized(spark, d)))
+    return x.select("entity", "changed", "segment", F.round("vol_before", 6).alias("vol_before"), F.round("vol_after", 6).alias("vol_after"), F.round(F.col("mean_before") * 1e3, 6).alias("mean_before_e3"), F.round(F.col("mean_after") * 1e3, 6).alias("mean_after_e3"), F.round("vol_ratio", 6).alias("vol_ratio"), "kind")
+
+
+
 _TH = f"""{_RN}, tg as (select * from (values (0.05::double, 0.02::double), (0.05, 0.03), (0.1, 0.05), (0.15, 0.05)) t(cut, restore)), th(entity, cut, restore, n, i, e, idx, peak, th, worst) as (select distinct entity, cut, restore, n, 0::bigint, 1.0::double, 1.0::double, 1.0::double, 0, 0.0::double from rn, tg union all
 select f.entity, f.cut, f.restore, f.n, rn.i, case when f.idx * (1 + f.e * rn.r) / greatest(f.peak, f.idx * (1 + f.e * rn.r)) - 1 < -f.cut then 0.5 when f.idx * (1 + f.e * rn.r) / greatest(f.peak, f.idx * (1 + f.e * rn.r)) - 1 > -f.restore then 1.0 else f.e end, f.idx * (1 + f.e * rn.r), greatest(f.peak, f.idx * (1 + f.e * rn.r)),
 f.th + (case when f.idx * (1 + f.e * rn.r) / greatest(f.peak, f.idx * (1 + f.e * rn.r)) - 1 < -f.cut then 1 when f.idx * (1 + f.e * rn.r) / greatest(f.peak, f.idx * (1 + f.e * rn.r)) - 1 > -f.restore then 0 else (f.e < 1)::int end), least(f.worst, f.idx * (1 + f.e * rn.r) / greatest(f.peak, f.idx * (1 + f.e * rn.r)) - 1) from th f join rn on rn.entity = f.entity and rn.i = f.i + 1), tl as (select * from th where i = n)"""
