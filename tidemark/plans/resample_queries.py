@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
+from tidemark.operators import nested as N
 from tidemark.operators import resample as R
 from tidemark.plans import base as B
 
@@ -129,6 +130,61 @@ def b12(spark, d):
     return X.rounded(b, 8)
 
 
+_SCHEDULE = N.Schedule(train=504, purge=21, validation=126, embargo=5, test=42, holdout=252)
+
+
+def _nested(spark, d):
+    """Regions as candidates against the mean of all."""
+    dn = B.dense(spark, d)
+    return N.nested_selection(dn.join(B.market(dn), "date").select("entity", "date", "r", "rb"), _SCHEDULE)
+
+
+def _perf(src: str, keys: str, r: str) -> str:
+    """Performance of each group in the terms of ``performance``."""
+    return f"""(select {keys}, count(*) as days, exp(sum(ln(1 + {r})) * 252.0::double / count(*)) - 1 as annual_return, sqrt(avg(pow(least({r}, 0.0), 2))) * sqrt(252.0::double) as downside,
+  case when abs(avg(rb) filter (where rb > 0)) > 1e-12 then avg({r}) filter (where rb > 0) / avg(rb) filter (where rb > 0) end as upside_capture, case when abs(avg(rb) filter (where rb < 0)) > 1e-12 then avg({r}) filter (where rb < 0) / avg(rb) filter (where rb < 0) end as downside_capture,
+  avg({r}) filter (where round({r}, 12) <= round(q, 12)) as cvar, min(nav / peak - 1) as max_drawdown
+  from (select *, max(nav) over (partition by {keys} order by date) as peak from (select *, quantile_cont({r}, 0.05) over (partition by {keys}) as q, exp(sum(ln(1 + {r})) over (partition by {keys} order by date)) as nav from {src})) group by {keys} having count(*) >= {N.FEWEST})"""
+
+
+_S = _SCHEDULE
+_NS = f"""mkd as (select date, round(avg(r), 10) as rb from dn group by date), nd as (select date, row_number() over (order by date) - 1 as pos from (select date from dn group by 1 having count(*) = (select count(distinct entity) from dn))),
+nn as (select count(*) as n from nd), nw as (select ((a - {_S.first_test}) // {_S.test})::int as w, a, n from (select unnest(range({_S.first_test}, n - {_S.holdout}, {_S.test})) as a, n from nn where n >= {_S.first_test + _S.test + _S.holdout})),
+np as (select w, 'train' as part, a - {_S.first_test} as low, a - {_S.first_test} + {_S.train} as high from nw union all select w, 'validation', a - {_S.embargo + _S.validation}, a - {_S.embargo} from nw union all select w, 'test', a, least(a + {_S.test}, n - {_S.holdout}) from nw),
+nr as (select w, part, entity, date, r, rb from np join nd on pos >= low and pos < high join dn using (date) join mkd using (date)), nb as (select distinct w, part, date, rb from nr),
+n1 as {_perf("nr", "w, part, entity", "r")}, n2 as {_perf("nb", "w, part", "rb")},
+nu as (select o.w, o.part, entity, o.annual_return - b.annual_return as active, o.annual_return - b.annual_return + 0.1::double * (o.upside_capture - 1) - 0.1::double * greatest(o.downside_capture - 1, 0.0) - greatest(abs(o.downside) - abs(b.downside), 0.0)
+  - 2 * sqrt(252.0::double) * greatest(abs(o.cvar) - abs(b.cvar), 0.0) - 0.5::double * greatest(abs(o.max_drawdown) - abs(b.max_drawdown), 0.0) as u from n1 o join n2 b on b.w = o.w and b.part = o.part),
+nj as (select w, entity, max(u) filter (where part = 'train') as tu, max(u) filter (where part = 'validation') as vu, max(active) filter (where part = 'test') as ta from nu group by 1, 2),
+nk as (select *, vu - 0.25::double * abs(vu - tu) as robust from nj), nx as (select * from (select *, row_number() over (partition by w order by round(robust, 9) desc, entity) as o from nk where robust is not null) where o = 1),
+ny as (select entity, coalesce(any_value(p.picked), 0) as picked, coalesce(any_value(p.picked), 0)::double / (select count(*) from nx) as rate, avg(vu) as mu, stddev_samp(vu) as sd from nk left join (select entity, count(*) as picked from nx group by 1) p using (entity) group by entity),
+nz as (select *, row_number() over (order by picked desc, round(mu, 9) desc nulls last, entity) = 1 as frozen from ny)"""
+
+
+@B.query("b12_nested_windows", f"""with {B.DENSE}, {_NS}, ne as (select w, min(date) filter (where part = 'train') as train_start, max(date) filter (where part = 'train') as train_end, min(date) filter (where part = 'validation') as validation_start, max(date) filter (where part = 'validation') as validation_end,
+min(date) filter (where part = 'test') as test_start, max(date) filter (where part = 'test') as test_end from nr group by 1) select w as "window", entity as picked, round(tu, 6) as train_utility, round(vu, 6) as validation_utility, round(robust, 6) as robust, round(ta, 6) as test_active, train_start, train_end, validation_start, validation_end, test_start, test_end from nx join ne using (w)""")
+def b12_windows(spark, d):
+    return X.rounded(_nested(spark, d).windows.withColumnRenamed("entity", "picked"))
+
+
+@B.query("b12_nested_path", f"""with {B.DENSE}, {_NS}, np1 as (select 'test' as part, date, entity, r, rb from nr join nx using (w, entity) where part = 'test' union all select 'holdout', date, entity, r, rb from nd join dn using (date) join mkd using (date) join nz using (entity), nn where frozen and picked > 0 and pos >= n - {_S.holdout})
+select part, date, entity as picked, round(r, 8) as r, round(exp(sum(ln(1 + r)) over u), 6) as nav, round(exp(sum(ln(1 + rb)) over u), 6) as bench_nav from np1 window u as (partition by part order by date)""")
+def b12_path(spark, d):
+    found = _nested(spark, d)
+    both = found.path.select(F.lit("test").alias("part"), "date", "entity", "r", "rb").union(found.holdout.select(F.lit("holdout"), "date", "entity", "r", "rb"))
+    u = W.partitionBy("part").orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row a day
+    nav = [F.round(F.exp(F.sum(F.log1p(c)).over(u)), 6).alias(n) for c, n in (("r", "nav"), ("rb", "bench_nav"))]
+    return both.select("part", "date", F.col("entity").alias("picked"), F.round("r", 8).alias("r"), *nav)
+
+
+@B.query("b12_selection_stability", f"""with {B.DENSE}, {_NS}, nh as (select entity, date, r, rb from nd join dn using (date) join mkd using (date) join nz using (entity), nn where frozen and picked > 0 and pos >= n - {_S.holdout}), n3 as {_perf("nh", "entity", "r")}
+select nz.entity, picked, round(rate, 6) as rate, round(mu, 6) as mean_utility, round(sd, 6) as utility_sd, frozen, round(n3.annual_return, 6) as holdout_return, round(n3.max_drawdown, 6) as holdout_drawdown from nz left join n3 using (entity)""")
+def b12_stability(spark, d):
+    found = _nested(spark, d)
+    judged = N.performance(found.holdout, ["entity"]).select("entity", F.col("annual_return").alias("holdout_return"), F.col("max_drawdown").alias("holdout_drawdown"))
+    return X.rounded(found.stability.join(judged, "entity", "left"))
+
+
 @B.query("w08_daily_nav", f"""with {B.PX}, h as (select date_trunc('quarter', date)::date as q, entity, sum(volume) as v from px group by 1, 2), k as (select *, row_number() over (partition by q order by v desc, entity) as k from h), w as (select (q + interval 3 month)::date as q, entity, v / sum(v) over (partition by q) as w from k where k <= 20),
 d as (select date, sum(w.w * r) / sum(w.w) as r from px join w on w.entity = px.entity and date_trunc('quarter', px.date)::date = w.q group by 1), c as (select *, row_number() over (partition by date_trunc('quarter', date) order by date) = 1 as first from d), n as (select date, r - case when first then 0.001 else 0 end as net from c)
 select date, round(net, 8) as net, round(exp(sum(ln(1 + net)) over (order by date rows between unbounded preceding and current row)), 7) as nav from n""")
