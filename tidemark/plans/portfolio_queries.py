@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
 from tidemark.operators import asof as J
+from tidemark.operators import market_state as M
 from tidemark.operators import panel as P
 from tidemark.operators import resample as S
+from tidemark.operators import rewards as A
 from tidemark.operators import risk as K
 from tidemark.plans import base as B
 
@@ -160,6 +162,65 @@ def a62(spark, d):
     return X.rounded(g.withColumn("ucb", F.col("mean") + F.sqrt(2 * F.log(total.cast("double")) / F.col("n"))))
 
 
+def _clip_sql(x: str, low: float, high: float) -> str:
+    return f"greatest(least({x}, {high}::double), {low}::double)"
+
+
+_CAPS_SQL = ", ".join(f"{_clip_sql(f'{c[0]}::double + {c[1]}::double * stress + {c[2]}::double * risk_on + {c[3]}::double * recovery', c[4], c[5])} as {k}_cap" for k, c in M.CAPS.items())
+_STATES = f"""mkd as (select date, round(avg(r), 10) as rb from dn group by date), md as (select date, rb, row_number() over (order by date) - 1 as pos, case when count(rb) over v >= {M.SHORT} then stddev_samp(rb) over v * sqrt(252.0::double) end as vol from mkd window v as (order by date rows between {M.SHORT - 1} preceding and current row)),
+ma as (select signal, pos as at_, vol as now from (select max(date) as signal from mkd group by date_trunc('month', date)) join md on date = signal where pos >= {M.WINDOW - 1}), ms as (select signal, at_, now, date, rb, pos, vol from md join ma on pos <= at_),
+mr as (select signal, count(*) filter (where round(vol, 12) <= round(now, 12))::double / count(vol) as vol_rank from ms group by 1), mi as (select * from ms where pos > at_ - {M.WINDOW}),
+mn as (select *, greatest(max(up) over (partition by signal order by date), 0) as peak from (select *, sum(ln(1 + rb)) over (partition by signal order by date) as up from mi)),
+mp as (select signal, 1 - exp(min(up - peak)) as drawdown, exp(sum(ln(1 + rb)) filter (where pos > at_ - {M.MEDIUM}) * 252.0 / count(*) filter (where pos > at_ - {M.MEDIUM})) - 1 as trend_63, exp(sum(ln(1 + rb)) * 252.0 / count(*)) - 1 as trend_126 from mn group by 1),
+mg as (select signal, date, entity, coalesce(dn.r, 0.0::double) as x from mi cross join (select distinct entity from dn) left join dn using (entity, date)), mz as (select *, stddev_samp(x) over (partition by signal, entity) as sd from mg),
+mc as (select a.signal, a.entity as a, b.entity as b, corr(a.x, b.x) as c from mz a join mz b on a.signal = b.signal and a.date = b.date and a.entity < b.entity where a.sd > 1e-12 and b.sd > 1e-12 group by 1, 2, 3), mw as (select signal, avg(c) as crowding from mc group by 1),
+mo as (select signal, quantile_cont(sd, 0.5) * sqrt(252.0::double) as dispersion from (select signal, date, stddev_samp(x) as sd from mg group by 1, 2) group by 1),
+mt as (select *, {M.STRESS["vol"]}::double * {_clip_sql("vol_rank", 0, 1)} + {M.STRESS["drawdown"]}::double * {_clip_sql(f"drawdown / {M.SCALES['drawdown']}::double", 0, 1)} + {M.STRESS["crowding"]}::double * {_clip_sql(f"crowding / {M.SCALES['crowding']}::double", 0, 1)} + {M.STRESS["trend"]}::double * (trend_63 < 0)::int as stress,
+  (trend_63 > 0 and trend_126 > 0 and vol_rank < {M.CALM_RANK})::int::double as risk_on, (trend_63 > 0 and trend_126 <= 0 and drawdown > {M.RECOVERY_DRAWDOWN})::int::double as recovery from mr join mp using (signal) join mw using (signal) join mo using (signal)),
+mx as (select *, case when risk_on = 1 then 'expansion' when recovery = 1 then 'recovery' when round(stress, 9) > {M.STRESSED} then 'stress' else 'fragile' end as state, {_CAPS_SQL} from mt)"""
+
+
+@B.query("a52_market_states", f"""with {B.DENSE}, {_STATES} select signal, round(vol_rank, 6) as vol_rank, round(drawdown, 6) as drawdown, round(trend_63, 6) as trend_63, round(trend_126, 6) as trend_126, round(crowding, 6) as crowding, round(dispersion, 6) as dispersion, round(stress, 6) as stress, risk_on, recovery, state,
+round(growth_cap, 6) as growth_cap, round(alpha_cap, 6) as alpha_cap, round({_clip_sql("growth_cap + alpha_cap", *M.TOTAL_CAP)}, 6) as total_cap from mx""")
+def a52_states(spark, d):
+    """At the last day of each month of the regional panel."""
+    dn = B.dense(spark, d)
+    mk = B.market(dn)
+    signals = mk.groupBy(F.trunc("date", "month")).agg(F.max("date").alias("signal")).select("signal")
+    return X.rounded(M.market_states(dn, mk, signals))
+
+
+_OBJECTIVES = ("min_variance", "cvar_min", "risk_parity", "hrp", "mean_variance", "sortino")
+_PRIORS = [("p0", o, 0.015) for o in _OBJECTIVES[:4]] + [("p2", o, 0.01) for o in _OBJECTIVES[4:]]
+_LOG = f"""lm as (select month, avg(r) * 100 as level, stddev_samp(r) * 100 as spread from tr group by 1), lk as (select month, lag(level) over o as level, lag(spread) over o as spread from lm window o as (order by month)),
+lg as (select [{", ".join(map(repr, _OBJECTIVES))}][trial % 6 + 1] as objective, 'p' || (trial // 6) % 3 as profile, r * 100 as reward, coalesce(level, 0) as u, coalesce(spread, 0) as v from tr join lk using (month)), lx as (select level as u, spread as v from lm where month = (select max(month) from lm))"""
+
+
+def _log(spark, d):
+    """Rewards by objective and profile, with the level and spread of all trials in the month before as context; and the latest context."""
+    tr = B.trials(spark, d)
+    months = tr.groupBy("month").agg((F.avg("r") * 100).alias("level"), (F.stddev_samp("r") * 100).alias("spread"))
+    order = W.orderBy("month")  # one row a month
+    known = months.select("month", *[F.lag(c).over(order).alias(c) for c in ("level", "spread")])
+    names = F.array(*map(F.lit, _OBJECTIVES))
+    log = tr.join(F.broadcast(known), "month").select(F.element_at(names, (F.col("trial") % 6 + 1).cast("int")).alias("objective"), F.concat(F.lit("p"), (F.floor(F.col("trial") / 6) % 3).cast("string")).alias("profile"), (F.col("r") * 100).alias("reward"), "level", "spread")  # a row a month
+    return log, months.orderBy(F.desc("month")).limit(1)
+
+
+@B.query("a62_contextual_scores", f"""with {B.TRIALS}, {_LOG}, s as (select profile, objective, count(*) as n, avg(reward) as mean, 1 + sum(u * u) as a, sum(u * v) as b, 1 + sum(v * v) as c, sum(u * reward) as p, sum(v * reward) as q from lg group by 1, 2),
+t as (select *, n >= 4 as fits, a * c - b * b as det from s), w as (select t.*, case when fits then (x.u * (c * p - b * q) + x.v * (a * q - b * p)) / det end as prediction, 0.35::double * case when fits then sqrt(greatest((x.u * x.u * c - 2 * x.u * x.v * b + x.v * x.v * a) / det, 0)) else 1 / sqrt(n + 1.0::double) end as bonus from t, lx x),
+h as (select * from (values {", ".join(f"('{a}', '{b}', {c}::double)" for a, b, c in _PRIORS)}) t(profile, objective, prior)), z as (select w.*, coalesce(prior, 0) as prior from w left join h using (profile, objective)), f as (select *, coalesce(prediction, mean, 0) + bonus + prior as score from z)
+select profile, objective, n, round(mean, 6) as mean, round(prediction, 6) as prediction, round(bonus, 6) as bonus, prior, round(score, 6) as score, row_number() over (order by round(score, 9) desc, profile, objective) = 1 as recommended from f""")
+def a62_scores(spark, d):
+    priors = spark.createDataFrame(_PRIORS, "profile string, objective string, prior double")
+    return X.rounded(A.contextual_scores(*_log(spark, d), ["profile", "objective"], ["level", "spread"], priors=priors))
+
+
+@B.query("a62_reward_matrix", f"""with {B.TRIALS}, {_LOG} select profile, {", ".join(f"round(avg(reward) filter (where objective = '{o}'), 6) as {o}" for o in _OBJECTIVES)} from lg group by 1""")
+def a62_matrix(spark, d):
+    return X.rounded(A.reward_matrix(_log(spark, d)[0], "profile", "objective", list(_OBJECTIVES)))
+
+
 @B.query("a65_holding_sensitivity", f"""with {B.PX}, {B.MARKET}, q as (select quantile_cont(rb, 0.05) as c from mk), w as (select entity, sum(volume) as v from px group by 1) select entity, round(stddev_samp(r) * any_value(v) / (select sum(v) from w), 8) as local_risk, round(avg(r) filter (where rb <= (select c from q)) * any_value(v) / (select sum(v) from w), 8) as tail_risk from px join mk using (date) join w using (entity) group by 1""")
 def a65(spark, d):
     x = _both(spark, d)
