@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.sources.files import shared_folder
+from tidemark.sources.files import cut
 
 WINDOW, LEAST, FEWEST = 756, 21, 60
 FLOOR = 1e-12
@@ -21,11 +21,6 @@ FLOOR = 1e-12
 UP, DOWN = 1.25, 0.8
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def _cost(m: Column, s1: Column, s2: Column) -> Column:
     """Rows times one more than the logarithm of their variance."""
     return m * (F.log(F.greatest((s2 - s1 * s1 / m) / m, F.lit(FLOOR))) + 1)
@@ -48,7 +43,7 @@ def segment_bounds(df: DataFrame, entity: str = "entity", ts: str = "date", valu
     A cut gains what it takes off the cost; it is made while that is more than ``penalty``, by
     default three times the logarithm of the series' rows. Of equal gains (6 digits) the first cut is taken.
     """
-    series = _cut(_series(df, entity, ts, value, window, least))
+    series = cut(_series(df, entity, ts, value, window, least))
     state = series.select(entity, F.lit(0).alias("a"), F.col("n").alias("b"), F.lit(True).alias("open"))
     deny = F.lit(float(penalty)) if penalty is not None else 3 * F.log(F.col("n").cast("double"))
 
@@ -66,7 +61,7 @@ def segment_bounds(df: DataFrame, entity: str = "entity", ts: str = "date", valu
         places = F.when(F.col("b") - F.col("a") >= 2 * least, F.sequence(F.col("a") + least, F.col("b") - least)).otherwise(F.array().cast("array<int>"))
         cuts = F.transform(places, lambda i: F.struct(F.round(gain(i), 6).alias("gain"), (-i).alias("i")))
         met = met.withColumn("best", F.array_max(F.filter(cuts, lambda c: c["gain"] > deny)))
-        step = _cut(met.select(entity, "a", "b", (-F.col("best.i")).alias("cut")))
+        step = cut(met.select(entity, "a", "b", (-F.col("best.i")).alias("cut")))
         done.append(step.where("cut is null").select(entity, "a", "b"))
         two = F.explode(F.array(F.struct(F.col("a"), F.col("cut").alias("b")), F.struct(F.col("cut").alias("a"), F.col("b"))))
         state = step.where("cut is not null").select(entity, two.alias("s")).select(entity, "s.a", "s.b", F.lit(True).alias("open"))

@@ -51,17 +51,20 @@ def risk_features(docs: DataFrame, entity: str, order: str, text: str = "text",
     Words are counted as whole tokens, phrases wherever they stand. Worsening is not negative, and zero for a first document.
     """
     terms = RISK_TERMS if terms is None else terms
-    own = docs.withColumn("_low", F.lower(text)).withColumn("_tokens", F.filter(F.split("_low", r"[^a-z-]+"), lambda t: t != ""))
-    out = own.withColumn("tokens", F.size("_tokens"))
-    for name, said in terms.items():
-        words, phrases = [t for t in said if " " not in t], [t for t in said if " " in t]
-        listed = F.array(*[F.lit(t) for t in words]) if words else F.array().cast("array<string>")
-        counts = F.size(F.filter("_tokens", lambda t: F.array_contains(listed, t)))  # noqa: B023, used at once
-        for p in phrases:
-            counts = counts + (F.length("_low") - F.length(F.replace(F.col("_low"), F.lit(p), F.lit("")))) / len(p)
-        out = out.withColumn(f"{name}_per_10k", X.ratio(counts * 1e4, "tokens"))
+    # tokens two blanks apart, so that each has blanks of its own and a word is found by a plain search
+    low = docs.withColumn("_low", F.lower(text))
+    own = low.withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace("_low", "[^a-z-]++", "  "), F.lit(" ")))
+    out = own.withColumn("tokens", F.regexp_count("_low", F.lit("[a-z-]++")))
+
+    def said(term: str) -> Column:
+        place, sought = ("_low", term) if " " in term else ("_spaced", f" {term} ")
+        less = F.octet_length(F.replace(F.col(place), F.lit(sought), F.lit("")))
+        return F.when(F.col(place).contains(sought), (F.octet_length(place) - less) / len(sought.encode())).otherwise(F.lit(0.0))
+
+    for name, listed in terms.items():
+        out = out.withColumn(f"{name}_per_10k", X.ratio(sum((said(t) for t in listed), F.lit(0.0)) * 1e4, "tokens"))
     risk = sum(F.coalesce(F.col(f"{k}_per_10k"), F.lit(0.0)) for k in terms if k not in NO_RISK)
-    out = out.drop("_low", "_tokens").withColumn("risk", risk)
+    out = out.drop("_low", "_spaced").withColumn("risk", risk)
     return out.withColumn("worsening", F.coalesce(F.greatest(F.col("risk") - F.lag("risk").over(X.by(entity, order)), F.lit(0.0)), F.lit(0.0)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
 from tidemark.operators import asof as J
+from tidemark.operators import books as K2
 from tidemark.operators import market_state as M
 from tidemark.operators import panel as P
 from tidemark.operators import resample as S
@@ -298,6 +299,57 @@ def w35(spark, d):
     return X.rounded(z.join(F.broadcast(k), "feature").groupBy("book", "entity").agg(F.sum(F.col("coef") * F.col("z_x")).alias("score")))  # a table of coefficients
 
 
+def _cond(days: str, otherwise: str) -> str:
+    return f"case when count(*) filter (where {days}) > {K2.FEW} and abs(avg(rb) filter (where {days})) > 1e-12 then avg(r) filter (where {days}) / avg(rb) filter (where {days}) else {otherwise} end"
+
+
+_Z_ALL = [*K2.FEATURES, *[k for k in K2.DERIVED if k != "tail_beta"], "crowding"]
+
+
+def _robust(src: str, names: list[str], out: str) -> str:
+    mid, far = ", ".join(f"median({v}) as m_{v}, stddev_pop({v}) as s_{v}" for v in names), ", ".join(f"median(abs({v} - m_{v})) as d_{v}" for v in names)
+    z = ", ".join(f"greatest(least(({v} - m_{v}) / case when d_{v} * 1.4826::double > 1e-12 then d_{v} * 1.4826::double when s_{v} > 1e-12 then s_{v} else 1 end, 3.0), -3.0) as z_{v}" for v in names)
+    return f"{out}m as (select {mid} from {src}), {out}d as (select {far} from {src}, {out}m), {out} as (select {src}.*, {z} from {src}, {out}m, {out}d)"
+
+
+def _books_sql() -> str:
+    """The books one after the other, each with its floor."""
+    steps, at = [], "wz"
+    for k, (book, (_, _, gate, _)) in enumerate(K2.BOOKS.items()):
+        steps.append(f"wb{k}r as (select *, {K2.terms(book)} as raw from {at})")
+        least = "raw" if book == K2.FLOOR_BOOK else K2.FLOOR_BOOK
+        value = f"case when {K2.GATES[gate]} then raw else min({least}) over () - {K2.FLOOR}::double end" if gate else "raw"
+        steps.append(f"wb{k} as (select * exclude (raw), {value} as {book} from wb{k}r)")
+        at = f"wb{k}"
+    return ", ".join(steps) + f", wl as (select entity, book, score from (unpivot (select entity, {', '.join(K2.BOOKS)} from {at}) on {', '.join(K2.BOOKS)} into name book value score))"
+
+
+_WB = f"""wd as (select * from mk order by date desc limit 504), wq as (select quantile_cont(rb, {K2.TAIL}) as low, quantile_cont(rb, {K2.TOP}) as high from wd),
+wx as (select entity, date, r, rb, low, high, row_number() over (partition by entity order by date desc) as k, sum(ln(1 + r)) over (partition by entity order by date) as up, case when count(r) over l = 21 then (sum(r) over l > 1e-12)::int::double end as trend from px join wd using (date), wq window l as (partition by entity order by date rows between 20 preceding and current row)),
+wy as (select *, exp(up - max(up) over (partition by entity order by date)) - 1 as dd from wx), wr as (select entity, regr_slope(r, rb) as b, regr_intercept(r, rb) as a, quantile_cont(-r, 0.95) as q from wy group by 1),
+we as (select wy.*, q, case when k <= 126 then r - coalesce(a + b * rb, 0) end as e, round(rb, 12) <= round(low, 12) as tail, round(rb, 12) >= round(high, 12) as top from wy join wr using (entity)),
+wf as (select entity, avg(e) * 252 as resid_mom, avg(e) / (stddev_samp(e) + 1e-12) * sqrt(252.0::double) as resid_ir, {_cond("rb > 0", "0.0")} as upside_beta, {_cond("rb < 0", "1.0")} as downside_beta, {_cond("tail", "1.0")} as tail_beta0,
+  case when count(*) filter (where tail) > {K2.FEW} then greatest(-avg(r) filter (where tail), 0.0) else avg(-r) filter (where round(-r, 12) >= round(q, 12)) end as tail_loss, {_cond("top", _cond("rb > 0", "0.0"))} as large_up_beta,
+  case when count(*) filter (where top) > {K2.FEW} then avg((r > rb)::int::double) filter (where top) else 0 end as upside_hit, case when count(*) filter (where top) > {K2.FEW} then avg(r - rb) filter (where top) * 252 else 0 end as upside_excess,
+  case when count(*) filter (where top) > {K2.FEW} then sqrt(avg(pow(greatest(r, 0.0), 2)) filter (where top)) * sqrt(252.0::double) else 0 end as upside_power, coalesce(avg(trend), 0) as trend_quality, max(dd) filter (where k = 1) - min(dd) as recovery, case when count(r) > 30 then -quantile_cont(r, {K2.CRASH}) else 0 end as crash,
+  avg(r) filter (where k <= 126) * 252 as mom, avg(r) filter (where k <= 63) * 252 as mom_63, avg(r) filter (where k <= 252) * 252 as mom_252, avg(r) * 252 as total, sqrt(avg(pow(least(r, 0.0), 2))) * sqrt(252.0::double) as downside, avg(-r) filter (where round(-r, 12) >= round(q, 12)) as cvar, -min(dd) as drawdown from we group by 1),
+wg as (select entity, date, coalesce(px.r, 0.0::double) as x from wd cross join (select distinct entity from wx) left join px using (entity, date)), wc as (select a.entity, avg(c) as crowding from (select a.entity, b.entity as other, corr(a.x, b.x) as c from wg a join wg b using (date) where a.entity <> b.entity group by 1, 2) a group by 1),
+wh as (select wf.* exclude (tail_beta0), {K2.DERIVED["tail_beta"].replace("tail_beta", "tail_beta0")} as tail_beta, {", ".join(f"{v.replace('tail_beta', 'tail_beta0')} as {k}" for k, v in K2.DERIVED.items() if k != "tail_beta")}, coalesce(crowding, 0) as crowding, s_acctbal as fundamental
+  from wf left join wc using (entity) join supplier on s_suppkey = wf.entity), {_robust("wh", _Z_ALL, "wi")}, wj as (select *, greatest(z_crowding, 0) as crowd, {K2.REAL_CONVEXITY} as real_convexity from wi), {_robust("wj", ["real_convexity"], "wz")}, {_books_sql()},
+wm as (select *, greatest(score - min(score) over (partition by book) + 1e-6, 1e-6) as raw from wl), wn as (select *, raw / sum(raw) over (partition by book) as w from wm), wo as (select *, least(w, 0.1) as c from wn),
+wp as (select *, c + case when 1 - sum(c) over b > 1e-12 and sum(0.1 - c) over b > 0 then least(1 - sum(c) over b, sum(0.1 - c) over b) * (0.1 - c) / sum(0.1 - c) over b else 0 end as capped from wo window b as (partition by book))"""
+
+
+@B.query("w35_eighteen_books", f"""with {B.PX}, {B.MARKET}, {_WB} select book, entity, round(score, 6) as score, round(capped / sum(capped) over (partition by book), 6) as weight from wp""")
+def w35_books(spark, d):
+    """All books over suppliers on the last 504 days, with the account's balance as fundamental score; no weight above a tenth."""
+    p = B.prices(spark, d)
+    mk = B.market(p)
+    own = B.table(spark, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.col("s_acctbal").cast("double").alias("fundamental"))
+    x = K2.window_features(p, mk).join(K2.mean_correlation(p, mk), "entity", "left").join(own, "entity")
+    return X.rounded(K2.book_weights(K2.book_scores(x), 0.1))
+
+
 @B.query("w39_snapshot_weights", f"""with {B.PX}, k as (select *, row_number() over (partition by entity order by date desc) as k from px), s as (select entity, exp(sum(ln(1 + r))) - 1 as t, sqrt(avg(pow(least(r, 0.0), 2))) as dn, stddev_samp(r) as v from k where k <= 126 group by 1), o as (select *, row_number() over (order by round(t / nullif(dn, 0), 9) desc nulls last, entity) as o from s) select entity, round((1 / v) / sum(1 / v) over (), 6) as weight from o where o <= 10""")
 def w39(spark, d):
     k = B.prices(spark, d).withColumn("k", F.row_number().over(W.partitionBy("entity").orderBy(F.desc("date")))).where("k <= 126")
