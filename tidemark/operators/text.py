@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,3 +125,40 @@ def countries(docs: DataFrame, aliases: DataFrame, key: str, fields: list[str])
     found = docs.select(key, *fields).crossJoin(F.broadcast(listed)).select(key, *[named(f).alias(f) for f in fields])
     tier = F.coalesce(*[F.when(F.size(f) > 0, F.struct(F.lit(f).alias("tier"), F.col(f).alias("countries"))) for f in fields])
     return found.withColumn("t", tier).select(key, F.col("t.tier").alias("tier"), F.col("t.countries").alias("countries"))
+
+
+#: Confidence of a text's first country and of each, and the most there can be; and of the source alone.
+TIERS = {"title": (0.75, 0.08, 0.95), "query": (0.55, 0.07, 0.80)}
+SOURCE_CONFIDENCE = 0.35
+UNNAMED = ("global", "unknown", "none", "nan", "")
+
+
+def event_countries(docs: DataFrame, aliases: DataFrame, key: str, title: str = "title", query: str = "query", source: str = "source", most_aliases: int = 20_000) -> DataFrame:
+    """``key, countries, method, confidence``: countries named in the title, else in the query, else that of the source, by a table of ``alias, country``.
+
+    Aliases are plain texts in any case, and no letter may stand before or after one. All
+    are one pattern, the longest first, built in the driver from at most ``most_aliases`` rows, so a text is
+    read once however many there are, and only what was found meets the table. A source that is no
+    alias stands for itself; a source of ``UNNAMED`` for nothing.
+    """
+    listed = [r[0] for r in aliases.select(F.lower("alias")).distinct().limit(most_aliases + 1).collect()]
+    if len(listed) > most_aliases:
+        raise ValueError(f"more than {most_aliases} aliases")
+    sorted_ = sorted((a for a in listed if a), key=lambda a: (-len(a), a))
+    literal = "|".join(re.sub(r"([^\w\s])", r"\\\1", a) for a in sorted_) or r"(?!)"
+    pattern = F.lit(rf"(?iu)(?<![\p{{L}}])(?:{literal})(?![\p{{L}}])")
+    table = aliases.select(F.lower("alias").alias("alias"), "country").distinct()
+    texts = docs.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(c).alias("said")) for n, c in (("title", title), ("query", query))])).alias("t")).select(key, "t.*")
+    found = texts.select(key, "method", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("said", pattern, F.lit(0)), F.lower))).alias("alias"))
+    named = found.join(table, "alias").groupBy(key, "method").agg(F.array_sort(F.collect_set("country")).alias("countries"))
+    best = named.groupBy(key).agg(F.max_by(F.struct("method", "countries"), F.col("method") == "title").alias("b"))
+    plain = F.trim(F.col(source).cast("string"))
+    own = docs.select(key, F.when(~F.lower(plain).isin(*UNNAMED), plain).alias("_source"), F.lower(plain).alias("alias")).join(table.groupBy("alias").agg(F.min("country").alias("_canonical")), "alias", "left")
+    x = own.join(best, key, "left")
+    many = F.size("b.countries").cast("double")
+    sure = F.coalesce(*[F.when(F.col("b.method") == n, F.least(F.lit(most), first + each * many)) for n, (first, each, most) in TIERS.items()])
+    home = F.coalesce("_canonical", "_source")
+    return x.select(
+        key, F.coalesce("b.countries", F.when(home.isNotNull(), F.array(home)), F.array().cast("array<string>")).alias("countries"),
+        F.coalesce(F.concat("b.method", F.lit("_text")), F.when(home.isNotNull(), "source"), F.lit("unresolved")).alias("method"), F.coalesce(sure, F.when(home.isNotNull(), SOURCE_CONFIDENCE), F.lit(0.0)).alias("confidence"),
+    )

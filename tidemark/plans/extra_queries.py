@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
+from tidemark.operators import families as Y
 from tidemark.operators import linalg as L
 from tidemark.operators import panel as P
 from tidemark.operators import recursion as R
@@ -140,6 +141,32 @@ def w17(spark, d):
     return x.where("i > 252").select("entity", "date", F.round(X.ratio("mom", "vol"), 5).alias("vol_adjusted_trend"), F.round(-F.col("short"), 6).alias("reversal"), F.round(F.greatest("mom", F.lit(0.0)), 6).alias("dual_momentum"), F.round(F.col("up") - F.col("down"), 5).alias("asymmetric_capture"), F.round(X.ratio("mom", "down_dev"), 5).alias("downside_governed"))
 
 
+def _wi(n: int, v: str = "1") -> str:
+    return f"case when pos > at_ - {n} then {v} end"
+
+
+_FAM = f"""mk as (select date, round(avg(r), 10) as rb from dn group by date), fd as (select *, lag(idx, {Y.SKIP}) over (order by date) as idxl from (select date, rb, row_number() over (order by date) as pos, exp(sum(ln(1 + rb)) over (order by date)) as idx from mk)),
+fa as (select date as signal, pos as at_ from fd where pos >= 252 and date in (select max(date) from mk group by date_trunc('month', date))), fw as (select signal, at_, pos, date, rb, idx, idxl from fd join fa on pos <= at_ and pos > at_ - 252),
+fm as (select signal, count(*) as days, arg_max(idxl, pos) / arg_min(idx, pos) - 1 as mm from fw group by 1), fr as (select *, lag(close, {Y.SKIP}) over (partition by entity order by date) as lg, row_number() over (partition by entity order by date) as i from dn),
+fx as (select *, max(i) over (partition by signal, entity) - i + 1 as k from (select fr.*, signal, at_, pos, rb from fr join fw using (date))),
+fg as (select signal, entity, {", ".join(f"count({_wi(n)}) as n{n}, covar_samp({_wi(n, 'r')}, {_wi(n, 'rb')}) / nullif(var_samp({_wi(n, 'rb')}), 0) as beta{n}, sum({_wi(n, 'r')}) as sum{n}, sum({_wi(n, 'rb')}) as bsum{n}, arg_min({_wi(n, 'close')}, {_wi(n, 'pos')}) as first{n}, quantile_cont({_wi(n, 'rb')}, {Y.TAIL}) as low{n}" for n in (63, 126, 252))},
+  avg(r) filter (where pos > at_ - 126 and rb > 0) / avg(rb) filter (where pos > at_ - 126 and rb > 0) as cu, avg(r) filter (where pos > at_ - 126 and rb < 0) / avg(rb) filter (where pos > at_ - 126 and rb < 0) as cd, sqrt(avg({_wi(126, "pow(least(r, 0.0), 2)")})) as downside, stddev_samp(r) filter (where k <= 63) * sqrt(252.0::double) as vol,
+  arg_max(lg, pos) as recent, arg_max(close, pos) as last, sum(r) filter (where k <= 5) as sum5, sum(rb) filter (where k <= 5) as bsum5, var_samp(r) filter (where k <= 21) as v21, var_samp(rb) filter (where k <= 21) as bv21, covar_samp(r, rb) filter (where k <= 21) as c21 from fx group by 1, 2),
+ft as (select signal, entity, avg(r) / avg(rb) as tail_beta from fx join fg using (signal, entity) where pos > at_ - 126 and round(rb, 12) <= round(low126, 12) group by 1, 2),
+fz as (select *, case when n252 >= {Y.LEAST_YEAR} then recent / first252 - 1 end as mom, sqrt(greatest(v21 + beta63 * beta63 * bv21 - 2 * beta63 * c21, 0)) as noise from fg join fm using (signal) left join ft using (signal, entity))"""
+
+
+@B.query("w17_families_at_signals", f"""with {B.DENSE}, {_FAM} select signal, entity, round(case when n252 >= 126 then mom end, 6) as momentum_12_1, round(case when n252 >= 126 and mom > 0 and vol > 1e-12 then mom / vol end, 6) as vol_adjusted_trend, round(case when n252 >= 126 and mom > 0 and round(mom - mm, 12) > 0 and days >= {Y.LEAST_YEAR} then mom - mm end, 6) as dual_momentum,
+round(case when n126 >= 63 then sum126 - beta126 * bsum126 end, 6) as residual_momentum, round(case when n126 >= 63 then cu - cd - 0.5::double * greatest(tail_beta - 1, 0) end, 6) as asymmetric_capture, round(case when n126 >= 63 then last / first126 - 1 + 0.35::double * (cu - cd) - 4 * downside end, 6) as defensive_convexity,
+round(case when n63 >= 42 and noise > 1e-12 then -(sum5 - beta63 * bsum5) / noise end, 6) as residual_reversion, round(case when n252 >= 126 then mom end, 6) as downside_controlled_momentum from fz""")
+def w17_families(spark, d):
+    """At the last day of each month of the regional panel."""
+    dn = B.dense(spark, d)
+    mk = B.market(dn)
+    signals = mk.groupBy(F.trunc("date", "month")).agg(F.max("date").alias("signal")).select("signal")
+    return X.rounded(Y.family_scores(dn, mk, signals))
+
+
 @B.query("w36_convex_universe", f"""with {B.PX}, {B.MARKET}, f as (select entity, avg(r) filter (where rb > 0) / avg(rb) filter (where rb > 0) as up, avg(r) filter (where rb < 0) / avg(rb) filter (where rb < 0) as down, stddev_samp(r) as v from px join mk using (date) group by 1), t as (select quantile_cont(up - down, 0.7) as c, quantile_cont(v, 0.8) as v from f),
 u as (select entity, 1 as quota, up - down as s from f, t where up - down >= t.c union all select entity, 2, -down from f, t where f.v <= t.v), k as (select *, row_number() over (partition by entity order by quota) as k from u), o as (select *, row_number() over (order by quota, round(s, 9) desc, entity) as o from k where k = 1) select entity, quota from o where o <= 40""")
 def w36(spark, d):

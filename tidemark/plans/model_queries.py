@@ -388,6 +388,23 @@ def p19(spark, d):
     return T.countries(docs, n.select(F.col("n_name").alias("alias"), F.col("n_name").alias("country")), "id", ["title", "query"])
 
 
+#: A table of aliases: words of the documents' languages, and a source.
+_ALIASES = [("the", "Alpha"), ("that", "Alpha"), ("ing", "Alpha"), ("die", "Beta"), ("und", "Beta"), ("ver", "Beta"), ("que", "Gamma"), ("los", "Gamma"), ("les", "Delta"), ("dans", "Delta"), ("une", "Delta"), ("src3", "Epsilon"), ("src5", "Epsilon")]
+
+
+@B.query("p19_event_countries", rf"""with al as (select * from (values {", ".join(f"('{a}', '{c}')" for a, c in _ALIASES)}) t(alias, country)),
+d as (select doc_id, source, split_part(text, chr(10), 1) as title, split_part(text, chr(10), 2) as query from documents), w as (select doc_id, 'title' as method, unnest(regexp_split_to_array(lower(title), '[^\p{{L}}]+')) as alias from d union all select doc_id, 'query', unnest(regexp_split_to_array(lower(query), '[^\p{{L}}]+')) from d),
+n as (select doc_id, method, list_sort(list(distinct country)) as countries from w join al using (alias) group by 1, 2), b as (select doc_id, arg_max(method, (method = 'title')::int) as method, arg_max(countries, (method = 'title')::int) as countries from n group by 1),
+h as (select doc_id, coalesce(country, case when lower(trim(source)) not in ('global', 'unknown', 'none', 'nan', '') then trim(source) end) as home from d left join al on alias = lower(trim(source)))
+select doc_id, coalesce(countries, case when home is not null then [home] else [] end) as countries, coalesce(method || '_text', case when home is not null then 'source' end, 'unresolved') as method,
+round(case when method = 'title' then least(0.95, 0.75 + 0.08 * len(countries)) when method = 'query' then least(0.8, 0.55 + 0.07 * len(countries)) when home is not null then 0.35 else 0 end::double, 6) as confidence from h left join b using (doc_id)""")
+def p19_events(spark, d):
+    """First line of each document as title, second as query."""
+    line = lambda k: F.coalesce(F.get(F.split("text", "\n"), F.lit(k)), F.lit(""))
+    docs = B.table(spark, d, "documents").select("doc_id", line(0).alias("title"), line(1).alias("query"), "source")
+    return X.rounded(T.event_countries(docs, spark.createDataFrame(_ALIASES, "alias string, country string"), "doc_id"))
+
+
 @B.query("s08_strip_html", r"""select page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&[#\w]+;', ' ', 'g'), '\s+', ' ', 'g'))) as text from pages""")
 def s08(spark, d):
     return B.table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
