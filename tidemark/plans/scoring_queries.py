@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import expr as X
 from tidemark.operators import panel as P
 from tidemark.operators import scoring as S
+from tidemark.operators import styles as Y
 from tidemark.plans import base as B
 
 _RATIO_SQL = {
@@ -96,6 +97,48 @@ def w14(spark, d):
     return X.rounded(x.select("entity", "value_style", "quality_style", "composite"))
 
 
+_AS_OF = "1998-06-30"
+
+
+def _style_mean(parts: dict[str, float], z: str = "z_") -> str:
+    said = ", ".join(f"{z}{c} * {w!r}::double" for c, w in parts.items())
+    return f"list_avg(list_filter([{said}], lambda x: x is not null))"
+
+
+_MZ = lambda v: f"case when count({v}) over () >= 3 and {v} is not null and d_{v} * 1.4826::double > 1e-12 then greatest(least(({v} - m_{v}) / (d_{v} * 1.4826::double), 3.0), -3.0) end as z_{v}"
+_WEIGHED = lambda w: " + ".join(f"{c!r}::double * coalesce({g}, 0)" for g, c in w.items())
+_STYLE = f"""px1 as (select * from px where date <= date '{_AS_OF}'), pk as (select *, row_number() over (partition by entity order by date desc) as k from px1), pp as (select *, max(case when k <= 126 then close end) over (partition by entity order by date) as peak from pk where k <= 252),
+pf as (select entity, {", ".join(f"max(close) filter (where k = 1) / nullif(max(close) filter (where k = {k + 1}), 0) - 1 as mom_{k}" for k in (21, 63, 126))}, case when count(*) >= 50 then avg(close) filter (where k <= 50) end / nullif(case when count(*) >= 200 then avg(close) filter (where k <= 200) end, 0) - 1 as trend_50_200,
+  min(case when k <= 126 then close / peak - 1 end) as drawdown_126, stddev_samp(r) filter (where k <= 63) as vol_63, avg(close * volume) filter (where k <= 63) as dollar_volume_63, avg(case when close * volume > 0 then abs(r) / (close * volume) end) filter (where k <= 63) * 1e6 as illiquidity_63 from pp group by 1),
+sg as (select *, row_number() over (partition by entity order by period_end desc, available desc, filing desc) as k, {", ".join(f"({c} - lag({c}) over o) / nullif(abs(lag({c}) over o), 0) as {c}_growth" for c in ("revenue", "net_income"))}, gross_profit / nullif(revenue, 0) - lag(gross_profit / nullif(revenue, 0)) over o as gross_margin_change,
+  net_income / nullif(cap, 0) as earnings_yield, ln(greatest(cap, 1)) as log_cap from rr where available <= date '{_AS_OF}' window o as (partition by entity order by period_end, available, filing)),
+cs as (select sg.entity, {", ".join(Y.FEATURES)} from (select * from sg where k = 1) sg left join pf using (entity)),
+cm as (select {", ".join(f"median({v}) as m_{v}" for v in Y.FEATURES)} from cs), cd as (select {", ".join(f"median(abs({v} - m_{v})) as d_{v}" for v in Y.FEATURES)} from cs, cm), cz as (select entity, {", ".join(map(_MZ, Y.FEATURES))} from cs, cm, cd),
+cg as (select entity, {", ".join(f"{_style_mean(p)} as {g}" for g, p in Y.GROUPS.items())}, {", ".join(f"{_style_mean(p)} as s_{g}" for g, p in Y.STYLES.items())} from cz),
+ct as (select *, {_style_mean({k: 1.0 for k in ("value", "quality", "growth", "liquidity", *[f"s_{g}" for g in Y.STYLES])}, "")} as style from cg),
+rx as (select avg(rb) filter (where k <= 63) < 0 as bear from (select rb, row_number() over (order by date desc) as k from mk where date <= date '{_AS_OF}')), rh as (select avg(rate) filter (where k <= 63) > avg(rate) filter (where k > 63 and k <= 126) as hawkish from (select date, avg(rate) as rate, row_number() over (order by date desc) as k from rt where date <= date '{_AS_OF}' group by date))"""
+
+
+@B.query("w14_style_scores", f"""with {B.FILINGS}, {_RT}, {B.PX}, {B.MARKET}, {B.RATES}, {_STYLE} select entity, {", ".join(f"round({g}, 6) as {g}" for g in (*Y.GROUPS, "style"))}, round(case {" ".join(f"when hawkish = {h} and bear = {b} then {_WEIGHED(w)}" for (h, b), w in Y.REGIME_WEIGHTS.items())} end, 6) as regime_score,
+{", ".join(f"round({_WEIGHED(w)}, 6) as {k}" for k, w in Y.MANDATES.items())}, hawkish, bear from ct, rx, rh""")
+def w14_styles(spark, d):
+    """Companies with their latest statement known, and prices up to the signal date; the regime is of the market's last 63 days and of rates against the 63 days before."""
+    from pyspark.sql import Window as W
+
+    day = F.lit(_AS_OF).cast("date")
+    ratios = S.fundamental_ratios(_priced(spark, d))
+    cap = F.col("price") * F.col("shares")
+    own = Y.latest_statements(ratios, day).withColumn("earnings_yield", X.ratio("net_income", cap)).withColumn("log_cap", F.log(F.greatest(cap, F.lit(1.0))))
+    prices = B.prices(spark, d)
+    cross = own.join(Y.price_features(prices.where(F.col("date") <= day)), "entity", "left")
+    newest = W.orderBy(F.desc("date"))  # one row a day
+    market = B.market(prices).where(F.col("date") <= day).withColumn("k", F.row_number().over(newest)).agg((F.avg(F.when(F.col("k") <= 63, F.col("rb"))) < 0).alias("bear"))
+    rates = B.rates(spark, d).where(F.col("date") <= day).groupBy("date").agg(F.avg("rate").alias("rate")).withColumn("k", F.row_number().over(newest))
+    hawkish = rates.agg((F.avg(F.when(F.col("k") <= 63, F.col("rate"))) > F.avg(F.when((F.col("k") > 63) & (F.col("k") <= 126), F.col("rate")))).alias("hawkish"))
+    return X.rounded(Y.style_scores(cross, market.crossJoin(hawkish)))  # one row each
+
+
+
 _CDF = "case when z >= 0 then 1 - tail else tail end"
 
 
