@@ -168,7 +168,7 @@ def w17_families(spark, d):
 
 
 @B.query("w36_convex_universe", f"""with {B.PX}, {B.MARKET}, f as (select entity, avg(r) filter (where rb > 0) / avg(rb) filter (where rb > 0) as up, avg(r) filter (where rb < 0) / avg(rb) filter (where rb < 0) as down, stddev_samp(r) as v from px join mk using (date) group by 1), t as (select quantile_cont(up - down, 0.7) as c, quantile_cont(v, 0.8) as v from f),
-u as (select entity, 1 as quota, up - down as s from f, t where up - down >= t.c union all select entity, 2, -down from f, t where f.v <= t.v), k as (select *, row_number() over (partition by entity order by quota) as k from u), o as (select *, row_number() over (order by quota, round(s, 9) desc, entity) as o from k where k = 1) select entity, quota from o where o <= 40""")
+u as (select entity, 1 as quota, up - down as s from f, t where up - down >= t.c union all select entity, 2, -down from f, t where f.v <= t.v), k as (select *, row_number() over (partition by entity order by quota) as k from u), o as (select *, row_number() over (order by quota, round(s, 9) desc, entity) as o from k where k = 1) select entity, quota, o::int as place from o""")
 def w36(spark, d):
     p = B.prices(spark, d)
     x = p.join(B.market(p), "date")
@@ -176,7 +176,8 @@ def w36(spark, d):
     f = X.with_group(f, [], tc=F.percentile("c", 0.7), tv=F.percentile("v", 0.8))
     u = f.where("c >= tc").select("entity", F.lit(1).alias("quota"), F.col("c").alias("s")).union(f.where("v <= tv").select("entity", F.lit(2), -F.col("down_capture")))
     k = u.withColumn("k", F.row_number().over(W.partitionBy("entity").orderBy("quota"))).where("k = 1")
-    return k.orderBy("quota", F.round("s", 9).desc(), "entity").limit(40).select("entity", "quota")
+    place = F.row_number().over(W.orderBy("quota", F.round("s", 9).desc(), "entity"))  # one row an entity
+    return k.select("entity", "quota", place.alias("place"))
 
 
 @B.query("w37_defensive_anchor", f"""with {B.PX}, f as (select entity, stddev_samp(r) * 100 as v from px group by 1), a as (select *, median(v) over () as mid from f), b as (select *, median(abs(v - mid)) over () * 1.4826::double as mad from a), z as (select entity, greatest(-greatest(least((v - mid) / mad, 3.0), -3.0), 0.0) as w from b), n as (select entity, w / sum(w) over () as w from z), c as (select entity, least(w, 0.03::double) as c from n), r as (select *, 0.03::double - c as room, 1 - sum(c) over () as over_, sum(0.03::double - c) over () as rooms from c)

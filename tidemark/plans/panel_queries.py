@@ -129,12 +129,15 @@ def w21(spark, d):
     return X.rounded(P.transitions(P.regime(B.dense(spark, d)), "regime"))
 
 
-@B.query("w21_expanding_transition", f"""with {B.DENSE}, s as (select entity, date, (r < 0)::int as s from dn), q as (select *, lag(s) over ({ROWS}) as f from s)
-select a.entity, a.date, a.s as state, count(b.date) as n, round((coalesce(sum((b.s = 1)::int), 0) + 1.0) / (count(b.date) + 2.0), 6) as p
-from s a left join q b on a.entity = b.entity and b.f = a.s and b.date <= a.date where a.date < date '1996-01-01' group by 1, 2, 3""")
+_SEEN = lambda k: f"sum((f = {k})::int) over u"
+
+
+@B.query("w21_expanding_transition", f"""with {B.DENSE}, s as (select entity, date, (r < 0)::int as s from dn), q as (select *, lag(s) over ({ROWS}) as f from s),
+c as (select *, coalesce({_SEEN(0)}, 0) as n0, coalesce({_SEEN(1)}, 0) as n1, coalesce(sum((f = 0 and s = 1)::int) over u, 0) as k0, coalesce(sum((f = 1 and s = 1)::int) over u, 0) as k1 from q window u as (partition by entity order by date rows between unbounded preceding and current row))
+select entity, date, s as state, case when s = 1 then n1 else n0 end::bigint as n, round((case when s = 1 then k1 else k0 end + 1.0::double) / (case when s = 1 then n1 else n0 end + 2.0::double), 6) as p from c""")
 def w21b(spark, d):
     x = B.dense(spark, d).withColumn("state", (F.col("r") < 0).cast("int"))
-    return X.rounded(P.expanding_transition(x, "state", 1).where("date < date '1996-01-01'"))
+    return X.rounded(P.expanding_transition(x, "state", 1))
 
 
 @B.query("w22_runs_and_gaps", f"""with {B.PX}, f as (select entity, date, r = 0 as st, abs(r) > 0.04 as jump, date - lag(date) over ({ROWS}) as gap from px),
@@ -149,14 +152,14 @@ def w22(spark, d):
     return stale.join(rest, "entity")
 
 
-@B.query("w38_capped_weights", f"""with recursive {B.PX}, m as (select entity, sum(volume) as v from px where date < date '1995-03-01' group by 1), b as (select entity, v, v / sum(v) over () as w, count(*) over () as n from m),
+@B.query("w38_capped_weights", f"""with recursive {B.PX}, m as (select entity, sum(volume) as v from px group by 1), b as (select entity, v, v / sum(v) over () as w, count(*) over () as n from m),
 o as (select entity, w, greatest(0.02::double, 1.0 / n) as cap, row_number() over (order by w desc, entity) - 1 as k, 1 - coalesce(sum(w) over (order by w desc, entity rows between unbounded preceding and 1 preceding), 0) as rest from b),
 f as (select min(k) as k from o where w * (1 - k * cap) <= cap * rest + 1e-12),
 p as (select o.*, f.k as fk, (select rest from o x where x.k = f.k) as frest from o, f),
 c as (select entity, least(w, 0.02::double) as c from b), r as (select *, 0.02::double - c as room, 1 - sum(c) over () as over_, sum(0.02::double - c) over () as rooms from c)
 select entity, round(case when k < fk then cap else w * (1 - fk * cap) / frest end, 6) as proportional, round(c + case when over_ > 1e-12 and rooms > 0 then least(over_, rooms) * room / rooms else 0 end, 6) as by_room from p join r using (entity)""")
 def w38(spark, d):
-    m = B.prices(spark, d).where("date < date '1995-03-01'").groupBy("entity").agg(F.sum("volume").alias("v"))
+    m = B.prices(spark, d).groupBy("entity").agg(F.sum("volume").alias("v"))
     from pyspark.sql import Window as W
 
     m = m.withColumn("weight", F.col("v") / F.sum("v").over(W.partitionBy()))

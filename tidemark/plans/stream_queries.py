@@ -89,22 +89,23 @@ def s01(spark, d):
     return X.rounded(x.groupBy("entity").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), 2)
 
 
-@B.query("s02_closes_csv", f"with {B.PX} select date, round(close, 6) as close from px where entity = 7 and day(date) <> 13")
+@B.query("s02_closes_csv", f"with {B.PX} select entity, date, round(close, 4) as close from px where day(date) <> 13")
 def s02(spark, d):
     path = S.new_folder(spark, "closes")
-    p = B.prices(spark, d).where("entity = 7")
-    rows = p.select(F.date_format("date", "yyyy-MM-dd").alias("Date"), F.lit("").alias("Open"), F.lit("").alias("High"), F.lit("").alias("Low"), F.when(F.dayofmonth("date") != 13, F.col("close").cast("string")).otherwise("no data").alias("Close"), F.col("volume").cast("string").alias("Volume"))
-    rows.write.csv(path, header=True)
-    return X.rounded(S.read_closes(spark, path))
+    p = B.prices(spark, d)
+    rows = p.select("entity", F.date_format("date", "yyyy-MM-dd").alias("Date"), F.lit("").alias("Open"), F.lit("").alias("High"), F.lit("").alias("Low"), F.when(F.dayofmonth("date") != 13, F.col("close").cast("string")).otherwise("no data").alias("Close"), F.col("volume").cast("string").alias("Volume"))
+    # a file for each entity
+    rows.repartition("entity").write.partitionBy("entity").csv(path, header=True)
+    return X.rounded(S.read_closes(spark, path, "entity").withColumn("entity", F.col("entity").cast("long")), 4)
 
 
-@B.query("s03_wide_series_csv", f"with {B.RATES} select date, 't' || tenor as code, round(avg(rate), 6) as value from rt where tenor <= 3 group by 1, 2")
+@B.query("s03_wide_series_csv", f"with {B.RATES} select date, 't' || tenor as code, round(avg(rate), 6) as value from rt group by 1, 2")
 def s03(spark, d):
     path = S.new_folder(spark, "series")
-    r = B.rates(spark, d).where("tenor <= 3")
-    wide = r.groupBy("date").pivot("tenor", [1, 2, 3]).agg(F.avg("rate"))
-    wide.select(F.col("date").cast("string").alias("date"), *[F.coalesce(F.col(str(k)).cast("string"), F.lit(".")).alias(f"t{k}") for k in (1, 2, 3)]).write.csv(path, header=True)
-    return X.rounded(S.read_wide_series(spark, path, ["t1", "t2", "t3"]))
+    tenors = range(1, 8)
+    wide = B.rates(spark, d).groupBy("date").pivot("tenor", list(tenors)).agg(F.avg("rate"))
+    wide.select(F.col("date").cast("string").alias("date"), *[F.coalesce(F.col(str(k)).cast("string"), F.lit(".")).alias(f"t{k}") for k in tenors]).write.csv(path, header=True)
+    return X.rounded(S.read_wide_series(spark, path, [f"t{k}" for k in tenors]))
 
 
 @B.query("s04_listing", "select distinct 'T-' || (p_partkey % 500) as symbol from part where p_partkey % 10 <> 3")
@@ -147,10 +148,10 @@ def s06(spark, d):
     return _zoneless(S.news_timeline(body.union(spark.sql("select 'not json'"))))
 
 
-@B.query("s07_calendar_xml", "select event_type as title, 'USD' as currency, case user_id % 3 when 0 then 3 when 1 then 2 else 1 end as impact, date_trunc('minute', ts) + interval 5 hour as ts, date_trunc('minute', ts) - interval 1 hour as local_ts from events where event_id < 200")
+@B.query("s07_calendar_xml", "select event_type as title, 'USD' as currency, case user_id % 3 when 0 then 3 when 1 then 2 else 1 end as impact, date_trunc('minute', ts) + interval 5 hour as ts, date_trunc('minute', ts) - interval 1 hour as local_ts from events")
 def s07(spark, d):
     path = S.new_folder(spark, "calendar")
-    e = B.table(spark, d, "events").where("event_id < 200")
+    e = B.table(spark, d, "events")
     rows = e.select(F.col("event_type").alias("title"), F.lit("usd").alias("country"), F.date_format("ts", "MM-dd-yyyy").alias("date"), F.date_format("ts", "h:mma").alias("time"), F.element_at(F.array(F.lit("High"), F.lit("Medium"), F.lit("Low")), (F.col("user_id") % 3 + 1).cast("int")).alias("impact"))
     rows.write.format("xml").option("rowTag", "event").option("rootTag", "events").save(path)
     return _zoneless(S.read_calendar(spark, path))

@@ -53,10 +53,10 @@ def write_panel(df: DataFrame, path: str, ts: str = "date", mode: str = "overwri
     df.withColumn("month", F.date_format(ts, "yyyy-MM")).repartition("month").write.mode(mode).partitionBy("month").parquet(path)
 
 
-def read_closes(spark: SparkSession, path: str) -> DataFrame:
-    """CSV of daily closes: bad dates and empty closes go (a "no data" body has none that are good)."""
+def read_closes(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """CSV of daily closes: bad dates and empty closes go (a "no data" body has none that are good). ``keys``: names of folders, as in ``entity=7``."""
     raw = spark.read.schema("Date string, Open string, High string, Low string, Close string, Volume string").csv(path, header=True, mode="PERMISSIVE")
-    out = raw.select(F.col("Date").try_cast("date").alias("date"), F.col("Close").try_cast("double").alias("close"))
+    out = raw.select(*keys, F.col("Date").try_cast("date").alias("date"), F.col("Close").try_cast("double").alias("close"))
     return out.where("date is not null and close is not null")
 
 
