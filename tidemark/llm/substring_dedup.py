@@ -178,7 +178,7 @@ def _windows(w: wk.Words, which: int) -> np.ndarray:
     return wk.window_hashes(wk.word_hashes(w, which), WINDOW, which)
 
 
-def _sends_anchors(buckets: int):
+def _sends_anchors(buckets: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = _Chunk(buckets, 6)
         for batch in batches:
@@ -188,7 +188,7 @@ def _sends_anchors(buckets: int):
                 w = wk.words(offsets, data, a, b)
                 at, hashes = _anchor_hashes(w)
                 chunk.add(ids[a:b][w.doc[at]], hashes, np.zeros(len(at), np.uint32), int(offsets[b] - offsets[a]))
-                if chunk.size >= CHUNK_BYTES:
+                if chunk.size >= chunk_bytes:
                     yield from chunk.rows()
         yield from chunk.rows()
 
@@ -251,7 +251,7 @@ def _keeps(docs: pa.Table, parts: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out, schema=_KEPT_ARROW)
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` for every row of ``docs``.
 
     ``kept_text`` is the words that stay, joined by one space. Other columns of
@@ -270,8 +270,9 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
         return told.groupBy("deal")
 
     # both rounds read one exchange of the texts
-    dealt = docs.withColumn("deal", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(_NO_ID))), F.lit(deals)).cast("int")).groupBy("deal")
-    anchors = answers(known.mapInArrow(_sends_anchors(buckets), _PARTS), earlier_only=False)
+    # rows with a null id ask for nothing and may lie anywhere
+    dealt = docs.withColumn("deal", F.pmod(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).otherwise(F.xxhash64("text")), F.lit(deals)).cast("int")).groupBy("deal")
+    anchors = answers(known.mapInArrow(_sends_anchors(buckets, chunk_bytes), _PARTS), earlier_only=False)
     windows = answers(dealt.cogroup(anchors).applyInArrow(_sends_windows(buckets), _PARTS), earlier_only=True)
     return dealt.cogroup(windows).applyInArrow(_keeps, "doc_id long, n_words long, n_removed long, kept_text string")
 
