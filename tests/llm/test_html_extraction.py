@@ -106,3 +106,12 @@ def test_edge_rows(spark, sf):
     twice = hx.extract(pages.union(pages), fit_pages=80).groupBy("page_id", "text").count().collect()
     assert all(r["count"] == 2 for r in twice if r["page_id"] is not None)
     assert hx.extract(pages.limit(0)).collect() == []
+
+
+def test_untagged_text_does_not_hang_on_what_lies_beside_it(spark, sf):
+    plain = [(1, "u", "One plain sentence without any markup."), (2, "u", "Two lines\nof <b>text</b> &amp; a <i>word</i>.<br>More."), (3, "u", '<a href="x">Home</a> <a href="y">About us</a>')]
+    docs = spark.createDataFrame(plain, "page_id long, url string, html string")
+    alone = {r.page_id: r.text for r in hx.extract(docs).collect()}
+    beside = {r.page_id: r.text for r in hx.extract(docs.withColumn("page_id", -docs.page_id).union(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html"))).collect()}
+    assert alone[1] == "One plain sentence without any markup." and alone[2] == "Two lines of text & a word. More."
+    assert all(beside[-k] == alone[k] for k in (1, 2))

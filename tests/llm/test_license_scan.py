@@ -40,3 +40,12 @@ def test_licences_of_several_paragraphs(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: set(r["licenses"]) for r in ls.scan(docs).collect()}
     assert got == {i: ls.brute_force(t, ls.TEMPLATES) for i, t in rows} and all("mit-text" in v for v in got.values())
+
+
+def test_templates_of_many_paragraphs_inside_a_text(spark):
+    parts = [f"Part {c} says that the {c}-holder may {w} the work under terms of its own." for c, w in zip("abcdefg", ["copy", "print", "sell", "lend", "alter", "show", "keep"])]
+    templates = {"seven-parts": "\n\n".join(parts), "short": "All rights reserved."}
+    rows = [(1, "An introduction.\n\n" + templates["seven-parts"] + "\n\nThe end.\n\nAnd more of it here."), (2, "\n\n".join(parts[:3]) + "\n\nother words"), (3, "x\n \n" + "\n \t\n".join(parts) + "\n\ny")]
+    got = {r["doc_id"]: r["licenses"] for r in ls.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    assert got == {1: ["seven-parts"], 2: [], 3: ["seven-parts"]} and {i: sorted(ls.brute_force(t, templates)) for i, t in rows} == got
+    assert ls.longest_run(ls.TEMPLATES) >= ls.RUN

@@ -531,8 +531,10 @@ def _extract(model):
             for low in range(0, batch.num_rows, 128):
                 part = batch.slice(low, 128)
                 pages = [blocks(h) for h in part.column("html").to_pylist()]
-                order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
-                texts = [""] * len(pages)
+                # a page without any element has nothing to be told apart by: all its text stays, unless most of it is links
+                bare = [all(b.depth == 0 and 2 * b.links <= len(b.text) for b in page) for page in pages]
+                texts = ["\n".join(b.text for b in page) if plain else "" for page, plain in zip(pages, bare)]
+                order = sorted((k for k in range(len(pages)) if not bare[k]), key=lambda k: len(pages[k]))
                 at = 0
                 while at < len(order):
                     # pages of like length, of at most so many steps in all

@@ -19,6 +19,7 @@ templates go to the first by name; repeated rows and null ids are scanned alike;
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import wordkernel as wk
 
 DICE = 0.8
-#: Most paragraphs of a run that is compared as one unit, short of a whole text.
+#: Paragraphs of a run that is compared as one unit, short of a whole text; as many more as the longest template has.
 RUN = 4
 
 _BSD_DISCLAIMER = (
@@ -108,7 +109,7 @@ def _bigrams(hashes: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> tupl
 
 class Templates:
     def __init__(self, texts: dict[str, str], dice: float = DICE) -> None:
-        self.dice, self.grams = dice, {}
+        self.dice, self.grams, self.run = dice, {}, longest_run(texts)
         for name in sorted(texts):
             data = np.frombuffer(texts[name].encode(), np.uint8)
             w = _words(data, np.array([0, len(data)]))
@@ -145,7 +146,7 @@ class Templates:
         inside, begin, end = pair(h[:-1], h[1:]), pair(np.full(n, _EDGES[0]), h), pair(h, np.full(n, _EDGES[1]))
         so_far = np.concatenate([[0], np.cumsum(np.isin(inside, self.known))])
         begins, ends = np.isin(begin, self.known), np.isin(end, self.known)
-        a, b = (np.searchsorted(w.starts, x) for x in _units(data, bounds))
+        a, b = (np.searchsorted(w.starts, x) for x in _units(data, bounds, self.run))
         units = np.unique(np.stack([a, b], axis=1)[b > a], axis=0)
         a, b = units[:, 0], units[:, 1]
         hits, sizes = begins[a] + (so_far[b - 1] - so_far[a]) + ends[b - 1], b - a + 1
@@ -161,7 +162,12 @@ class Templates:
         return out
 
 
-def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def longest_run(templates: dict[str, str]) -> int:
+    """Paragraphs of the longest run that can be one of the templates, ``RUN`` at least."""
+    return max([RUN, *(len([p for p in re.split(r"\n[ \t\r\x0b\x0c]*\n", t) if p.strip()]) for t in templates.values())])
+
+
+def _units(data: np.ndarray, bounds: np.ndarray, most: int = RUN) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of lines, of paragraphs, of runs of paragraphs, and of texts."""
     texts = np.unique(bounds)
     lines = np.unique(np.concatenate([texts, np.flatnonzero(data == 10) + 1]))
@@ -175,7 +181,7 @@ def _units(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     text = np.searchsorted(texts, begins, "right")
     ends = np.minimum(empty[last], texts[np.minimum(text, len(texts) - 1)])
     units = [(lines[:-1], lines[1:]), (begins, ends), (texts[:-1], texts[1:])]
-    for run in range(2, RUN + 1):
+    for run in range(2, most + 1):
         same = text[run - 1 :] == text[: max(len(text) - run + 1, 0)]
         units.append((begins[: len(same)][same], ends[run - 1 :][same]))
     return tuple(np.concatenate(x) for x in zip(*units))
@@ -215,8 +221,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 def brute_force(text: str | None, templates: dict[str, str], dice: float = DICE) -> set[str]:
     """Names of all templates that are the best of some unit, from the definition."""
-    import re
-
     def grams(t: str) -> Counter:
         w = ["<", *(x.decode() for x in re.findall(rb"[0-9a-z\x80-\xff]+", t.translate({c: c + 32 for c in range(65, 91)}).encode())), ">"]
         return Counter(zip(w, w[1:])) if len(w) > 2 else Counter()
@@ -230,7 +234,7 @@ def brute_force(text: str | None, templates: dict[str, str], dice: float = DICE)
             units.append("\n".join(run))
             run = []
     said = [u for u in units[len(lines) :] if grams(u)]
-    for n in range(2, RUN + 1):
+    for n in range(2, longest_run(templates) + 1):
         units += ["\n".join(said[k : k + n]) for k in range(len(said) - n + 1)]
     units.append(text or "")
     out = set()
