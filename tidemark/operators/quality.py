@@ -50,6 +50,25 @@ def verdict(gated: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, F.when(F.col("all"), "pass").when(F.col("score") >= 0.5, "review").otherwise("fail").alias("status"), "score", F.array_join("failed", ";").alias("failed"))
 
 
+def promotion(metrics: DataFrame, rules: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """The tests of each candidate, and its status, score, number of valid tests and failed ones in order.
+
+    ``metrics``: ``*by, test, observed``; ``rules``: ``test, threshold, direction``, a fixed table. ``higher``: above the threshold,
+    ``lower``: below it, ``lower_abs``: within it whatever the sign. A missing metric is no valid test: a
+    candidate without valid tests is on the watchlist, one with two or more and none failed is promoted,
+    any other rejected.
+    """
+    wanted = metrics.select(*by).distinct().crossJoin(F.broadcast(rules))  # a table of rules
+    seen = F.col("observed")
+    value = F.round("observed", 9)
+    passed = F.when(F.col("direction") == "higher", value > F.col("threshold")).when(F.col("direction") == "lower", value < F.col("threshold")).otherwise(F.abs(value) <= F.col("threshold"))
+    tests = wanted.join(metrics, [*by, "test"], "left").withColumn("observed", F.when(~F.isnan(seen), seen)).withColumn("passed", F.coalesce(passed, F.lit(False)))
+    valid = F.col("observed").isNotNull()
+    g = tests.groupBy(*by).agg(F.count_if(valid).alias("valid"), F.avg(F.when(valid, F.col("passed").cast("double"))).alias("score"), F.array_join(F.array_sort(F.collect_list(F.when(valid & ~F.col("passed"), F.col("test")))), ";").alias("failed"))
+    status = F.when(F.col("valid") == 0, "watchlist").when((F.col("failed") == "") & (F.col("valid") >= 2), "promoted").otherwise("rejected")
+    return tests, g.select(*by, status.alias("status"), F.coalesce("score", F.lit(0.0)).alias("score"), "valid", "failed")
+
+
 def plausible(df: DataFrame, bounds: dict[str, tuple[float, float]], most_null: float = 0.2) -> DataFrame:
     """Violations by column: share of nulls, rows out of range."""
     made = []

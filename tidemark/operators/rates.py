@@ -99,3 +99,45 @@ def heat(articles: DataFrame, by: str, topic: str = "topic", source: str = "sour
     out = out.withColumn("heat", F.log1p(F.col("n").cast("double")) * F.col("diversity") * F.col("intensity")).withColumn("_h", F.round("heat", 9))
     out = out.withColumn("percentile", X.percent_of_rank("_h"))
     return out.withColumn("level", F.when(F.col("percentile") >= 0.9, "extreme").when(F.col("percentile") >= 0.7, "high").when(F.col("percentile") >= 0.4, "medium").otherwise("low")).drop("_h")
+
+
+#: Weights of curve quality (long tenors, policy rate, history, recency), rows of a full history, and days until stale.
+QUALITY = {"tenors": 0.60, "policy": 0.15, "history": 0.15, "recency": 0.10}
+FULL_HISTORY, FEWEST_HISTORY, FRESH_DAYS, STALE_DAYS, OLDEST_DAYS, VOL_ROWS, LEAST_VOL_ROWS = 252, 60, 7, 31, 31, 252, 20
+
+
+def country_curves(rates: DataFrame, decided: Column, tenors: tuple[int, int, int], by: str = "country", ts: str = "date", years: tuple[float, float] = (2.0, 10.0)) -> DataFrame:
+    """A row for each country as known at ``decided``: latest rates of ``tenors`` (policy, short, long), level, slope, policy gap and state, changes of slope and level in bp, volatility of the level's changes, durations, convexities, and quality.
+
+    History is the dates on which both the short and the long tenor stand. A change is the
+    last value less the last one that is so many days older.
+    """
+    known = rates.where(F.col(ts) <= decided)
+    names = dict(zip(("policy", "short", "long"), tenors))
+    at = lambda k: F.when(F.col("tenor") == k, F.col("rate"))
+    latest = known.groupBy(by).agg(*[F.max_by("rate", F.when(F.col("tenor") == k, F.col(ts))).alias(n) for n, k in names.items()], F.max(F.when(F.col("tenor").isin(*tenors), F.col(ts))).alias("as_of"))
+    daily = known.where(F.col("tenor").isin(tenors[1], tenors[2])).groupBy(by, ts).agg(F.avg(at(tenors[1])).alias("a"), F.avg(at(tenors[2])).alias("b")).where("a is not null and b is not null")
+    order = W.partitionBy(by).orderBy(ts)
+    newest = W.partitionBy(by).orderBy(F.desc(ts))
+    h = daily.select(by, ts, (F.col("b") - F.col("a")).alias("slope"), ((F.col("a") + F.col("b")) / 2).alias("level")).withColumn("k", F.row_number().over(newest))
+    h = h.withColumn("step", (F.col("level") - F.lag("level").over(order)) * 100).withColumn("last", F.max(ts).over(W.partitionBy(by)))
+
+    def change(value: str, days: int) -> Column:
+        before = F.max_by(value, F.when(F.col(ts) <= F.date_sub("last", days), F.col(ts)))
+        return (F.max(F.when(F.col("k") == 1, F.col(value))) - before) * 100
+
+    recent = F.when((F.col("k") <= VOL_ROWS) & F.col("step").isNotNull(), F.col("step"))
+    past = h.groupBy(by).agg(
+        F.count("*").alias("history"), change("slope", 31).alias("slope_1m_bp"), change("slope", 92).alias("slope_3m_bp"), change("level", 92).alias("level_3m_bp"), F.when(F.count(recent) >= LEAST_VOL_ROWS, F.stddev_samp(recent)).alias("change_vol_bp")
+    )
+    x = latest.join(past, by, "left").fillna(0, ["history"]).withColumn("level", (F.col("short") + F.col("long")) / 2).withColumn("slope", F.col("long") - F.col("short")).withColumn("policy_gap", F.col("short") - F.col("policy"))
+    s = F.col("slope")
+    x = x.withColumn("state", F.when(s.isNull(), "unknown").when(s < -0.25, "inverted").when(s < 0.25, "flat").when(s < 1.5, "normal").otherwise("steep"))
+    for n, y in zip(("short", "long"), years):
+        x = x.withColumn(f"duration_{n}", modified_duration(F.col(n), F.lit(y))).withColumn(f"convexity_{n}", convexity(F.col(n), F.lit(y)))
+    known_ = lambda n: F.col(n).isNotNull().cast("double")
+    x = x.withColumn("tenors", (known_("short") + known_("long")).cast("long")).withColumn("stale_days", F.greatest(F.date_diff(decided, F.col("as_of")), F.lit(0)))
+    fresh = F.when(F.col("stale_days") <= FRESH_DAYS, 1.0).when(F.col("stale_days") <= STALE_DAYS, 0.5).otherwise(0.0)
+    score = QUALITY["tenors"] * F.col("tenors") / 2 + QUALITY["policy"] * known_("policy") + QUALITY["history"] * F.least(F.col("history") / float(FULL_HISTORY), F.lit(1.0)) + QUALITY["recency"] * fresh
+    good = (F.col("tenors") >= 2) & (F.col("history") >= FEWEST_HISTORY) & (F.col("stale_days") <= OLDEST_DAYS)
+    return x.withColumn("quality_score", score).withColumn("quality", F.when(good, "High").when(F.col("tenors") >= 2, "Medium").otherwise("Insufficient"))

@@ -90,6 +90,24 @@ def a67(spark, d):
     return X.rounded(x.select("country", "tenors", "n", (0.4 * F.least(F.col("tenors") / 7.0, F.lit(1.0)) + 0.3 * F.least(F.col("n") / 2000.0, F.lit(1.0)) + 0.3 * F.exp(-age / 30.0)).alias("quality")))
 
 
+_CC = f"""kn as (select * from rt where date <= date '1998-09-30'), kl as (select country, arg_max(rate, case when tenor = 1 then date end) filter (where tenor = 1) as policy, arg_max(rate, date) filter (where tenor = 2) as short, arg_max(rate, date) filter (where tenor = 7) as long, max(date) filter (where tenor in (1, 2, 7)) as as_of from kn group by 1),
+kd as (select country, date, avg(rate) filter (where tenor = 2) as a, avg(rate) filter (where tenor = 7) as b from kn where tenor in (2, 7) group by 1, 2 having a is not null and b is not null),
+kh as (select country, date, b - a as slope, (a + b) / 2 as level, row_number() over (partition by country order by date desc) as k, ((a + b) / 2 - lag((a + b) / 2) over (partition by country order by date)) * 100 as step, max(date) over (partition by country) as last from kd),
+kp as (select country, count(*) as history, {", ".join(f"(max(case when k = 1 then {v} end) - arg_max({v}, date) filter (where date <= last - {n})) * 100 as {v}_{m}_bp" for v, n, m in (("slope", 31, "1m"), ("slope", 92, "3m"), ("level", 92, "3m")))}, case when count(step) filter (where k <= {R.VOL_ROWS}) >= {R.LEAST_VOL_ROWS} then stddev_samp(step) filter (where k <= {R.VOL_ROWS}) end as change_vol_bp from kh group by 1),
+kx as (select kl.*, coalesce(history, 0) as history, slope_1m_bp, slope_3m_bp, level_3m_bp, change_vol_bp, (short + long) / 2 as level, long - short as slope, short - policy as policy_gap, (short is not null)::int + (long is not null)::int as tenors, greatest(date '1998-09-30' - as_of, 0) as stale_days from kl left join kp using (country))"""
+
+
+@B.query("a67_country_curves", f"""with {B.RATES}, {_CC} select country, as_of, round(policy, 6) as policy, round(short, 6) as short, round(long, 6) as long, round(level, 6) as level, round(slope, 6) as slope, round(policy_gap, 6) as policy_gap, case when slope is null then 'unknown' when slope < -0.25 then 'inverted' when slope < 0.25 then 'flat' when slope < 1.5 then 'normal' else 'steep' end as state,
+round(slope_1m_bp, 5) as slope_1m_bp, round(slope_3m_bp, 5) as slope_3m_bp, round(level_3m_bp, 5) as level_3m_bp, round(change_vol_bp, 5) as change_vol_bp, round(2 / (1 + short / 100), 6) as duration_short, round(10 / (1 + long / 100), 6) as duration_long, round(6 / pow(1 + short / 100, 2), 6) as convexity_short, round(110 / pow(1 + long / 100, 2), 6) as convexity_long,
+tenors::bigint as tenors, history, stale_days::int as stale_days, round({R.QUALITY["tenors"]} * tenors / 2 + {R.QUALITY["policy"]} * (policy is not null)::int + {R.QUALITY["history"]} * least(history / {R.FULL_HISTORY}.0, 1.0) + {R.QUALITY["recency"]} * case when stale_days <= {R.FRESH_DAYS} then 1.0 when stale_days <= {R.STALE_DAYS} then 0.5 else 0.0 end::double, 6) as quality_score,
+case when tenors >= 2 and history >= {R.FEWEST_HISTORY} and stale_days <= {R.OLDEST_DAYS} then 'High' when tenors >= 2 then 'Medium' else 'Insufficient' end as quality from kx""")
+def a67_curves(spark, d):
+    x = R.country_curves(B.rates(spark, d), F.lit("1998-09-30").cast("date"), (1, 2, 7))
+    five = [F.round(c, 5).alias(c) for c in ("slope_1m_bp", "slope_3m_bp", "level_3m_bp", "change_vol_bp")]
+    six = [F.round(c, 6).alias(c) for c in ("policy", "short", "long", "level", "slope", "policy_gap", "duration_short", "duration_long", "convexity_short", "convexity_long", "quality_score")]
+    return x.select("country", "as_of", "state", "tenors", "history", "stale_days", "quality", *five, *six)
+
+
 _OS = """lv as (select * from op where dte >= 7), nr as (select entity, min(dte) as dte from lv group by 1), ow as (select lv.* from lv join nr using (entity, dte))"""
 
 

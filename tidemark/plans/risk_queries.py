@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
 from tidemark.operators import panel as P
+from tidemark.operators import quality as Q
 from tidemark.operators import risk as R
 from tidemark.plans import base as B
 
@@ -114,6 +115,28 @@ def a13(spark, d):
     return X.rounded(R.summary(_both(spark, d), "entity").withColumn("value", F.col("value") + 1e-9), 5)
 
 
+_PROMOTE = [("sortino", 0.0, "higher"), ("information_ratio", 0.0, "higher"), ("beta", 1.5, "lower"), ("hit_rate", 0.4, "higher"), ("max_drawdown", 0.6, "lower_abs"), ("cvar", 0.05, "lower_abs"), ("qlike_delta", 0.0, "lower")]
+_PT = f"""pm as (select * from ({B.ORACLES["a13_portfolio_summary"]})), pr as (select * from (values {", ".join(f"('{t}', {x}::double, '{d}')" for t, x, d in _PROMOTE)}) t(test, threshold, direction)),
+pt as (select e.entity, pr.test, threshold, direction, pm.value as observed, coalesce(case direction when 'higher' then pm.value > threshold when 'lower' then pm.value < threshold else abs(pm.value) <= threshold end, false) as passed from (select distinct entity from pm) e cross join pr left join pm on pm.entity = e.entity and pm.metric = pr.test)"""
+
+
+def _promotion(spark, d):
+    """Suppliers as candidates; no source has the last test's metric."""
+    metrics = a13(spark, d).select("entity", F.col("metric").alias("test"), F.col("value").alias("observed"))
+    return Q.promotion(metrics, spark.createDataFrame(_PROMOTE, "test string, threshold double, direction string"), "entity")
+
+
+@B.query("a54_promotion_tests", f"with {_PT} select entity, test, observed, threshold, direction, passed from pt")
+def a54_tests(spark, d):
+    return _promotion(spark, d)[0].select("entity", "test", "observed", "threshold", "direction", "passed")
+
+
+@B.query("a54_promotion_status", f"""with {_PT}, ps as (select entity, count(observed) as valid, avg(passed::int::double) filter (where observed is not null) as score, coalesce(string_agg(test, ';' order by test) filter (where observed is not null and not passed), '') as failed from pt group by 1)
+select entity, case when valid = 0 then 'watchlist' when failed = '' and valid >= 2 then 'promoted' else 'rejected' end as status, round(coalesce(score, 0), 6) as score, valid, failed from ps""")
+def a54_status(spark, d):
+    return X.rounded(_promotion(spark, d)[1])
+
+
 @B.query("a14_performance_by_state", f"""{_J}, s as (select *, case when rb >= 0 then 'up' else 'down' end as market, 'y' || year(date) as period from j),
 g as (select market, period, count(r) as n, avg(r) as mean, stddev_samp(r) as sd, avg((r > 0)::int::double) as hit_rate from s group by grouping sets ((market), (period)))
 select case when market is not null then 'market' else 'period' end as dimension, coalesce(market, period) as state, n, round(mean, 6) as mean, round(sd, 6) as sd, round(hit_rate, 6) as hit_rate from g""")
