@@ -69,6 +69,46 @@ def promotion(metrics: DataFrame, rules: DataFrame, *by: str) -> tuple[DataFrame
     return tests, g.select(*by, status.alias("status"), F.coalesce("score", F.lit(0.0)).alias("score"), "valid", "failed")
 
 
+#: The share below which a universe is not mostly of its dominant group, and sectors that suit any sector mandate.
+MOSTLY, BROAD = 0.5, ("Broad", "Technology/Growth")
+
+
+def benchmark_governance(holdings: DataFrame, mandates: DataFrame, benchmarks: DataFrame, home: DataFrame) -> DataFrame:
+    """A row for each portfolio: dominant country and sector with their shares, suggested benchmark, and what speaks against its own.
+
+    ``holdings``: ``portfolio, country, sector``, a row a holding; ``mandates``: ``portfolio, mandate`` (country, sector,
+    international or else), ``benchmark, benchmark_group, mandate_country, relative``; ``benchmarks``: ``benchmark, benchmark_scope,
+    benchmark_country, benchmark_sector``; ``home``: ``kind`` (country or sector)``, name, suggested``. The last three are fixed
+    tables. Of groups equally large the first by name is dominant; nulls are no group but count as holdings.
+    """
+
+    def dominant(c: str) -> DataFrame:
+        n = holdings.groupBy("portfolio", c).agg(F.count("*").alias("n"))
+        return n.groupBy("portfolio").agg(F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(-F.col("n"), c))).alias(f"dominant_{c}"), (F.max(F.when(F.col(c).isNotNull(), F.col("n"))) / F.sum("n")).alias(f"{c}_share"))
+
+    x = F.broadcast(mandates).join(dominant("country"), "portfolio", "left").join(dominant("sector"), "portfolio", "left").join(F.broadcast(benchmarks), "benchmark", "left")  # fixed tables
+    for kind, name in (("country", "mandate_country"), ("sector", "dominant_sector")):
+        x = x.join(F.broadcast(home.where(F.col("kind") == kind).select(F.col("name").alias(name), F.col("suggested").alias(f"_{kind}"))), name, "left")
+    mandate = F.lower("mandate")
+    suggested = F.when(mandate == "international", "ACWI").when(mandate == "sector", F.coalesce("_sector", F.lit("SPY"))).otherwise(F.coalesce("_country", F.when(mandate == "country", "ACWI").otherwise("SPY")))
+    x = x.withColumn("suggested", suggested)
+    known, scope = F.col("benchmark_scope").isNotNull(), F.lower("benchmark_scope")
+    group = F.lower("benchmark_group")
+    off_country = ~F.coalesce(F.col("benchmark_country").eqNullSafe(F.col("dominant_country")) | F.col("benchmark_country").eqNullSafe(F.col("mandate_country")) | (F.col("benchmark_country") == "Global"), F.lit(False))
+    off_sector = ~F.coalesce(F.col("benchmark_sector").eqNullSafe(F.col("dominant_sector")) | F.col("benchmark_sector").isin(*BROAD), F.lit(False))
+    warnings = {
+        "benchmark not recognised": F.col("relative") & ~known,
+        "benchmark is not of the dominant country": (mandate == "country") & off_country,
+        "benchmark is not of the dominant sector": (mandate == "sector") & off_sector,
+        "international mandate without a global benchmark": (mandate == "international") & ~F.coalesce(scope == "international", F.lit(False)),
+        "universe is not mostly of one sector": (group == "sector") & (F.col("sector_share") < MOSTLY),
+        "universe is not mostly of one country": (group == "country") & (F.col("country_share") < MOSTLY),
+        "another benchmark is suggested": F.col("relative") & (F.col("benchmark") != F.col("suggested")),
+    }
+    said = F.array_join(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(w)) for w, c in warnings.items()]), " | ")
+    return x.withColumn("warnings", said).select("portfolio", "benchmark", "mandate", "dominant_country", "country_share", "dominant_sector", "sector_share", "suggested", (F.col("warnings") == "").alias("coherent"), "warnings")
+
+
 def plausible(df: DataFrame, bounds: dict[str, tuple[float, float]], most_null: float = 0.2) -> DataFrame:
     """Violations by column: share of nulls, rows out of range."""
     made = []

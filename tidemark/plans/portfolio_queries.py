@@ -10,6 +10,7 @@ from tidemark.operators import asof as J
 from tidemark.operators import books as K2
 from tidemark.operators import market_state as M
 from tidemark.operators import panel as P
+from tidemark.operators import quality as Q
 from tidemark.operators import resample as S
 from tidemark.operators import rewards as A
 from tidemark.operators import risk as K
@@ -116,6 +117,28 @@ def a49(spark, d):
     return X.rounded(n.groupBy("sector").agg(F.min_by("country", F.struct(-F.col("c"), "country")).alias("dominant"), share.alias("share"), (share < 0.25).alias("fragmented")))
 
 
+_MANDATES = [("AUTOMOBILE", "Country", "EWQ", "Country", "FRANCE", True), ("BUILDING", "Sector", "XLE", "Sector", "CHINA", False), ("FURNITURE", "International", "SPY", "Broad", "UNITED STATES", True), ("HOUSEHOLD", "Balanced", "SPY", "Broad", "UNITED STATES", True), ("MACHINERY", "Sector", "CUSTOM", "Sector", "JAPAN", True)]
+_BENCHMARKS = [("SPY", "Broad", "UNITED STATES", "Broad"), ("EWQ", "Country", "FRANCE", "Broad"), ("ACWI", "International", "Global", "Broad"), ("XLE", "Sector", "UNITED STATES", "Energy"), ("VGK", "Sector", "Global", "EUROPE")]
+_HOMES = [("country", "FRANCE", "EWQ"), ("country", "UNITED STATES", "SPY"), ("country", "JAPAN", "EWJ"), ("sector", "EUROPE", "VGK"), ("sector", "ASIA", "AAXJ"), ("sector", "AFRICA", "AFK")]
+_row = lambda rows: ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
+
+
+@B.query("a49_mandate_checks", f"""with {B.CUSTOMERS}, gm as (select * from (values {_row(_MANDATES)}) t(portfolio, mandate, benchmark, benchmark_group, mandate_country, relative)), gb as (select * from (values {_row(_BENCHMARKS)}) t(benchmark, scope, bc, bs)), gh as (select * from (values {_row(_HOMES)}) t(kind, name, home)),
+gc as (select segment as portfolio, arg_min(country, (-n, country)) as dc, max(n) / sum(n) as cs from (select segment, country, count(*) as n from cu group by 1, 2) group by 1), gs as (select segment as portfolio, arg_min(sector, (-n, sector)) as ds, max(n) / sum(n) as ss from (select segment, sector, count(*) as n from cu group by 1, 2) group by 1),
+gx as (select gm.*, dc, cs, ds, ss, scope, bc, bs, case lower(mandate) when 'international' then 'ACWI' when 'sector' then coalesce(s.home, 'SPY') when 'country' then coalesce(c.home, 'ACWI') else coalesce(c.home, 'SPY') end as suggested from gm left join gc using (portfolio) left join gs using (portfolio) left join gb using (benchmark)
+  left join gh c on c.kind = 'country' and c.name = mandate_country left join gh s on s.kind = 'sector' and s.name = ds),
+gw as (select *, array_to_string(list_filter([case when relative and scope is null then 'benchmark not recognised' end, case when mandate = 'Country' and not coalesce(bc in (dc, mandate_country, 'Global'), false) then 'benchmark is not of the dominant country' end, case when mandate = 'Sector' and not coalesce(bs in (ds, 'Broad', 'Technology/Growth'), false) then 'benchmark is not of the dominant sector' end,
+  case when mandate = 'International' and scope is distinct from 'International' then 'international mandate without a global benchmark' end, case when benchmark_group = 'Sector' and ss < 0.5 then 'universe is not mostly of one sector' end, case when benchmark_group = 'Country' and cs < 0.5 then 'universe is not mostly of one country' end,
+  case when relative and benchmark <> suggested then 'another benchmark is suggested' end], lambda x: x is not null), ' | ') as warnings from gx)
+select portfolio, benchmark, mandate, dc as dominant_country, round(cs, 6) as country_share, ds as dominant_sector, round(ss, 6) as sector_share, suggested, warnings = '' as coherent, warnings from gw""")
+def a49_mandates(spark, d):
+    """Customers as holdings of their segment's portfolio, under a table of mandates."""
+    holdings = B.customers(spark, d).select(F.col("segment").alias("portfolio"), "country", "sector")
+    mandates = spark.createDataFrame(_MANDATES, "portfolio string, mandate string, benchmark string, benchmark_group string, mandate_country string, relative boolean")
+    known = spark.createDataFrame(_BENCHMARKS, "benchmark string, benchmark_scope string, benchmark_country string, benchmark_sector string")
+    return X.rounded(Q.benchmark_governance(holdings, mandates, known, spark.createDataFrame(_HOMES, "kind string, name string, suggested string")))
+
+
 @B.query("a51_latest_signals", f"""with {B.PX}, k as (select *, row_number() over (partition by entity order by date desc) as k from px) select entity, max(date) as latest, round((arg_max(volume, date) - avg(volume)) / nullif(stddev_samp(volume), 0), 6) as z from k where k <= 252 group by 1""")
 def a51(spark, d):
     k = B.prices(spark, d).withColumn("k", F.row_number().over(W.partitionBy("entity").orderBy(F.desc("date")))).where("k <= 252")
