@@ -50,6 +50,20 @@ def verdict(gated: DataFrame, *by: str) -> DataFrame:
     return out.select(*by, F.when(F.col("all"), "pass").when(F.col("score") >= 0.5, "review").otherwise("fail").alias("status"), "score", F.array_join("failed", ";").alias("failed"))
 
 
+def completeness(counts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``module, cadence, checks, passed, score, status, missing``: how much of each module's evidence is there.
+
+    ``counts``: ``part, n``; ``rules``: ``module, cadence, part, need``, a fixed table. A part that is not counted has nothing. Status is
+    complete, partial or missing; ``missing`` lists the parts below their need with what they have.
+    """
+    own = counts.groupBy("part").agg(F.sum("n").alias("n"))
+    x = F.broadcast(rules).join(own, "part", "left").withColumn("n", F.coalesce("n", F.lit(0)))  # a fixed table
+    short = F.when(F.col("n") < F.col("need"), F.concat_ws(" ", "part", F.concat_ws("/", F.col("n").cast("string"), F.col("need").cast("string"))))
+    g = x.groupBy("module", "cadence").agg(F.count("*").alias("checks"), F.count_if(F.col("n") >= F.col("need")).alias("passed"), F.array_join(F.array_sort(F.collect_list(short)), "; ").alias("missing"))
+    score = F.col("passed") / F.col("checks")
+    return g.select("module", "cadence", "checks", "passed", score.alias("score"), F.when(score >= 1, "complete").when(score > 0, "partial").otherwise("missing").alias("status"), "missing")
+
+
 def promotion(metrics: DataFrame, rules: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
     """The tests of each candidate, and its status, score, number of valid tests and failed ones in order.
 

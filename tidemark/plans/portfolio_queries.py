@@ -178,6 +178,33 @@ def a61(spark, d):
     return parts[0].union(parts[1]).union(parts[2]).join(F.broadcast(rules), "module").withColumn("complete", F.col("n") >= F.col("need"))  # a rule a module
 
 
+_NEEDS = [
+    ("Market", "daily", "event_types", 3), ("Market", "daily", "events", 100), ("Market", "daily", "calendar", 1),
+    ("Rates", "daily", "curve_countries", 20), ("Rates", "daily", "rate_history", 250),
+    ("Fundamentals", "run", "filings", 1000), ("Fundamentals", "run", "filers", 50), ("Fundamentals", "run", "rejections", 1),
+    ("Research", "run", "entities", 10), ("Research", "run", "return_days", 252),
+]
+_PARTS = {
+    "events": ("events", "count(*)"), "event_types": ("events", "count(distinct event_type)"), "curve_countries": ("nation", "count(distinct n_nationkey)"), "rate_history": ("lineitem", "count(distinct l_shipdate)"),
+    "filings": ("orders", "count(*)"), "filers": ("orders", "count(distinct o_custkey)"), "entities": ("lineitem", "count(distinct l_suppkey)"), "return_days": ("lineitem", "count(distinct l_shipdate)"),
+}
+
+
+@B.query("a61_module_evidence", f"""with c as ({" union all ".join(f"select '{k}' as part, {v} as n from {t}" for k, (t, v) in _PARTS.items())}), r as (select * from (values {", ".join(map(str, _NEEDS))}) t(module, cadence, part, need)), x as (select r.*, coalesce(n, 0) as n from r left join c using (part)),
+g as (select module, cadence, count(*) as checks, count(*) filter (where n >= need) as passed, coalesce(string_agg(part || ' ' || n || '/' || need, '; ' order by part) filter (where n < need), '') as missing from x group by 1, 2)
+select module, cadence, checks, passed, round(passed / checks, 6) as score, case when passed = checks then 'complete' when passed > 0 then 'partial' else 'missing' end as status, missing from g""")
+def a61_evidence(spark, d):
+    """Counts of each table are taken in one pass over it."""
+    counted = []
+    for name in dict.fromkeys(t for t, _ in _PARTS.values()):
+        own = {k: v for k, (t, v) in _PARTS.items() if t == name}
+        counted.append(B.table(spark, d, name).agg(*[F.expr(v).alias(k) for k, v in own.items()]).unpivot([], list(own), "part", "n"))
+    counts = counted[0]
+    for more in counted[1:]:
+        counts = counts.union(more)
+    return X.rounded(Q.completeness(counts, spark.createDataFrame(_NEEDS, "module string, cadence string, part string, need long")))
+
+
 @B.query("a62_action_rewards", f"""with {B.TRIALS}, a as (select trial % 6 as action, 'p' || trial % 3 as profile, r * 100 as reward from tr), t as (select count(*) as n from a) select action, profile, count(*) as n, round(avg(reward), 6) as mean, round(avg(reward) + sqrt(2 * ln((select n from t)) / count(*)), 6) as ucb from a group by 1, 2""")
 def a62(spark, d):
     a = B.trials(spark, d).select((F.col("trial") % 6).alias("action"), F.concat(F.lit("p"), (F.col("trial") % 3).cast("string")).alias("profile"), (F.col("r") * 100).alias("reward"))
