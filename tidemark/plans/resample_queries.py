@@ -185,6 +185,32 @@ def b12_stability(spark, d):
     return X.rounded(found.stability.join(judged, "entity", "left"))
 
 
+#: Figures of the bundle: query, name and what it is in that query's rows, in Spark's and DuckDB's SQL alike.
+_BUNDLE = {
+    "b04_reality_check": {"white_p": "max(white_p)", "spa_p": "max(spa_p)", "least_stepdown_p": "min(stepdown_p)", "stepdown_rejected": "sum(case when stepdown_p <= 0.05 then 1 else 0 end)"},
+    "b06_overfit_by_folds": {"pbo_folds": "max(pbo)"},
+    "b08_overfit_by_masks": {"pbo_masks": "avg(case when logit < 0 then 1e0 else 0e0 end)"},
+    "b09_deflated_best": {"best_sortino": "max(best)", "expected_best": "max(expected_best)", "trials": "max(trials)"},
+    "b12_selection_stability": {"frozen_rate": "max(case when frozen then rate end)", "holdout_return": "max(holdout_return)", "holdout_drawdown": "min(holdout_drawdown)"},
+}
+_BUNDLE_SQL = " union all ".join(
+    f"select metric, value from (unpivot (select {', '.join(f'({v})::double as {k}' for k, v in own.items())} from ({B.ORACLES[q]})) on {', '.join(own)} into name metric value value)" for q, own in _BUNDLE.items()
+)
+
+
+@B.query("b13_validation_metrics", f"select metric, round(value, 6) as value from ({_BUNDLE_SQL})")
+def b13_metrics(spark, d):
+    """The tests of this module in one long table of metric and value."""
+    parts = []
+    for name, own in _BUNDLE.items():
+        one = B.QUERIES[name](spark, d).agg(*[F.expr(v).cast("double").alias(k) for k, v in own.items()])
+        parts.append(one.unpivot([], list(own), "metric", "value").where("value is not null"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return X.rounded(out)
+
+
 @B.query("w08_daily_nav", f"""with {B.PX}, h as (select date_trunc('quarter', date)::date as q, entity, sum(volume) as v from px group by 1, 2), k as (select *, row_number() over (partition by q order by v desc, entity) as k from h), w as (select (q + interval 3 month)::date as q, entity, v / sum(v) over (partition by q) as w from k where k <= 20),
 d as (select date, sum(w.w * r) / sum(w.w) as r from px join w on w.entity = px.entity and date_trunc('quarter', px.date)::date = w.q group by 1), c as (select *, row_number() over (partition by date_trunc('quarter', date) order by date) = 1 as first from d), n as (select date, r - case when first then 0.001 else 0 end as net from c)
 select date, round(net, 8) as net, round(exp(sum(ln(1 + net)) over (order by date rows between unbounded preceding and current row)), 7) as nav from n""")
