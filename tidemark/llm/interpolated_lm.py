@@ -45,7 +45,7 @@ FOLDS, HELD_OUT, DELETED = 10, 0, 1
 ORDERS = 3
 #: Bytes of text in a chunk, and for each bucket of n-grams.
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
 #: Rounds of expectation-maximisation at most, and the change of a weight that ends them.
 MOST_ROUNDS, LEAST_CHANGE = 20, 1e-3
 #: Frequency buckets of contexts: 1 + log2 for those of two words, and from here on for those of one word, where two were not seen.
@@ -214,9 +214,10 @@ def _answers(parts: pa.Table) -> pa.Table:
 def _counts(tokens: _Tokens, parts: pa.Table, column: str) -> list[np.ndarray]:
     """The corpus count of the n-gram of each order at every token."""
     out, rows = [], parts.sort_by([("size", "ascending"), ("bucket", "ascending")]).to_pylist()
-    for size, keys in enumerate(tokens.keys, 1):
+    for size in range(1, ORDERS + 1):
         told = np.concatenate([np.zeros(0, np.int64), *[_unpack(r[column], np.int64) for r in rows if r["size"] == size]])
-        out.append(told[np.unique(keys, return_inverse=True)[1]])
+        # keys are not needed again
+        out.append(told[np.unique(tokens.keys.pop(0), return_inverse=True)[1]])
     return out
 
 
@@ -257,8 +258,10 @@ def _scores(docs: int, total: int, words: int, weights: np.ndarray):
             c1, c2, c3 = counts = _counts(tokens, parts, "counts")
             one, two = _contexts(tokens, counts, docs)
             base = (c1 + ADDED) / (total + ADDED * (words + 1))
-            share = weights[_frequency(one, two)]
-            mixed = share[:, 0] * (c3 / np.maximum(two, 1)) + share[:, 1] * (c2 / np.maximum(one, 1)) + share[:, 2] * base
+            at = _frequency(one, two)
+            mixed = weights[at, 2] * base
+            mixed += weights[at, 1] * (c2 / np.maximum(one, 1))
+            mixed += weights[at, 0] * (c3 / np.maximum(two, 1))
             sums = [np.add.reduceat(x, tokens.firsts) for x in ((c1 > 0).astype(np.int64), np.log10(base), np.log10(mixed))]
             ids = pa.array(tokens.ids, pa.int64(), mask=(tokens.flags & 2) > 0)
             out.append(pa.table([ids, pa.array((tokens.flags & 1) == 0), pa.array(tokens.counts), *map(pa.array, sums)], schema=_SCORES_ARROW))
