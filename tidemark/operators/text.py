@@ -54,9 +54,10 @@ def risk_features(docs: DataFrame, entity: str, order: str, text: str = "text",
     """
     terms = RISK_TERMS if terms is None else terms
     # tokens two blanks apart, so that each has blanks of its own and a word is found by a plain search
-    low = docs.withColumn("_low", F.lower(text))
-    own = low.withColumn("_spaced", F.concat(F.lit(" "), F.regexp_replace("_low", "[^a-z-]++", "  "), F.lit(" ")))
-    out = own.withColumn("tokens", F.regexp_count("_low", F.lit("[a-z-]++")))
+    low = docs.withColumn("_low", F.lower(text)).withColumn("_apart", F.regexp_replace("_low", "[^a-z-]++", "  "))
+    gaps = (F.octet_length("_apart") - F.octet_length(F.replace(F.col("_apart"), F.lit("  "), F.lit("")))) / 2
+    outer = F.when(F.col("_apart").startswith("  "), 1).otherwise(0) + F.when(F.col("_apart").endswith("  "), 1).otherwise(0)
+    out = low.withColumn("tokens", F.when(F.col("_apart") == "", 0).otherwise(gaps + 1 - outer).cast("int")).withColumn("_spaced", F.concat(F.lit(" "), "_apart", F.lit(" ")))
 
     def said(term: str) -> Column:
         place, sought = ("_low", term) if " " in term else ("_spaced", f" {term} ")
@@ -66,7 +67,7 @@ def risk_features(docs: DataFrame, entity: str, order: str, text: str = "text",
     for name, listed in terms.items():
         out = out.withColumn(f"{name}_per_10k", X.ratio(sum((said(t) for t in listed), F.lit(0.0)) * 1e4, "tokens"))
     risk = sum(F.coalesce(F.col(f"{k}_per_10k"), F.lit(0.0)) for k in terms if k not in NO_RISK)
-    out = out.drop("_low", "_spaced").withColumn("risk", risk)
+    out = out.drop("_low", "_apart", "_spaced").withColumn("risk", risk)
     return out.withColumn("worsening", F.coalesce(F.greatest(F.col("risk") - F.lag("risk").over(X.by(entity, order)), F.lit(0.0)), F.lit(0.0)))
 
 
