@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import itertools
 import math
 
 import duckdb
@@ -62,3 +63,15 @@ def test_query_equals_its_sql(spark, sf, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_closes_at_ties_of_rounding_equal_their_sql(spark, tmp_path):
+    """Three days of returns in half hundredths give closes whose fifth digit is the last and a 5; all digits must be the SQL's."""
+    lines = [(k, f"1995-01-0{day}", (h + i) // 2 / 100, 1.0) for k, hs in enumerate(itertools.product(range(1, 21, 3), repeat=3)) for day, h in enumerate(hs, 1) for i in (0, 1)]
+    df = spark.createDataFrame(lines, "l_suppkey long, day string, l_discount double, l_quantity double")
+    df.selectExpr("l_suppkey", "cast(day as timestamp_ntz) as l_shipdate", "l_discount", "l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = {(r.entity, r.date): r.close for r in registry.QUERIES["s02_closes_csv"](spark, str(tmp_path)).collect()}
+    want = {(entity, date): close for entity, date, close in con.sql(registry.ORACLES["s02_closes_csv"]).fetchall()}
+    assert len(got) == 7**3 * 3 and got == want

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import expr as X
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 
@@ -44,7 +45,9 @@ def _closes(panel: DataFrame) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``entity, date, r, volume, close`` by supplier and day."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity"), "l_shipdate", "l_discount", "l_quantity")
-    return _closes(_returns(lines, "entity")).select("entity", "date", "r", "volume", "close")
+    # ln(1 + r) as in the SQL: log1p sees digits of r that 1 + r has lost, and a close at a tie of rounding goes the other way
+    up = F.sum(F.ln(1 + F.col("r"))).over(W.partitionBy("entity").orderBy("date"))
+    return _returns(lines, "entity").withColumn("_up", up).select("entity", "date", "r", "volume", (100 * X.exp("_up")).alias("close"))
 
 
 def sectors(spark: SparkSession, sf_dir: str) -> DataFrame:

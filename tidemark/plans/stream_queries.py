@@ -96,7 +96,7 @@ def s02(spark, d):
     rows = p.select("entity", F.date_format("date", "yyyy-MM-dd").alias("Date"), F.lit("").alias("Open"), F.lit("").alias("High"), F.lit("").alias("Low"), F.when(F.dayofmonth("date") != 13, F.col("close").cast("string")).otherwise("no data").alias("Close"), F.col("volume").cast("string").alias("Volume"))
     # a file for each entity
     rows.repartition("entity").write.partitionBy("entity").csv(path, header=True)
-    return X.rounded(S.read_closes(spark, path, "entity").withColumn("entity", F.col("entity").cast("long")), 4)
+    return S.read_closes(spark, path, "entity").select(F.col("entity").cast("long").alias("entity"), "date", X.round_scaled("close", 4).alias("close"))
 
 
 @B.query("s03_wide_series_csv", f"with {B.RATES} select date, 't' || tenor as code, round(avg(rate), 6) as value from rt group by 1, 2")
