@@ -66,3 +66,21 @@ def test_repeated_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = topk.search(df.where("vec_id = 0"), df, 3).collect()
     assert sorted(map(tuple, got)) == sorted([(0, 1, 5, 4 * 65536), (0, 2, 5, 3 * 65536), (0, 3, 5, 3 * 65536)] * 2)
+
+
+def test_blocks_meet_without_shuffling_entries(spark, monkeypatch):
+    """What stands between two phases is ``k`` rows of each query and block of rows, however many entries nodes send."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 40)
+    monkeypatch.setattr(topk, "CELLS", 5000)
+    pick = random.Random(5)
+    # nearly equal rows: most are entries of most queries
+    rows = [(i, [1 + pick.random() / 8 for _ in range(pick.choice([32, 48]))]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sizes, own = [], topk.cut
+    monkeypatch.setattr(topk, "cut", lambda x: (lambda y: (sizes.append(sum(len(v) for r in y.collect() for v in r if isinstance(v, (bytes, bytearray)))), y)[1])(own(x)))
+    got = sorted(map(tuple, topk.search(df.where("vec_id % 10 = 0"), df, 5).collect()))
+    floats = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    assert got == _brute(set(range(0, 1000, 10)), floats, 5)
+    # blocks of rows: two bytes a component and four numbers a row
+    assert 0 < max(sizes) <= 1000 * (48 * 2 + 4 * 8)

@@ -1,12 +1,12 @@
 """Exact top-k search by a three-phase uniform threshold.
 
 The vectors' dimensions are cut into slices of ``WIDTH``; a slice of a block of rows
-is a node, which holds nothing else. Its local score of a row is the row's share of
-the inner product with a query.
+is a node. Its local score of a row is the row's share of the inner product with a
+query.
 
-1. Each node lists the ``k`` rows of best local score for each query, and the ``k``
-   best of a slice over all its blocks are gathered. The whole scores of these rows
-   are taken; the k-th best of them is a lower bound of the k-th best score there is.
+1. Each node lists the ``k`` rows of best local score for each query. The whole scores
+   of the rows that a block's nodes list are taken; the k-th best of all blocks is a
+   lower bound of the k-th best score there is.
 2. The bound divided by the query's number of slices is the cutoff, which is sent to
    the nodes with the query: a row whose score reaches the bound has a local score at
    the cutoff or above in some slice. Nodes send just those entries. A row that lacks
@@ -15,9 +15,11 @@ the inner product with a query.
    known), no cutoff is safe and all rows are taken.
 3. The other rows' scores are resolved exactly, and the best ``k`` stay.
 
-A task holds one node and one block of queries at a time: queries are few against
-rows, and a copy of each goes to every block of rows, with its own cutoff, so that
-nothing that grows with the data is broadcast. Long vectors have more slices and make
+A task holds a block of queries beside the nodes of one block of rows, so what nodes send
+each other is never shuffled: all that is are blocks, each as often as the other side has
+blocks, packed in the narrowest integers, and ``k`` rows of each query and block of rows.
+Nothing that grows with the data is broadcast. Rows of a block are in order of their
+length, and a slice holds those that have it, so long vectors have more slices and make
 no other row longer.
 
 Scores are exact integers: components are ``floor(256 x)``. A component or a score that
@@ -30,184 +32,215 @@ there are if fewer than ``k``. A repeated row is a row of its own, as a query to
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut
 
-WIDTH, QUERY_ROWS, BLOCK_ROWS, FACTOR = 16, 128, 4096, 256.0
-#: Cells of a chunk of pairs whose scores are resolved at once.
-CHUNK = 1 << 20
+#: Rows of a block; it has ``DIMENSIONS`` times as many components at most, on average of blocks.
+WIDTH, QUERY_ROWS, BLOCK_ROWS, DIMENSIONS, FACTOR = 16, 1 << 15, 1 << 15, 64, 256.0
+#: Local scores that a task holds at once, and columns of them of which one maximum is taken.
+CELLS, SPAN = 1 << 22, 64
 _LONG = 1 << 63
 _NONE = -_LONG
 
-#: ``n``: the rows' own numbers; ``m``: their numbers of slices; ``bound``: of queries; ``sizes``: components of each row here.
-_PACKED = "kind string, part int, deal int, n binary, id binary, m binary, bound binary, sizes binary, data binary"
-_PAIRS = "query long, n long, id long, score long"
-_ENTRIES = "kind string, part int, q_deal int, x_deal int, n binary, id binary, m binary, bound binary, sizes binary, data binary"
-
-
-def _schema(*deals: str) -> pa.Schema:
-    return pa.schema([("kind", pa.string()), *((c, pa.int32()) for c in ("part", *deals)), *((c, pa.binary()) for c in ("n", "id", "m", "bound", "sizes", "data"))])
-
-
-_BLOCK, _ENTRY = _schema("deal"), _schema("q_deal", "x_deal")
+_PACKED = "kind string, deal int, n binary, id binary, bound binary, sizes binary, wide int, data binary"
+_BLOCK = pa.schema([("kind", pa.string()), ("deal", pa.int32()), *((c, pa.binary()) for c in ("n", "id", "bound", "sizes")), ("wide", pa.int32()), ("data", pa.binary())])
+_PAIRS = "query long, id long, score long"
 
 
 def _packed(kind: str):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        n = rows.column("n").to_numpy()
-        order = np.argsort(n, kind="stable")
-        values = rows.take(pa.array(order)).column("values").combine_chunks()
-        column = lambda name, t: rows.column(name).to_numpy()[order].astype(t).tobytes()
+        values = rows.column("vector").combine_chunks()
         sizes = np.diff(values.offsets.to_numpy()).astype(np.int64)
-        data = values.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        row = {"kind": kind, "part": key[0].as_py(), "deal": key[1].as_py(), "n": column("n", np.int64), "id": column("id", np.int64), "m": column("m", np.int64), "bound": column("bound", np.int64), "sizes": sizes.tobytes(), "data": data.tobytes()}
+        order = np.argsort(-sizes, kind="stable")
+        data = values.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        least, most = data.min(initial=0), data.max(initial=0)
+        narrow = next(t for t in (np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
+        column = lambda name: rows.column(name).to_numpy()[order].astype(np.int64).tobytes()
+        row = {"kind": kind, "deal": key[0].as_py(), "n": column("n"), "id": column("id"), "bound": column("bound"), "sizes": sizes[order].tobytes(), "wide": narrow().itemsize, "data": data.astype(narrow).tobytes()}
         return pa.Table.from_pylist([row], schema=_BLOCK)
 
     return run
 
 
 class _Block:
-    """Rows of a packed block, of all dimensions or of one slice."""
+    """Rows of a packed block, the longest first; ``m``: their numbers of slices."""
 
     def __init__(self, row: dict) -> None:
-        self.n, self.id, self.m, self.bound, self.sizes, self.data = (np.frombuffer(row[c], np.int64) for c in ("n", "id", "m", "bound", "sizes", "data"))
+        self.n, self.id, self.bound, self.sizes = (np.frombuffer(row[c], np.int64) for c in ("n", "id", "bound", "sizes"))
+        self.data = np.frombuffer(row["data"], f"i{row['wide']}")
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.m = np.maximum(-(-self.sizes // WIDTH), 1)
+        self.most = max(int(self.data.max(initial=0)), -int(self.data.min(initial=0)))
+
+    def slice(self, k: int, kind: type) -> np.ndarray:
+        """Components of slice ``k`` of the rows that have it, which are the first ones; missing ones are zero."""
+        many = int(np.searchsorted(-self.sizes, -k * WIDTH))
+        if not many:
+            return np.zeros((0, WIDTH), kind)
+        steps = k * WIDTH + np.arange(WIDTH)
+        at = np.minimum(self.starts[:many, None] + steps, len(self.data) - 1)
+        return np.where(steps < self.sizes[:many, None], self.data[at], 0).astype(kind)
+
 
-    def vectors(self, rows: np.ndarray, width: int) -> np.ndarray:
-        """The first ``width`` components of ``rows``; missing ones are zero."""
-        if not len(self.data):
-            return np.zeros((len(rows), width), np.int64)
-        steps = np.arange(width)
-        at = np.minimum(self.starts[rows][:, None] + steps, len(self.data) - 1)
-        return np.where(steps < self.sizes[rows][:, None], self.data[at], 0)
+def _two(group: pa.Table) -> tuple[_Block, _Block] | None:
+    """The blocks of queries and of rows of a group, if both are there."""
+    rows = {r["kind"]: r for r in group.to_pylist()}
+    return (_Block(rows["q"]), _Block(rows["x"])) if len(rows) == 2 else None
 
 
-def _fits(q: np.ndarray, x: np.ndarray) -> int:
+def _greatest(q: _Block, x: _Block) -> int:
     """A bound of all absolute scores of ``q`` with ``x``."""
-    most = lambda v: max(int(v.max(initial=0)), -int(v.min(initial=0)))
-    return q.shape[-1] * most(q) * most(x)
-
-
-def _exact(q: np.ndarray, x: np.ndarray, product, own: np.ndarray | bool = False) -> np.ndarray:
-    """``product`` of two integer arrays, in doubles or longs where these are exact and in whole numbers elsewhere; zero where ``own``, if it must be."""
-    bound = _fits(q, x)
-    if bound < 1 << 53:
-        return product(q.astype(np.float64), x.astype(np.float64)).astype(np.int64)
-    if bound < _LONG:
-        return product(q, x)
-    out = np.where(own, 0, product(q.astype(object), x.astype(object)))
-    if out.size and max(abs(int(out.max())), abs(int(out.min()))) >= _LONG:
-        raise OverflowError("an inner product does not fit into a long")
-    return out.astype(np.int64)
+    return int(min(q.sizes.max(initial=0), x.sizes.max(initial=0))) * q.most * x.most
 
 
-def _local(q: _Block, x: _Block) -> np.ndarray:
-    return _exact(q.vectors(np.arange(len(q.n)), WIDTH), x.vectors(np.arange(len(x.n)), WIDTH), lambda a, b: a @ b.T, q.id[:, None] == x.id[None, :])
+def _kind(most: int) -> type:
+    """Numbers in which sums of two scores up to ``most`` are exact: floats, doubles or longs, and whole numbers beyond them."""
+    return next((t for t, bits in ((np.float32, 24), (np.float64, 53), (np.int64, 63)) if most << 2 < 1 << bits), object)
 
 
-def _two(group: pa.Table) -> tuple[_Block, _Block] | None:
-    """The blocks of queries and of rows of a group, if both are there."""
-    rows = {r["kind"]: r for r in group.to_pylist() if r["kind"] in "qx"}
-    return (_Block(rows["q"]), _Block(rows["x"])) if len(rows) == 2 else None
+class _Scores:
+    """Local scores of some queries with a block's rows, slice by slice; ``own``: places of the queries' own rows."""
 
+    def __init__(self, local: list[np.ndarray], at: slice, n: int, own: tuple[np.ndarray, np.ndarray]) -> None:
+        self.local, self.at, self.n, self.own = local, at, n, own
 
-def _pairs(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
-    """``_PAIRS`` of ``(query, numbers, ids, scores)``."""
-    join = lambda k: np.concatenate([r[k] for r in rows]) if rows else np.zeros(0, np.int64)
-    query = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[1]) for r in rows])
-    return pa.table({"query": query, "n": join(1), "id": join(2), "score": join(3)})
+    def whole(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Exact scores of pairs, from what all nodes have of them."""
+        total = np.zeros(len(i), self.local[0].dtype if self.local else np.int64)
+        for local in self.local:
+            if local.shape == (self.at.stop - self.at.start, self.n):
+                total += local[i, j]
+            else:
+                some = np.flatnonzero((i < local.shape[0]) & (j < local.shape[1]))
+                total[some] += local[i[some], j[some]]
+        return _long(total)
 
 
-def _best(k: int, x: _Block, at: np.ndarray, scores: np.ndarray) -> np.ndarray:
-    """Places in ``at`` of the ``k`` best, ties to the smaller id."""
-    if len(at) > 4 * k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        some = np.flatnonzero(scores >= least)
-    else:
-        some = np.arange(len(at))
-    # by descending score: the complement turns longs around without overflow
-    return some[np.lexsort((x.n[at[some]], x.id[at[some]], ~scores[some]))[:k]]
+def _long(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and scores.size and max(abs(int(scores.max())), abs(int(scores.min()))) >= _LONG:
+        raise OverflowError("an inner product does not fit into a long")
+    return scores if scores.dtype == object else scores.astype(np.int64)
+
+
+def _tiles(q: _Block, x: _Block) -> Iterator[_Scores]:
+    """Local scores of as many queries at once as ``CELLS`` has room for."""
+    kind = _kind(_greatest(q, x))
+    slices = int(min(q.m.max(), x.m.max()))
+    qs, xs = ([b.slice(k, kind) for k in range(slices)] for b in (q, x))
+    order = np.argsort(x.id, kind="stable")
+    lo, hi = (np.searchsorted(x.id[order], q.id, side) for side in ("left", "right"))
+    step = max(1, CELLS // max(1, sum(map(len, xs)), len(x.n)))
+    for a in range(0, len(q.n), step):
+        at = slice(a, min(a + step, len(q.n)))
+        many = hi[at] - lo[at]
+        first = np.repeat(lo[at] - np.cumsum(many) + many, many)
+        own = np.repeat(np.arange(at.stop - a), many), order[first + np.arange(many.sum())]
+        local = [u[at] @ v.T for u, v in zip(qs, xs)]
+        if kind is object:
+            for part in local:
+                has = (own[0] < part.shape[0]) & (own[1] < part.shape[1])
+                part[own[0][has], own[1][has]] = 0
+                _long(part)
+        yield _Scores(local, at, len(x.n), own)
+
+
+def _best_places(local: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the ``k`` highest of each row (of all, if fewer), which are in the ``k`` spans of highest maxima."""
+    n = local.shape[1]
+    if local.dtype == object or n <= k:
+        return np.argsort(-local, axis=1, kind="stable")[:, :k]
+    top = lambda v: np.argpartition(v, v.shape[1] - k, axis=1)[:, -k:]
+    spans = n // SPAN
+    if spans <= 2 * k:
+        return top(local)
+    most = local[:, : spans * SPAN].reshape(len(local), spans, SPAN).max(axis=2)
+    columns = (top(most)[:, :, None] * SPAN + np.arange(SPAN)).reshape(len(local), -1)
+    columns = np.concatenate([columns, np.broadcast_to(np.arange(spans * SPAN, n), (len(local), n - spans * SPAN))], axis=1)
+    return np.take_along_axis(columns, top(np.take_along_axis(local, columns, axis=1)), axis=1)
+
+
+def _pairs(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """``_PAIRS`` of ``(query, id, score)``."""
+    join = lambda k: np.concatenate([r[k] for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    return pa.table({"query": join(0), "id": join(1), "score": join(2)})
+
+
+def _best(k: int, q: _Block, x: _Block, at: slice, i: np.ndarray, j: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best pairs of each query, ties to the smaller id. By descending score: the complement turns longs around without overflow."""
+    order = np.lexsort((x.id[j], ~scores.astype(np.int64), i))
+    i, j, scores = i[order], j[order], scores[order]
+    starts = np.flatnonzero(np.diff(i, prepend=-1))
+    place = np.arange(len(i)) - np.repeat(starts, np.diff(starts, append=len(i)))
+    some = place < k
+    return q.n[at][i[some]], x.id[j[some]], scores[some]
 
 
 def _lists(k: int):
-    """Phase 1, of a node and a block of queries: the ``k`` best local scores."""
+    """Phase 1, of a block of queries and of rows: whole scores of the rows that a node lists as its ``k`` best."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         two, out = _two(group), []
-        if two:
-            q, x = two
-            local = _local(q, x)
-            for i in range(len(q.n)):
-                at = np.flatnonzero(x.id != q.id[i])
-                best = _best(k, x, at, local[i, at])
-                out.append((q.n[i], x.n[at[best]], x.id[at[best]], local[i, at[best]]))
-        return _pairs(out).append_column("part", pa.array(np.full(sum(len(r[1]) for r in out), key[2].as_py()), pa.int32()))
+        if not two:
+            return _pairs([])
+        q, x = two
+        for tile in _tiles(q, x):
+            listed = []
+            for local in tile.local:
+                if local.size:
+                    has = (tile.own[0] < local.shape[0]) & (tile.own[1] < local.shape[1])
+                    shown = local.copy()
+                    shown[tile.own[0][has], tile.own[1][has]] = -np.inf if local.dtype.kind == "f" else _NONE
+                    best = _best_places(shown, k)
+                    listed.append((np.repeat(np.arange(len(best)), best.shape[1]) * tile.n + best.ravel()))
+            if listed:
+                # a row is one row, whichever nodes list it
+                place = np.unique(np.concatenate(listed))
+                place = np.setdiff1d(place, tile.own[0] * tile.n + tile.own[1])
+                i, j = place // tile.n, place % tile.n
+                out.append(_best(k, q, x, tile.at, i, j, tile.whole(i, j)))
+        return _pairs(out)
 
     return run
 
 
-def _cutoffs(q: _Block) -> np.ndarray:
-    """Least local score of an entry of each query: the bound shared by its slices, rounded up; none if it is not positive."""
-    return np.where(q.bound > 0, -(-q.bound // np.maximum(q.m, 1)), _NONE)
-
-
-def _sent(key: tuple, group: pa.Table) -> pa.Table:
-    """Phase 2, of a node and a block of queries: entries at the cutoff or above, as ``n`` (query), ``id`` (row) and ``data`` (local score)."""
-    two = _two(group)
-    out = []
-    if two:
-        q, x = two
-        local, least = _local(q, x), _cutoffs(q)
-        # without a cutoff a row is an entry of its first slice
-        asked = (least != _NONE) | (key[2].as_py() == 0)
-        i, j = np.nonzero((local >= least[:, None]) & asked[:, None] & (q.id[:, None] != x.id[None, :]))
-        if len(i):
-            empty = b""
-            out = [{"kind": "e", "part": key[2].as_py(), "q_deal": key[0].as_py(), "x_deal": key[1].as_py(), "n": q.n[i].tobytes(), "id": x.n[j].tobytes(), "m": empty, "bound": empty, "sizes": empty, "data": local[i, j].tobytes()}]
-    return pa.Table.from_pylist(out, schema=_ENTRY)
-
-
 def _resolved(k: int):
-    """Phases 2 and 3, of a block of rows and one of queries: bounds from all slices' entries, exact scores of what is left."""
+    """Phases 2 and 3, of a block of queries and of rows: bounds from the entries that nodes send, exact scores of what is left."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        entries = group.filter(pc.equal(group.column("kind"), "e"))
-        two = _two(group) if entries.num_rows else None
+        two, out = _two(group), []
         if not two:
             return _pairs([])
         q, x = two
-        numbers = lambda c: np.concatenate([np.frombuffer(v, np.int64) for v in entries.column(c).to_pylist()])
-        i, j, local = np.searchsorted(q.n, numbers("n")), np.searchsorted(x.n, numbers("id")), numbers("data")
-        place, own = np.unique(i * len(x.n) + j, return_inverse=True)
-        i, j = place // len(x.n), place % len(x.n)
-        told = np.bincount(own, minlength=len(place))
-        # in doubles, with room for their rounding
-        known = np.bincount(own, local.astype(np.float64), len(place))
-        least = _cutoffs(q)
-        most = known + (q.m[i] - told) * (least[i] - 1.0)
-        live = (least[i] == _NONE) | (most + 1e-9 * (np.abs(known) + np.abs(most) + 1) >= q.bound[i])
-        i, j = i[live], j[live]
-        scores, at = np.empty(len(i), np.int64), 0
-        while at < len(i):
-            wide = lambda n: min(int(q.sizes[i[at : at + n]].max()), int(x.sizes[j[at : at + n]].max()))
-            many = 4096
-            while many > 1 and many * wide(many) > CHUNK:
-                many //= 2
-            a, b = i[at : at + many], j[at : at + many]
-            width = max(wide(many), 1)
-            scores[at : at + many] = _exact(q.vectors(a, width), x.vectors(b, width), lambda u, v: (u * v).sum(axis=1))
-            at += many
-        out = []
-        starts = np.flatnonzero(np.diff(i, prepend=-1))
-        for s, e in zip(starts, [*starts[1:], len(i)]):
-            best = s + _best(k, x, j[s:e], scores[s:e])
-            out.append((q.n[i[s]], x.n[j[best]], x.id[j[best]], scores[best]))
+        greatest = _greatest(q, x)
+        # the bound shared by a query's slices, rounded up
+        cutoffs = -(-q.bound // q.m)
+        for tile in _tiles(q, x):
+            bound, cutoff, m = q.bound[tile.at], cutoffs[tile.at], q.m[tile.at]
+            asked = bound > 0
+            live = asked & (bound <= greatest)
+            # an entry below the cutoff is not sent and counts as what is just below it; rows of none fall short of the bound
+            kind = tile.local[0].dtype if tile.local else np.dtype(np.int64)
+            below = np.where(live, cutoff - 1, 0).astype(kind)
+            most = np.repeat((below * m.astype(kind))[:, None], tile.n, axis=1)
+            for local in tile.local:
+                rows, n = local.shape
+                sent = local - below[:rows, None]
+                np.maximum(sent, 0, out=sent)
+                most[:rows, :n] += sent
+            left = (most >= np.where(live, bound, 0).astype(kind)[:, None]) & live[:, None] | ~asked[:, None]
+            left[tile.own] = False
+            place = np.flatnonzero(left)
+            i, j = place // tile.n, place % tile.n
+            scores = tile.whole(i, j)
+            some = np.flatnonzero((scores >= bound[i]) | ~asked[i])
+            out.append(_best(k, q, x, tile.at, i[some], j[some], scores[some]))
         return _pairs(out)
 
     return run
@@ -220,58 +253,47 @@ def _components(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(fits(x), whole(x)).otherwise(F.raise_error(F.lit("a component does not fit into a long")).cast("long")))
 
 
-def _numbered(df: DataFrame, id_col: str, vector_col: str, per_deal: int) -> tuple[DataFrame, int]:
-    """``n, id, vector, m, deal`` of the rows that take part, and the number of deals."""
+def _whole(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """``id, vector`` of the rows that take part."""
     v = F.col("vector")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    df = df.where(F.col("id").isNotNull() & v.isNotNull() & fine)
-    df = cut(df.select(F.monotonically_increasing_id().alias("n"), "id", _components(v).alias("vector")))
-    many = max(1, -(-df.count() // per_deal))
-    m = F.greatest(F.ceil(F.size("vector") / WIDTH), F.lit(1)).cast("int")
-    return df.select("n", "id", "vector", m.alias("m"), F.pmod(F.xxhash64("n"), F.lit(many)).cast("int").alias("deal")), many
+    return df.where(F.col("id").isNotNull() & v.isNotNull() & fine)
+
+
+def _deals(df: DataFrame, per_deal: int) -> int:
+    """Blocks for the rows of ``vector`` that there are."""
+    n, components = df.agg(F.count("*"), F.coalesce(F.sum(F.size("vector").cast("long")), F.lit(0))).first()
+    return max(1, -(-n // per_deal), -(-components // (per_deal * DIMENSIONS)))
 
 
-def _blocks(df: DataFrame, kind: str, sliced: bool) -> DataFrame:
-    """Packed blocks: whole rows (part -1), or one for each slice and deal."""
-    bound = F.coalesce("bound", F.lit(_NONE)) if "bound" in df.columns else F.lit(_NONE)
-    columns = ["n", "id", "m", "deal", bound.alias("bound")]
-    if sliced:
-        part = lambda k: F.struct(k.alias("part"), F.slice("vector", k * WIDTH + 1, WIDTH).alias("values"))
-        rows = df.select(*columns, F.explode(F.transform(F.sequence(F.lit(0), F.col("m") - 1), part)).alias("x")).select(*columns, "x.part", "x.values")
-    else:
-        rows = df.select(*columns, F.lit(-1).alias("part"), F.col("vector").alias("values"))
-    return cut(rows.groupBy("part", "deal").applyInArrow(_packed(kind), _PACKED))
+def _blocks(df: DataFrame, kind: str, many: int) -> DataFrame:
+    """``df``'s ``n, id, vector, bound`` packed in ``many`` blocks."""
+    rows = df.select("n", "id", "vector", "bound", F.pmod(F.xxhash64("n"), F.lit(many)).cast("int").alias("deal"))
+    return cut(rows.groupBy("deal").applyInArrow(_packed(kind), _PACKED))
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best rows of each query by integer inner product."""
-    queries, q_deals = _numbered(queries, id_col, vector_col, QUERY_ROWS)
-    rows, x_deals = _numbered(rows, id_col, vector_col, BLOCK_ROWS)
-    rest = ["n", "id", "m", "bound", "sizes", "data"]
-
-    def met(q: DataFrame, x: DataFrame) -> DataFrame:
-        """Each block of queries beside each block of rows of its slice."""
-        q = q.select("kind", "part", F.col("deal").alias("q_deal"), F.explode(F.sequence(F.lit(0), F.lit(x_deals - 1))).alias("x_deal"), *rest)
-        x = x.select("kind", "part", F.explode(F.sequence(F.lit(0), F.lit(q_deals - 1))).alias("q_deal"), F.col("deal").alias("x_deal"), *rest)
-        return q.unionByName(x)
-
-    node, sliced = ["q_deal", "x_deal", "part"], _blocks(rows, "x", True)
-    lists = met(_blocks(queries, "q", True), sliced).groupBy(*node).applyInArrow(_lists(k), f"{_PAIRS}, part int")
-    best = F.row_number().over(W.partitionBy("query", "part").orderBy(F.desc("score"), "id", "n"))
-    listed = lists.withColumn("place", best).where(F.col("place") <= k).select("query", "n").distinct()
-    asked = queries.select(F.col("n").alias("query"), F.col("vector").alias("q_vector"))
-    whole = listed.join(rows.select("n", "vector"), "n").join(asked, "query")
-    products = F.zip_with("q_vector", "vector", lambda a, b: F.coalesce(a, F.lit(0)).cast("decimal(38,0)") * F.coalesce(b, F.lit(0)).cast("decimal(38,0)"))
-    # a bound need not be exact, only safe: beyond a long it is cut to one
-    score = F.aggregate(products, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + x).cast("decimal(38,0)"))
-    score = F.greatest(F.least(score, F.lit(_LONG - 1).cast("decimal(38,0)")), F.lit(1 - _LONG).cast("decimal(38,0)")).cast("long")
-    bounds = whole.select("query", score.alias("score")).groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
+    rows = _whole(rows, id_col, vector_col)
+    number, none = F.monotonically_increasing_id().alias("n"), F.lit(_NONE).alias("bound")
+    queries = cut(_whole(queries, id_col, vector_col).select(number, "id", _components(F.col("vector")).alias("vector")))
+    q_deals, x_deals = _deals(queries, QUERY_ROWS), _deals(rows, BLOCK_ROWS)
+    x = _blocks(rows.select(number, "id", _components(F.col("vector")).alias("vector"), none), "x", x_deals)
+    rest = ["n", "id", "bound", "sizes", "wide", "data"]
+
+    def met(q: DataFrame) -> DataFrame:
+        """Each block of queries beside each block of rows."""
+        each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+        asked = q.select("kind", F.col("deal").alias("q_deal"), each(x_deals).alias("x_deal"), *rest)
+        return asked.unionByName(x.select("kind", each(q_deals).alias("q_deal"), F.col("deal").alias("x_deal"), *rest)).groupBy("q_deal", "x_deal")
+
+    listed = met(_blocks(queries.select("*", none), "q", q_deals)).applyInArrow(_lists(k), _PAIRS)
+    bounds = listed.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
     bounds = bounds.select(F.col("query").alias("n"), F.get("scores", F.lit(k - 1)).alias("bound"))
-    told = cut(queries.join(bounds, "n", "left"))
-    sent = met(_blocks(told, "q", True), sliced).groupBy(*node).applyInArrow(_sent, _ENTRIES)
-    last = met(_blocks(told, "q", False), _blocks(rows, "x", False)).unionByName(sent).groupBy("q_deal", "x_deal").applyInArrow(_resolved(k), _PAIRS)
-    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id", "n"))
+    told = queries.join(bounds, "n", "left").withColumn("bound", F.coalesce("bound", F.lit(_NONE)))
+    last = met(_blocks(told, "q", q_deals)).applyInArrow(_resolved(k), _PAIRS)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "id"))
     last = last.withColumn("rank", rank).where(F.col("rank") <= k)
     names = queries.select(F.col("n").alias("query"), F.col("id").alias("query_id"))
     return last.join(names, "query").select("query_id", "rank", F.col("id").alias("vec_id"), "score")
