@@ -1,10 +1,15 @@
 """Research operators: recovery of what is known, causality, and plain versions in numpy."""
 
+import contextlib
 import datetime as dt
+import math
+import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from tidemark.operators import books, families, market_state, nested, rewards, segments, text, variance
@@ -211,3 +216,54 @@ def test_event_countries(spark):
         1: (["Brazil", "China"], "title_text", 0.91), 2: (["South Korea"], "title_text", 0.83), 3: (["China", "United States"], "query_text", 0.69), 4: (["Brazil"], "source", 0.35),
         5: (["Atlantis"], "source", 0.35), 6: ([], "unresolved", 0.0), 7: ([], "unresolved", 0.0), 8: (["Brazil", "China", "Korea", "South Korea", "United States"], "title_text", 0.95),
     }
+
+
+def _retrieved(passages, questions, k):
+    """``retrieve`` by its definition, one pair after another."""
+    terms = lambda t: (w := (t or "").split()) + [" ".join(x) for x in zip(w, w[1:])]
+    own, asked = {}, {}
+    for rows, out in ((passages, own), (questions, asked)):
+        for key, t in rows:
+            out.setdefault(key, Counter()).update(terms(t))
+    df = Counter(t for x in own.values() for t in x)
+    idf = {t: math.log((1 + len(passages)) / (1 + n)) + 1 for t, n in df.items()}
+    found = []
+    for q, a in asked.items():
+        scored = []
+        for i, x in own.items():
+            if i is not None and (both := a.keys() & x.keys()):
+                dot, norm = sum(a[t] * x[t] * idf[t] ** 2 for t in both), math.sqrt(sum((n * idf[t]) ** 2 for t, n in x.items()))
+                scored.append((-round(dot / norm, 9), i))
+        found += [(q, i, -s, n + 1) for n, (s, i) in enumerate(sorted(scored)[:k])]
+    return found
+
+
+def test_retrieval_by_blocks_against_the_definition(spark, monkeypatch):
+    monkeypatch.setattr(text, "QUESTIONS", 20)
+    monkeypatch.setattr(text, "PASSAGES", 50)
+    monkeypatch.setattr(text, "CELLS", 300)
+    monkeypatch.setattr(text, "SPAN", 3)
+    pick = random.Random(9)
+    words = ["the", "the", "of", *(f"w{k}" for k in range(40))]
+    said = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    same = said(9)
+    # copies, a key of two rows, rows without a key or a text, a question that meets nothing
+    passages = [(k, same if k % 4 == 0 else said(pick.randint(1, 12))) for k in range(120)] + [(7, said(5)), (None, "the of"), (200, None), (201, "")]
+    questions = [(k, said(pick.randint(1, 8))) for k in range(50)] + [(3, "w1 w2"), (60, same), (61, "nowhere"), (62, None)]
+    got = text.retrieve(spark.createDataFrame(passages, "id long, text string"), spark.createDataFrame(questions, "q long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(_retrieved(passages, questions, 6))
+
+
+def test_retrieval_shuffles_no_pairs(spark):
+    passages, questions = ([(k, f"the x{k} y{k % 7}") for k in range(400)] for _ in range(2))
+    context = spark.sparkContext
+    last = lambda: max(s for j in context.statusTracker().getJobIdsForGroup("pairs") for s in context.statusTracker().getJobInfo(j).stageIds)
+    mark = lambda: (context.setJobGroup("pairs", ""), spark.range(1).count(), context._jsc.sc().listenerBus().waitUntilEmpty(10_000), last())[-1]
+    first = mark()
+    assert len(text.retrieve(spark.createDataFrame(passages, "id long, text string"), spark.createDataFrame(questions, "q long, text string")).collect()) == 2400
+    written = []
+    for k in range(first + 1, mark()):
+        with contextlib.suppress(Py4JJavaError):  # some stages are never run
+            written.append(context._jsc.sc().statusStore().lastStageAttempt(k).shuffleWriteRecords())
+    # 160,000 pairs share a term
+    assert 0 < max(written) < 10_000

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -83,25 +86,107 @@ def similarity_to_prior(docs: DataFrame, entity: str, order: str, text: str = "t
     return out.select(order, "prior", X.ratio(F.coalesce("dot", F.lit(0)), F.col("norm") * F.col("prior_norm")).alias("similarity"))
 
 
+#: Questions and passages of a block; cells of scores that a task holds at once, columns of them of which one maximum is taken, and the share of passages beyond which a term is a column of a matrix.
+QUESTIONS, PASSAGES, CELLS, SPAN, COMMON = 3 << 14, 1 << 13, 1 << 20, 64, 0.05
+
+
+def _rows(group: pa.Table, kind: str, key: str | None = None) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """A group's rows of one kind, with a ``key`` if one is named; of each of their terms the row, the hash and the weight."""
+    rows = group.filter(pc.equal(group.column("kind"), kind))
+    rows = rows.filter(pc.is_valid(rows.column(key))) if key else rows
+    terms, weights = (rows.column(c).combine_chunks() for c in ("terms", "weights"))
+    return rows, np.repeat(np.arange(rows.num_rows), np.diff(terms.offsets.to_numpy())), terms.flatten().to_numpy(), weights.flatten().to_numpy()
+
+
+def _nearest(k: int, ask: str, key: str):
+    """Of a block of questions and one of passages: the ``k`` best passages of each question, and those that rounding could put among them."""
+
+    def run(_: tuple, group: pa.Table) -> pa.Table:
+        (q, q_row, q_term, q_weight), (p, p_row, p_term, p_weight) = _rows(group, "q"), _rows(group, "p", key)
+        n, norm = p.num_rows, p.column("norm").to_numpy()
+        own = np.unique(q_term)
+        q_at, p_at = np.searchsorted(own, q_term), np.searchsorted(own, p_term)
+        met = np.flatnonzero(own[np.minimum(p_at, len(own) - 1)] == p_term) if len(own) else np.zeros(0, np.int64)
+        met = met[np.argsort(p_at[met], kind="stable")]
+        p_at, p_row, p_weight = p_at[met], p_row[met], p_weight[met]
+        many = np.bincount(p_at, minlength=len(own))
+        # common terms by a product of matrices, the others one by one
+        common = many > COMMON * n
+        column = np.cumsum(common) - 1
+        matrix, told = np.zeros((n, common.sum())), common[p_at]
+        matrix[p_row[told], column[p_at[told]]] = p_weight[told]
+        first = np.cumsum(many) - many
+        place = np.empty(n, np.int64)
+        place[np.argsort(p.column(key).to_numpy(), kind="stable")] = np.arange(n)
+        step, found = max(1, CELLS // max(n, 1)), []
+        for a in range(0, q.num_rows if n else 0, step):
+            e = min(a + step, q.num_rows)
+            some = slice(*np.searchsorted(q_row, [a, e]))
+            row, at, weight = q_row[some] - a, q_at[some], q_weight[some]
+            asked, told = np.zeros((e - a, matrix.shape[1])), common[at]
+            asked[row[told], column[at[told]]] = weight[told]
+            row, at, weight = row[~told], at[~told], weight[~told]
+            each = np.repeat(np.arange(len(row)), many[at])
+            other = first[at][each] + np.arange(len(each)) - (np.cumsum(many[at]) - many[at])[each]
+            score = asked @ matrix.T + np.bincount(row[each] * n + p_row[other], weight[each] * p_weight[other], (e - a) * n).reshape(e - a, n)
+            score /= norm
+            spans = n // SPAN
+            # k spans have a score of the k-th best maximum or more
+            least = np.partition(score[:, : spans * SPAN].reshape(e - a, spans, SPAN).max(axis=2), spans - k, axis=1)[:, spans - k] if spans >= k else np.zeros(e - a)
+            i, j = np.nonzero((score >= least[:, None] - 2e-9) & (score > 0))
+            value = score[i, j]
+            order = np.lexsort((place[j], -value, i))
+            i, j, value = i[order], j[order], value[order]
+            start = np.flatnonzero(np.diff(i, prepend=-1))
+            size = np.diff(start, append=len(i))
+            # of equal scores, the k smallest keys; of others, what rounds to no less than the k-th best
+            ties = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(value, prepend=0) != 0))
+            nth = np.arange(len(i)) - np.repeat(ties, np.diff(ties, append=len(i)))
+            left = (nth < k) & (value >= np.repeat(value[start + np.minimum(size, k) - 1], size) - 2e-9)
+            found.append((i[left] + a, j[left], value[left]))
+        i, j, value = (np.concatenate([x[c] for x in found]) if found else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, float)))
+        return pa.table({ask: q.column(ask).take(pa.array(i)), key: p.column(key).take(pa.array(j)), "score": value})
+
+    return run
+
+
 def retrieve(passages: DataFrame, questions: DataFrame, k: int = 6, key: str = "id", ask: str = "q", text: str = "text") -> DataFrame:
-    """The ``k`` best passages of each question by tf-idf over words and word pairs; terms meet by join.
+    """The ``k`` best passages of each question by tf-idf over words and word pairs.
 
-    A question meets every passage that shares a term with it, so a term common to all passages
-    costs a row for each question and passage, summed map-side; no term is cut, as every term counts.
+    A question meets every passage that shares a term with it, common terms included: blocks of
+    questions stand beside blocks of passages, whose scores stay in the task but for the ``k`` best of each question.
     """
 
     def terms(df: DataFrame, id_: str) -> DataFrame:
         t = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        own = df.select(id_, t.alias("t")).withColumn("t", F.concat("t", F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
+        # texts are shuffled by key, which is less than their terms would be
+        own = df.select(id_, text).repartition(id_).select(id_, t.alias("t"))
+        own = own.withColumn("t", F.concat("t", F.when(F.size("t") > 1, F.zip_with(F.slice("t", 1, F.size("t") - 1), F.slice("t", 2, F.size("t") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
         return own.select(id_, F.explode("t").alias("term")).groupBy(id_, "term").agg(F.count("*").alias("n"))
 
-    own = terms(passages, key)
-    total = passages.agg(F.count("*").alias("docs"))
-    idf = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
-    weighted = own.join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
-    norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.pow("w", 2))).alias("norm"))
-    q = terms(questions, ask).join(idf, "term").select(ask, "term", (F.col("n") * F.col("idf")).alias("qw"))
-    scored = q.join(weighted, "term").groupBy(ask, key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot")).join(norm, key).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))
+    own, said = terms(passages, key), terms(questions, ask)
+    # all passages count, those without a key or a term too
+    total, asked = passages.count(), questions.count()
+    idf = (F.log((1 + F.lit(total)) / (1 + F.col("df"))) + 1).alias("idf")
+    df = own.groupBy("term").agg(F.count("*").alias("df")).select("term", idf)
+    known = df.join(said.select("term").distinct().withColumn("told", F.lit(True)), "term", "left")
+    q_deals, p_deals = (max(1, -(-a // b)) for a, b in ((asked, QUESTIONS), (total, PASSAGES)))
+    deal = lambda c, many: F.pmod(F.xxhash64(c), F.lit(many)).cast("int")
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+
+    def packed(df: DataFrame, id_: str, kind: str, weight: Column, when: Column, *more: Column) -> DataFrame:
+        """A row of each key, with its terms' hashes and weights."""
+        x = df.groupBy(id_).agg(F.collect_list(F.when(when, F.struct(F.xxhash64("term").alias("term"), weight.cast("double").alias("w")))).alias("x"), *more)
+        return x.select("*", F.lit(kind).alias("kind"), F.col("x.term").alias("terms"), F.col("x.w").alias("weights")).drop("x")
+
+    # idf counts on both sides
+    q = packed(said.join(df, "term"), ask, "q", F.col("n") * F.col("idf") * F.col("idf"), F.lit(True))
+    p = packed(own.join(known, "term"), key, "p", F.col("n"), F.col("told"), F.sqrt(F.sum(F.pow(F.col("n") * F.col("idf"), 2))).alias("norm"))
+    q = q.withColumn("q_deal", deal(ask, q_deals)).withColumn("p_deal", each(p_deals))
+    p = p.withColumn("p_deal", deal(key, p_deals)).withColumn("q_deal", each(q_deals))
+    kinds = dict(questions.dtypes)[ask], dict(passages.dtypes)[key]
+    scored = q.unionByName(p, allowMissingColumns=True).groupBy("q_deal", "p_deal").applyInArrow(_nearest(k, ask, key), f"{ask} {kinds[0]}, {key} {kinds[1]}, score double")
+    scored = scored.withColumn("score", F.round("score", 9))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy(ask).orderBy(F.desc("score"), key))).where(F.col("rank") <= k).select(ask, key, "score", "rank")
 
 
